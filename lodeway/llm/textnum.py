@@ -21,6 +21,7 @@ LOWER_TABLE = BYTE_TABLE.copy()
 LOWER_TABLE[65:91] = BYTE_TABLE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 BASE = 0x9E3779B97F4A7C13 | 3  # BASE - 1 is 2 mod 4, so powers keep almost full order
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,11 +81,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a slice: byte bounds, owners and hashes."""
+    """Words of a slice, by default `[^\\x20\\x09-\\x0D]+`: byte bounds, owners and hashes."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, between: np.ndarray = IS_SPACE):
         n = len(data)
-        inside = ~IS_SPACE[data]
+        inside = ~between[data]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         after = np.zeros(n, bool)
