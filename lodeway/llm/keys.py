@@ -39,3 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and continue from there."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def pinned(bits: Column) -> Column:
+    """The same long, computed where it stands: Spark pushes no filter on it below.
+
+    A pushed filter would put whole array expressions inside the lambdas that
+    name their columns, and so compute them once for each element.
+    """
+    return bits.bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long")))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keys import words
+from .keys import pinned, words
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words")
@@ -96,7 +96,7 @@ def quality_ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null ids and repeated rows come through row by row; other columns are
     ignored; an empty table gives an empty ledger.
     """
-    return measure(docs, doc_id, text, carry).withColumn("fail_bits", fail_bits())
+    return measure(docs, doc_id, text, carry).withColumn("fail_bits", pinned(fail_bits()))
 
 
 def judge(ledger: DataFrame, policy: Policy) -> DataFrame:
