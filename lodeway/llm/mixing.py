@@ -30,11 +30,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     ranked = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1))
     ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
     every = Window.partitionBy()
-    before = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    filling = Window.orderBy("ratio", F.col("source").isNull(), "source")
+    before = filling.rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    ranked = ranked.withColumn("level", left / weight)
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
+    ranked = ranked.withColumn("turn", F.row_number().over(filling)).withColumn("level", left / weight)
+    fits = F.when(F.col("ratio") >= F.col("level"), F.struct("turn", "level"))
+    level = F.min(fits).over(every)["level"]
     return ranked.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * level, F.col("cap")))).select("source", "source_size", "n_docs", "target")
 
 
@@ -49,6 +51,8 @@ def pivot(pdf: pd.DataFrame, seed: int, final: bool) -> pd.DataFrame:
     size, mass, copies = pdf["size"].to_numpy(float), pdf["mass"].to_numpy(float).copy(), pdf["copies"].to_numpy().copy()
     chance = (tn.mix(tn.mix(pdf["k"].to_numpy(np.int64).view(np.uint64) + np.uint64(1)) ^ np.uint64(seed * 2 + 1)) >> np.uint64(11)) / float(1 << 53)
     held = -1
+    base = copies.copy()
+    free = ~np.isnan(mass) & (mass > 1e-9 * size) & (mass < size * (1 - 1e-9))
 
     def settled(i: int) -> bool:
         if mass[i] <= 1e-9 * size[i]:
@@ -70,6 +74,8 @@ def pivot(pdf: pd.DataFrame, seed: int, final: bool) -> pd.DataFrame:
         mass[j] -= move
         a, b = settled(held), settled(j)
         held = -1 if a and b else j if a else held
+    if held >= 0:
+        held = _swap(held, size, mass, copies, np.flatnonzero(free), base, chance[held] * size[held] < mass[held])
     if final and held >= 0:
         copies[held] += int(chance[held] * size[held] < mass[held])
         mass[held] = np.nan
@@ -77,6 +83,37 @@ def pivot(pdf: pd.DataFrame, seed: int, final: bool) -> pd.DataFrame:
     return pdf
 
 
+def _swap(held: int, size: np.ndarray, mass: np.ndarray, copies: np.ndarray, free: np.ndarray, base: np.ndarray, up: bool) -> int:
+    """Settle a large last document and leave a small one open in its place; the words stay the same.
+
+    What the rounding takes too many (or too few) is given back by documents
+    decided that way, large ones first, and the last bit by one that becomes
+    fractional again.  Where none fits, the large one stays open.
+    """
+    gap = size[held] - mass[held] if up else mass[held]
+    pool = [i for i in free if i != held and (copies[i] > base[i]) == up]
+    pool.sort(key=lambda i: -size[i])
+    flipped = []
+    for i in pool:
+        if size[i] <= gap:
+            flipped.append(i)
+            gap -= size[i]
+    gone = set(flipped)
+    rest = [i for i in pool if i not in gone and size[i] > gap]
+    if gap > 1e-9 and (not rest or size[rest[-1]] >= size[held]):
+        return held
+    for i in flipped:
+        copies[i] += -1 if up else 1
+    copies[held] += 1 if up else 0
+    mass[held] = np.nan
+    if gap <= 1e-9:
+        return -1
+    last = rest[-1]
+    copies[last] = base[last]
+    mass[last] = size[last] - gap if up else gap
+    return last
+
+
 def _reduce(rows: DataFrame, seed: int, final: bool) -> DataFrame:
     return rows.groupBy("source", "bucket").applyInPandas(lambda pdf: pivot(pdf, seed, final), SCHEMA)
 
