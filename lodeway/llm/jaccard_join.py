@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
@@ -15,8 +15,6 @@ from .components import components
 from .keys import cut, keyed
 
 ORDERS = (0x1F123BB5159A55E5, 0x2C7A1D5B3F4E6A79, 0x3B9AC9FF1D2E4C5B)
-HEAVY_LIMIT = 1 << 20  # tokens whose frequency class is broadcast: 16 MB
-CHUNK_TOKENS = 2_000_000
 BLOCK_TOKENS = 1_000_000
 
 
@@ -48,17 +46,18 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return -((-n * percent) // 100)
 
 
-def order_keys(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
-    """Rank of tokens under one global order: rarer class first, then a hash of its own."""
-    tokens, classes = heavy
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
+
+
+def order_keys(h: np.ndarray, order: int) -> np.ndarray:
+    """Rank of the tokens of one block under one order: rarer class first, then a hash of its own."""
+    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
     key = tn.mix(h ^ tn.U64(ORDERS[order])) >> tn.U64(6)
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-        key |= np.where(tokens[at] == h, classes[at], 0).astype(np.uint64) << tn.U64(58)
-    return key
+    return key | (np.log2(n)[inverse].astype(np.uint64) << tn.U64(58))
 
 
-def prefixes(h: np.ndarray, bounds: np.ndarray, heavy, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(h: np.ndarray, bounds: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that stand first under the order, and the document of each.
 
     Two sets with that Jaccard share a token among the first n - ceil(t n) + 1
@@ -66,69 +65,89 @@ def prefixes(h: np.ndarray, bounds: np.ndarray, heavy, order: int, percent: int)
     """
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    sort = np.lexsort((order_keys(h, heavy, order), doc))
-    take = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
+    sort = np.lexsort((order_keys(h, order), doc))
+    take = prefix_length(n, percent)
     at = tn.ranges(bounds[:-1], take)
     return h[sort][at], np.repeat(np.arange(len(n)), take)
 
 
-def _heavy(k: int, local: int):
-    """Tokens that `local` documents or more of a chunk share."""
+def _sampled(h: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that the first order ranks by frequency: a hash class 2.5 times as wide as a prefix."""
+    return (h & tn.U64(0xFF)) < tn.U64(min(256, 640 * (100 - percent) // 100 + 1))
 
-    def emit(batches):
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= local
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], ["t", "n"])
+def _sets(k: int, percent: int):
+    """One row for each document: set size, two fingerprints, prefix length and sampled tokens."""
 
+    def emit(batches):
         for batch in batches:
             for piece in tn.slices(batch, "text"):
-                h, _ = shingles(*tn.flat(piece.column("text")), k)
-                held.append(h)
-                size += len(h)
-                if size >= CHUNK_TOKENS:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                h, bounds = shingles(*tn.flat(piece.column("text")), k)
+                n = np.diff(bounds)
+                sums = [np.append(tn.U64(0), np.cumsum(x, dtype=np.uint64)) for x in (tn.mix(h), tn.mix(h ^ tn.U64(0x5851F42D4C957F2D)), _sampled(h, percent))]
+                a, b, m = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
+                p = prefix_length(n, percent)
+                yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("doc_id"), *map(pa.array, (n, a, b, p, m))], ["k", "doc_id", "n", "a", "b", "p", "m"])
 
     return emit
 
 
-def heavy_tokens(docs: DataFrame, k: int, local: int = 4, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles and their class (log2 of the documents that hold them), at most HEAVY_LIMIT.
+def _sampled_tokens(k: int, percent: int):
+    """Sampled tokens (40 bits) with the fingerprint of their set, so that copies count once."""
 
-    Counts cover all documents; a token counts where a chunk of CHUNK_TOKENS has
-    it `local` times.  The classes only order tokens, so what is left out here
-    costs time, never a link.
-    """
-    sums = docs.select("text").mapInArrow(_heavy(k, local), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = sums.orderBy(F.desc("n"), "t").limit(HEAVY_LIMIT).toPandas()
-    tokens = top["t"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.minimum(np.log2(np.maximum(top["n"].to_numpy(float)[order], 1)).astype(np.int64), 63)
+    def emit(batches):
+        for batch in batches:
+            for piece in tn.slices(batch, "text"):
+                h, bounds = shingles(*tn.flat(piece.column("text")), k)
+                sums = np.append(tn.U64(0), np.cumsum(tn.mix(h), dtype=np.uint64))
+                a = np.repeat(sums[bounds[1:]] - sums[bounds[:-1]], np.diff(bounds))
+                keep = _sampled(h, percent)
+                yield pa.RecordBatch.from_arrays([pa.array((h[keep] >> tn.U64(24)).view(np.int64)), pa.array(a[keep].view(np.int64))], ["t", "a"])
+
+    return emit
 
 
-def _sets(k: int, percent: int, heavy):
+def _all_tokens(k: int):
     def emit(batches):
         for batch in batches:
             for piece in tn.slices(batch, "text"):
                 h, bounds = shingles(*tn.flat(piece.column("text")), k)
-                n = np.diff(bounds)
-                sums = [np.append(tn.U64(0), np.cumsum(x, dtype=np.uint64)) for x in (tn.mix(h), tn.mix(h ^ tn.U64(0x5851F42D4C957F2D)))]
-                a, b = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-                token, doc = prefixes(h, bounds, heavy.value, 0, percent)
-                offsets = np.searchsorted(doc, np.arange(len(n) + 1)).astype(np.int32)
-                prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("doc_id"), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), prefix], ["k", "doc_id", "n", "a", "b", "prefix"])
+                ids = np.repeat(piece.column("k").to_numpy(zero_copy_only=False), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["t", "k"])
 
     return emit
 
 
-def link(h: np.ndarray, bounds: np.ndarray, heavy, percent: int) -> np.ndarray:
+def survivors(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Classes (n, a, b, p, rep) that the first order leaves as candidates.
+
+    The first order ranks sampled tokens that stand in one class only before all
+    others.  A class with as many of them as its prefix is long shares no prefix
+    token with any other, so it has no link.
+    """
+    classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep"), F.first("p").alias("p"), F.first("m").alias("m"))
+    tokens = docs.select("text").mapInArrow(_sampled_tokens(k, percent), "t long, a long").repartition("t")
+    common = tokens.groupBy("t").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("t")
+    held = tokens.join(common, "t").groupBy("t", "a").agg(F.lit(1).alias("one")).groupBy("a").agg(F.count("*").alias("held"))
+    return classes.join(held, "a", "left").where(F.col("m") - F.coalesce("held", F.lit(0)) < F.col("p")).select("n", "a", "b", "p", "rep")
+
+
+def shared_prefixes(texts: DataFrame, k: int) -> DataFrame:
+    """Rows (t, rep) of prefix tokens under the second order that two sets or more share.
+
+    The second order ranks by the number of candidate sets with the token, then
+    by hash.  texts has k, p and text of the candidates.
+    """
+    tokens = texts.select("k", "text").mapInArrow(_all_tokens(k), "t long, k long").repartition("t")
+    many = tokens.groupBy("t").agg(F.count("*").alias("df"), F.max("k").alias("_k")).where("df > 1 and _k is not null").select("t", "df")
+    common = tokens.join(many, "t")
+    turn = Window.partitionBy("k").orderBy("df", "t")
+    lone = F.col("n") - F.count("*").over(Window.partitionBy("k"))
+    ranked = common.join(texts.select("k", "n", "p"), "k").withColumn("turn", F.row_number().over(turn)).withColumn("left", F.col("p") - lone)
+    return ranked.where("turn <= left").select("t", F.col("k").alias("rep"))
+
+
+def link(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     """Component (least member) of each of the sets of one block, under exact links.
 
     Sets are met from small to large.  Candidates of a set are the earlier ones
@@ -143,7 +162,7 @@ def link(h: np.ndarray, bounds: np.ndarray, heavy, percent: int) -> np.ndarray:
     place[turn] = np.arange(count)
     posts = []
     for order in range(len(ORDERS)):
-        token, doc = prefixes(h, bounds, heavy, order, percent)
+        token, doc = prefixes(h, bounds, order, percent)
         _, token = np.unique(token, return_inverse=True)
         by_token = np.lexsort((place[doc], token))
         edge = np.append(0, np.cumsum(np.bincount(token))) if len(token) else np.zeros(1, np.int64)
@@ -181,11 +200,11 @@ def link(h: np.ndarray, bounds: np.ndarray, heavy, percent: int) -> np.ndarray:
     return label
 
 
-def _verify(k: int, percent: int, heavy):
+def _verify(k: int, percent: int):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("k").sort_values("k", kind="stable")
         h, bounds = shingles(*tn.flat(pa.array(pdf["text"], pa.large_string())), k)
-        label = link(h, bounds, heavy.value, percent)
+        label = link(h, bounds, percent)
         ids = pdf["k"].to_numpy(np.int64)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
@@ -202,24 +221,26 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "
     component_id, the least key reachable by links.
 
     1. Equal sets become one class, so copies never form pairs.
-    2. Classes that share a token among their first under the first order fall
-       into one candidate family (a star for each token, never its pairs).
-    3. Families are packed into blocks of about block_tokens; a larger family
+    2. A first order over all documents leaves out classes whose prefix nobody
+       shares (see survivors).
+    3. Classes that share a prefix token under a second order fall into one
+       candidate family (a star for each token, never its pairs).
+    4. Families are packed into blocks of about block_tokens; a larger family
        is cut into parts, and every pair of parts forms a block.  A block
-       intersects the candidates of all orders, verifies exactly and sends one
-       edge for each member that joins another.
+       intersects the candidates of further orders, verifies exactly and sends
+       one edge for each member that joins another.
 
     Corner cases: null and empty texts are components of their own; rows without
     an id are known by a hash of their text; rows that repeat an id stand for
     one document; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = keyed(docs, doc_id, text)
-    heavy = spark.sparkContext.broadcast(heavy_tokens(docs, k))
-    sets = cut(docs.mapInArrow(_sets(k, percent, heavy), "k long, doc_id long, n long, a long, b long, prefix array<long>"))
-    classes = cut(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep"), F.first("prefix").alias("prefix")))
+    sets = cut(docs.mapInArrow(_sets(k, percent), "k long, doc_id long, n long, a long, b long, p long, m long"))
+    classes = cut(survivors(docs, sets, k, percent))
+    reps = classes.select(F.col("rep").alias("k"), "n", "p")
+    texts = cut(docs.select("k", "text").join(reps, "k"))
 
-    tokens = classes.select("rep", F.explode("prefix").alias("t")).repartition("t")
+    tokens = cut(shared_prefixes(texts, k))
     stars = tokens.groupBy("t").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("t", "lead")
     family = components(tokens.join(stars, "t").where("rep <> lead").select("rep", "lead"), "rep", "lead")
     member = family.join(classes.select(F.col("rep").alias("node"), "n"), "node")
@@ -234,12 +255,13 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "
     alone = placed.where("parts = 1").select("node", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
     split = placed.where("parts > 1").select("node", F.col("component").alias("block"), part.alias("p"), other.alias("q"))
     split = split.select("node", "block", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
-    work = docs.select("k", "text").join(alone.unionByName(split).withColumnRenamed("node", "k"), "k")
-    links = work.groupBy("block", "i", "j").applyInPandas(_verify(k, percent, heavy), "a long, b long")
+    work = texts.select("k", "text").join(alone.unionByName(split).withColumnRenamed("node", "k"), "k")
+    links = work.groupBy("block", "i", "j").applyInPandas(_verify(k, percent), "a long, b long")
     final = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
 
-    by_class = classes.select("n", "a", "b", "rep").join(final, "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
-    out = sets.drop("prefix").join(by_class, ["n", "a", "b"], "left")
+    every = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep"))
+    by_class = every.join(final, "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
+    out = sets.select("k", "doc_id", "n", "a", "b").join(by_class, ["n", "a", "b"], "left")
     return out.select("k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
 
 
