@@ -126,7 +126,8 @@ def survivors(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
     token with any other, so it has no link.
     """
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep"), F.first("p").alias("p"), F.first("m").alias("m"))
-    tokens = docs.select("text").mapInArrow(_sampled_tokens(k, percent), "t long, a long").repartition("t")
+    tokens = docs.select("text").mapInArrow(_sampled_tokens(k, percent), "t long, a long")
+    tokens = tokens.where("t is not null and a is not null").repartition("t")  # the filter of the join, so that both sides read one exchange
     common = tokens.groupBy("t").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("t")
     held = tokens.join(common, "t").groupBy("t", "a").agg(F.lit(1).alias("one")).groupBy("a").agg(F.count("*").alias("held"))
     return classes.join(held, "a", "left").where(F.col("m") - F.coalesce("held", F.lit(0)) < F.col("p")).select("n", "a", "b", "p", "rep")
@@ -138,7 +139,8 @@ def shared_prefixes(texts: DataFrame, k: int) -> DataFrame:
     The second order ranks by the number of candidate sets with the token, then
     by hash.  texts has k, p and text of the candidates.
     """
-    tokens = texts.select("k", "text").mapInArrow(_all_tokens(k), "t long, k long").repartition("t")
+    tokens = texts.select("k", "text").mapInArrow(_all_tokens(k), "t long, k long")
+    tokens = tokens.where("t is not null and k is not null").repartition("t")
     many = tokens.groupBy("t").agg(F.count("*").alias("df"), F.max("k").alias("_k")).where("df > 1 and _k is not null").select("t", "df")
     common = tokens.join(many, "t")
     turn = Window.partitionBy("k").orderBy("df", "t")

@@ -155,7 +155,8 @@ def marked(docs: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
 
     parts is null where nothing of the document repeats.
     """
-    runs = docs.mapInArrow(_runs(unit), "m long, k long, s int, e int").repartition("m")
+    runs = docs.mapInArrow(_runs(unit), "m long, k long, s int, e int")
+    runs = runs.where("m is not null and k is not null and s is not null and e is not null").repartition("m")
     # asks for every column, so that both sides of the join read one and the same exchange
     twice = runs.groupBy("m").agg(F.count("*").alias("n"), *(F.max(c).alias(f"_{c}") for c in ("k", "s", "e"))).where("n > 1 and _k is not null and _s is not null and _e is not null").select("m", "n")
     parts = runs.join(twice, "m").groupBy("k").agg(F.collect_list(F.struct("m", "s", "e", (F.col("n") > unit.hot).alias("hot"))).alias("parts"))
