@@ -162,10 +162,15 @@ def marked(docs: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
     parts = runs.join(twice, "m").groupBy("k").agg(F.collect_list(F.struct("m", "s", "e", (F.col("n") > unit.hot).alias("hot"))).alias("parts"))
     parts = cut(parts)
     placed = docs.repartition("k")
-    sent = placed.join(parts, "k").mapInArrow(_payload(unit), "m long, seg binary, k long, s int, digest boolean")
-    distinct = kernel.distinct(sent)
-    stay = distinct.where("not digest").repartition("m").sortWithinPartitions("m").mapInArrow(_shards(unit, kernel), "k long, p int")
-    stay = stay.unionByName(kernel.digest_stays(distinct.where("digest")).select("k", F.col("s").alias("p")))
+    schema = "m long, seg binary, k long, s int, digest boolean"
+
+    def sent(hot: bool) -> DataFrame:
+        own = parts.select("k", F.filter("parts", lambda p: p.hot == F.lit(hot)).alias("parts")).where("size(parts) > 0")
+        return kernel.distinct(placed.join(own, "k").mapInArrow(_payload(unit), schema))
+
+    stay = sent(False).repartition("m").sortWithinPartitions("m").mapInArrow(_shards(unit, kernel), "k long, p int")
+    if not parts.where(F.exists("parts", lambda p: p.hot)).isEmpty():
+        stay = stay.unionByName(kernel.digest_stays(sent(True)).select("k", F.col("s").alias("p")))
     stay = stay.groupBy("k").agg(F.collect_list("p").alias("stay"))
     return placed.join(parts.select("k", F.transform("parts", lambda p: F.struct(p.s, p.e)).alias("parts")), "k", "left").join(stay, "k", "left")
 
