@@ -36,10 +36,6 @@ class Unit:
     k: int
     hot: int = 50_000
 
-    @property
-    def width(self) -> int:
-        return 8 if self.words else 1
-
     def symbols(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.words:
             w = tn.Words(data, off)
@@ -74,27 +70,34 @@ def _runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _payload(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bytes of each run; words joined by one space, so that equal words give equal bytes."""
+
     def emit(batches):
         for batch in batches:
             for piece in tn.slices(batch, "text", tn.SLICE_BYTES // 4):
-                symbol, bounds = unit.symbols(*tn.flat(piece.column("text")))
+                data, off = tn.flat(piece.column("text"))
+                w = tn.Words(data, off) if unit.words else None
+                symbol, bounds = (w.hash, w.bounds) if w is not None else (data, off)
                 keys = piece.column("k").to_pylist()
                 out = [[], [], [], [], []]
                 for i, parts in enumerate(piece.column("parts").to_pylist()):
-                    own = symbol[bounds[i] : bounds[i + 1]]
+                    base, size = int(bounds[i]), int(bounds[i + 1] - bounds[i])
                     for p in parts:
                         s, e = p["s"], p["e"]
-                        if e + unit.length > len(own):
+                        if e + unit.length > size:
                             continue
-                        seg = np.ascontiguousarray(own[s : e + unit.length])
                         if p["hot"]:
-                            a, b = unit.digests(seg, np.arange(e - s + 1))
+                            a, b = unit.digests(symbol[base + s : base + e + unit.length], np.arange(e - s + 1))
                             for t, (x, y) in enumerate(zip(a, b, strict=True)):
                                 for c, v in zip(out, (int(x.view(np.int64)), x.tobytes() + y.tobytes(), keys[i], s + t, True), strict=True):
                                     c.append(v)
+                            continue
+                        if w is None:
+                            seg = data[base + s : base + e + unit.length].tobytes()
                         else:
-                            for c, v in zip(out, (p["m"], seg.tobytes(), keys[i], s, False), strict=True):
-                                c.append(v)
+                            seg = b" ".join(data[w.start[base + s] : w.end[base + e + unit.length - 1]].tobytes().split())
+                        for c, v in zip(out, (p["m"], seg, keys[i], s, False), strict=True):
+                            c.append(v)
                 types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["m", "seg", "k", "s", "digest"])
 
@@ -115,9 +118,7 @@ def _shards(unit: Unit, kernel: Callable) -> Callable[[Iterator[pa.RecordBatch]]
         at = np.flatnonzero(keep)
         at = at[np.lexsort((s[at], k[at]))]
         size = np.diff(off)[at]
-        flat = data[tn.ranges(off[:-1][at], size)]
-        symbol = flat.view(np.uint64) if unit.words else flat
-        bounds = np.append(0, np.cumsum(size // unit.width))
+        symbol, bounds = unit.symbols(data[tn.ranges(off[:-1][at], size)], np.append(0, np.cumsum(size)))
         row, shift = kernel(symbol, bounds, once[at], unit)
         if not len(row):
             return None
