@@ -118,7 +118,7 @@ def _score(model, bits: int):
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if names:
                     bucket, owner = features(texts, bits)
-                    value = np.stack([np.bincount(owner, weights=logp[bucket, j], minlength=len(texts)) for j in range(len(names))], axis=1)
+                    value = np.stack([np.bincount(owner, weights=logp[bucket, j], minlength=len(texts)) for j in range(len(names))], axis=1).astype(float)
                     seen = np.bincount(owner, minlength=len(texts))
                     value += prior
                     best = value.argmax(axis=1)

@@ -75,7 +75,7 @@ def pivot(pdf: pd.DataFrame, seed: int, final: bool) -> pd.DataFrame:
         a, b = settled(held), settled(j)
         held = -1 if a and b else j if a else held
     if held >= 0:
-        held = _swap(held, size, mass, copies, np.flatnonzero(free), base, chance[held] * size[held] < mass[held])
+        held = _swap(held, size, mass, copies, np.flatnonzero(free), base, chance[held] * size[held] < mass[held], final)
     if final and held >= 0:
         copies[held] += int(chance[held] * size[held] < mass[held])
         mass[held] = np.nan
@@ -83,37 +83,45 @@ def pivot(pdf: pd.DataFrame, seed: int, final: bool) -> pd.DataFrame:
     return pdf
 
 
-def _swap(held: int, size: np.ndarray, mass: np.ndarray, copies: np.ndarray, free: np.ndarray, base: np.ndarray, up: bool) -> int:
+def _swap(held: int, size: np.ndarray, mass: np.ndarray, copies: np.ndarray, free: np.ndarray, base: np.ndarray, up: bool, final: bool) -> int:
     """Settle a large last document and leave a small one open in its place; the words stay the same.
 
     What the rounding takes too many (or too few) is given back by documents
     decided that way, large ones first, and the last bit by one that becomes
-    fractional again.  Where none fits, the large one stays open.
+    fractional again.  The drawn direction goes first, then the other one.
+    Where neither closes, the large one stays open, or at the root is rounded
+    the way that misses by less.
     """
-    gap = size[held] - mass[held] if up else mass[held]
-    pool = [i for i in free if i != held and (copies[i] > base[i]) == up]
-    pool.sort(key=lambda i: -size[i])
-    flipped = []
-    for i in pool:
-        if size[i] <= gap:
-            flipped.append(i)
-            gap -= size[i]
-    gone = set(flipped)
-    rest = [i for i in pool if i not in gone and size[i] > gap]
-    if gap > 1e-9 and (not rest or size[rest[-1]] >= size[held]):
+    plans = [(_give_back(held, size, mass, copies, free, base, way), way) for way in (up, not up)]
+    fits = [x for x in plans if x[0][1] <= 1e-9 or x[0][2] >= 0]
+    if not fits and not final:
         return held
+    (flipped, gap, last), up = fits[0] if fits else min(plans, key=lambda x: x[0][1])
     for i in flipped:
         copies[i] += -1 if up else 1
     copies[held] += 1 if up else 0
     mass[held] = np.nan
-    if gap <= 1e-9:
+    if gap <= 1e-9 or last < 0:
         return -1
-    last = rest[-1]
     copies[last] = base[last]
     mass[last] = size[last] - gap if up else gap
     return last
 
 
+def _give_back(held, size, mass, copies, free, base, up: bool) -> tuple[list[int], float, int]:
+    """Documents to turn over, what is left then, and the one to open again (-1: none)."""
+    gap = size[held] - mass[held] if up else mass[held]
+    pool = sorted((i for i in free if i != held and (copies[i] > base[i]) == up), key=lambda i: -size[i])
+    flipped = []
+    for i in pool:
+        if size[i] <= gap:
+            flipped.append(i)
+            gap -= size[i]
+    gone = set(flipped)
+    rest = [i for i in pool if i not in gone and gap < size[i] < size[held]]
+    return flipped, gap, rest[-1] if rest else -1
+
+
 def _reduce(rows: DataFrame, seed: int, final: bool) -> DataFrame:
     return rows.groupBy("source", "bucket").applyInPandas(lambda pdf: pivot(pdf, seed, final), SCHEMA)
 
