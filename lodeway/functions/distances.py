@@ -88,7 +88,8 @@ def to_polygon(p: Column, ring: Column) -> Column:
 
 def polygon_to_polygon(p: Column, q: Column) -> Column:
     """Distance of filled polygons, 0 where they meet."""
-    ways = [F.array_min(F.transform(one, lambda v, other=other: F.array_min(F.transform(edges(other), lambda e: to_segment(v, e))))) for one, other in ((p, q), (q, p))]
+    reach = lambda one, other: F.array_min(F.transform(one, lambda v: F.array_min(F.transform(edges(other), lambda e: to_segment(v, e)))))
+    ways = [reach(p, q), reach(q, p)]
     return F.when(polygon_meets_polygon(p, q), F.lit(0.0)).otherwise(F.least(*ways))
 
 

@@ -157,12 +157,9 @@ def complement(colour: Column) -> Column:
 
 
 def text_colour(colour: Column) -> Column:
-    """'black' on light colours, 'white' on dark ones: weighted luma of the YUV values, limit 192."""
+    """'black' on light colours, 'white' on dark ones: luma of 192 or more is light."""
     c = hex_to_rgb(colour)
-    y = 0.299 * c["r"] + 0.587 * c["g"] + 0.114 * c["b"]
-    u = -0.147108 * c["r"] - 0.288804 * c["g"] + 0.435912 * c["b"] + 0.5
-    v = 0.614777 * c["r"] - 0.514799 * c["g"] - 0.099978 * c["b"] + 0.5
-    return F.when(0.299 * y + 0.587 * u + 0.114 * v >= 192, F.lit("black")).otherwise(F.lit("white"))
+    return F.when(0.299 * c["r"] + 0.587 * c["g"] + 0.114 * c["b"] >= 192, F.lit("black")).otherwise(F.lit("white"))
 
 
 def random_colour(seed: int) -> Column:

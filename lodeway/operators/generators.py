@@ -137,7 +137,8 @@ def neighbourhoods(df: DataFrame, shape: str = "Circle", loc: str = "loc", out:
         return df.withColumn(out, F.transform(steps, lambda i: at_bearing(p, i * (360.0 / sides), float(radius))))
     if shape == "IsoCircle":
         (radii,) = _need(o, "radii")
-        return df.withColumn(out, F.array(*(F.transform(steps, lambda i, r=r: at_bearing(p, i * (360.0 / sides), float(r))) for r in radii)))
+        around = lambda r: F.transform(steps, lambda i: at_bearing(p, i * (360.0 / sides), float(r)))
+        return df.withColumn(out, F.array(*map(around, radii)))
     if shape == "Egg":
         a, b, c = _need(o, "a", "b", "c")
         turn = math.radians(o.get("direction", 0.0))

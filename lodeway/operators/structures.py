@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import KeyExistError
+from ..functions.shapes import lit_
 
 # --- rings and routes: an array column that starts at its head ---
 
@@ -22,11 +23,11 @@ def traverse(ring: Column, closed: bool = False) -> Column:
 
 def insert_after(ring: Column, after, node) -> Column:
     i = F.array_position(ring, after).cast("int")
-    return F.when((i > 0) & ~F.array_contains(ring, node), F.concat(F.slice(ring, F.lit(1), i), F.array(node), F.slice(ring, i + 1, F.size(ring) - i)))
+    return F.when((i > 0) & ~F.array_contains(ring, lit_(node)), F.concat(F.slice(ring, F.lit(1), i), F.array(lit_(node)), F.slice(ring, i + 1, F.size(ring) - i)))
 
 
 def append(ring: Column, node) -> Column:
-    return F.concat(ring, F.array(node))
+    return F.concat(ring, F.array(lit_(node)))
 
 
 def remove(ring: Column, node) -> Column:

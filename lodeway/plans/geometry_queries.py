@@ -215,8 +215,7 @@ def interceptions(spark, sf_dir):
     """WITH c AS (SELECT p_partkey, (p_partkey * 37) % 256 AS r, (p_partkey * 91) % 256 AS g, (p_partkey * 173) % 256 AS b FROM part),
  k AS (SELECT *, greatest(r, g, b) + least(r, g, b) AS k FROM c)
 SELECT p_partkey, printf('#%02x%02x%02x', r, g, b) AS hex, printf('#%02x%02x%02x', k - r, k - g, k - b) AS complement,
- CASE WHEN 0.299::DOUBLE * (0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) + 0.587::DOUBLE * (-0.147108::DOUBLE * r - 0.288804::DOUBLE * g + 0.435912::DOUBLE * b + 0.5)
-  + 0.114::DOUBLE * (0.614777::DOUBLE * r - 0.514799::DOUBLE * g - 0.099978::DOUBLE * b + 0.5) >= 192 THEN 'black' ELSE 'white' END AS on_it FROM k"""
+ CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b >= 192 THEN 'black' ELSE 'white' END AS on_it FROM k"""
 )
 def colours(spark, sf_dir):
     p = fx.table(spark, sf_dir, "part").select("p_partkey")
