@@ -152,16 +152,19 @@ def _shards(unit: Unit, kernel: Callable) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def marked(docs: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
-    """docs (k, doc_id, text) with `parts`, the repeated runs, and `stay`, the windows in them that stay.
+    """docs (k, doc_id, text) with `parts`, the repeated runs, `stay`, the windows in them that stay, and `whole`.
 
-    parts is null where nothing of the document repeats.
+    parts is null where nothing of the document repeats; whole is true where
+    every window does, as in a copy of another document.  Copies of one text
+    are found first and only the one with the least key sends its runs.
     """
     runs = docs.mapInArrow(_runs(unit), "m long, k long, s int, e int")
     runs = runs.where("m is not null and k is not null and s is not null and e is not null").repartition("m")
     # asks for every column, so that both sides of the join read one and the same exchange
     twice = runs.groupBy("m").agg(F.count("*").alias("n"), *(F.max(c).alias(f"_{c}") for c in ("k", "s", "e"))).where("n > 1 and _k is not null and _s is not null and _e is not null").select("m", "n")
     parts = runs.join(twice, "m").groupBy("k").agg(F.collect_list(F.struct("m", "s", "e", (F.col("n") > unit.hot).alias("hot"))).alias("parts"))
-    parts = cut(parts)
+    copies = cut(_copies(docs))
+    parts = cut(parts.join(copies.where("not first").select("k"), "k", "left_anti"))
     placed = docs.repartition("k")
     schema = "m long, seg binary, k long, s int, digest boolean"
 
@@ -173,11 +176,23 @@ def marked(docs: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
     if not parts.where(F.exists("parts", lambda p: p.hot)).isEmpty():
         stay = stay.unionByName(kernel.digest_stays(sent(True)).select("k", F.col("s").alias("p")))
     stay = stay.groupBy("k").agg(F.collect_list("p").alias("stay"))
-    return placed.join(parts.select("k", F.transform("parts", lambda p: F.struct(p.s, p.e)).alias("parts")), "k", "left").join(stay, "k", "left")
+    whole = copies.select("k", kernel.whole(F.col("first")).alias("whole")).where("whole")
+    shown = parts.select("k", F.transform("parts", lambda p: F.struct(p.s, p.e)).alias("parts"))
+    return placed.join(shown, "k", "left").join(stay, "k", "left").join(whole, "k", "left")
 
 
-def repeated_starts(parts, stay) -> np.ndarray:
-    """Starts of the repeated windows of one document."""
+def _copies(docs: DataFrame) -> DataFrame:
+    """(k, first) of the documents whose whole text has another key too; first: it has the least."""
+    text = F.coalesce("text", F.lit(""))
+    ids = docs.select("k", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), F.octet_length(text).alias("n"))
+    groups = ids.groupBy("a", "b", "n").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
+    return ids.join(groups, ["a", "b", "n"]).groupBy("k").agg(F.min(F.col("k") == F.col("low")).alias("first"))
+
+
+def repeated_starts(parts, stay, whole: bool | None, windows: int) -> np.ndarray:
+    """Starts of the repeated windows of one document that has so many windows."""
+    if whole:
+        return np.arange(max(0, windows))
     if parts is None or not len(parts):
         return np.zeros(0, np.int64)
     s = np.array([p[0] for p in parts], np.int64)

@@ -15,6 +15,11 @@ from .keys import keyed
 class Parse:
     """Factor the segments of a reference block against what stands earlier in it."""
 
+    @staticmethod
+    def whole(first):
+        """A copy stands earlier in the first of its group; the first itself need not."""
+        return ~first
+
     @staticmethod
     def wanted(group: np.ndarray, once: np.ndarray) -> np.ndarray:
         return np.ones(len(group), bool)
@@ -83,7 +88,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", t
     unit = repeats.Unit(words=True, length=window, k=min(8, window), hot=hot)
     marked = repeats.marked(keyed(docs, doc_id, text), unit, Parse())
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,last:int>>, kept_text string"
-    return marked.select("doc_id", "text", "parts", "stay").mapInArrow(_keep(window), schema)
+    return marked.select("doc_id", "text", "parts", "stay", "whole").mapInArrow(_keep(window), schema)
 
 
 def _keep(window: int):
@@ -91,9 +96,9 @@ def _keep(window: int):
         for batch in batches:
             for piece in tn.slices(batch, "text"):
                 n_words, removed, spans, kept = [], [], [], []
-                for text, parts, stay in zip(piece.column("text"), piece.column("parts"), piece.column("stay"), strict=True):
+                for text, parts, stay, whole in zip(*(piece.column(c) for c in ("text", "parts", "stay", "whole")), strict=True):
                     words = (text.as_py() or "").encode().split()
-                    starts = repeats.repeated_starts([tuple(p.values()) for p in parts.as_py() or ()], stay.as_py())
+                    starts = repeats.repeated_starts([tuple(p.values()) for p in parts.as_py() or ()], stay.as_py(), whole.as_py(), len(words) - window + 1)
                     gone = repeats.covered(len(words), starts, window)
                     n_words.append(len(words))
                     removed.append(int(gone.sum()))

@@ -86,6 +86,11 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, group: np.ndarray, cap: in
 class SuffixArray:
     """Windows of a shard's segments that stand nowhere else."""
 
+    @staticmethod
+    def whole(first):
+        """Every string of a text with a copy stands elsewhere too."""
+        return F.lit(True)
+
     @staticmethod
     def wanted(group: np.ndarray, once: np.ndarray) -> np.ndarray:
         """Keys whose every segment repeats as a whole have nothing that stays."""
@@ -131,7 +136,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", tex
     unit = repeats.Unit(words=False, length=length, k=min(64, length), hot=hot)
     marked = repeats.marked(keyed(docs, doc_id, text), unit, SuffixArray())
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
-    return marked.select("doc_id", "text", "parts", "stay").mapInArrow(_keep(length), schema)
+    return marked.select("doc_id", "text", "parts", "stay", "whole").mapInArrow(_keep(length), schema)
 
 
 def _keep(length: int):
@@ -140,9 +145,9 @@ def _keep(length: int):
             for piece in tn.slices(batch, "text"):
                 data, off = tn.flat(piece.column("text"))
                 removed, spans, kept = [], [], []
-                for i, (parts, stay) in enumerate(zip(piece.column("parts"), piece.column("stay"), strict=True)):
+                for i, (parts, stay, whole) in enumerate(zip(*(piece.column(c) for c in ("parts", "stay", "whole")), strict=True)):
                     own = data[off[i] : off[i + 1]]
-                    starts = repeats.repeated_starts([tuple(p.values()) for p in parts.as_py() or ()], stay.as_py())
+                    starts = repeats.repeated_starts([tuple(p.values()) for p in parts.as_py() or ()], stay.as_py(), whole.as_py(), len(own) - length + 1)
                     if len(starts):
                         gone = repeats.covered(len(own), starts, length)
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
