@@ -233,14 +233,14 @@ def chase_path(targets: DataFrame, start: tuple[float, float], end: tuple[float,
     return targets.groupBy("instance_id").applyInPandas(run, "instance_id long, t double, path array<struct<x:double,y:double,t:double>>")
 
 
-def service_plan(pieces: DataFrame, demand: DataFrame, max_speed: float) -> DataFrame:
+def service_plan(pieces: DataFrame, demand: DataFrame, max_speed: float, mode: str = "AccuOverlap") -> DataFrame:
     """Times on labelled pieces (route_id, lo, hi, polygons) that give each polygon its demand: (route_id, lo, hi, time)."""
     need = {r["poly_id"]: float(r["demand"]) for r in demand.select("poly_id", "demand").collect()}  # one row a polygon
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lo", kind="stable")
         own = {p for held in pdf["polygons"] for p in held}
-        times = touring.service_times([(float(r.hi - r.lo), set(r.polygons)) for r in pdf.itertuples()], {k: v for k, v in need.items() if k in own}, max_speed)
+        times = touring.service_times([(float(r.hi - r.lo), set(r.polygons)) for r in pdf.itertuples()], {k: v for k, v in need.items() if k in own}, max_speed, mode)
         return pd.DataFrame({"route_id": pdf["route_id"], "lo": pdf["lo"], "hi": pdf["hi"], "time": times if times is not None else [None] * len(pdf)})
 
     return pieces.groupBy("route_id").applyInPandas(run, "route_id long, lo double, hi double, time double")

@@ -66,7 +66,7 @@ def renumber(parts: DataFrame, key: str = "road_id", order: tuple[str, ...] = ("
     return parts.withColumn("new_id", F.row_number().over(Window.orderBy(key, *order)) - 1 + start)
 
 
-def polygon_events(routes: DataFrame, polygons: DataFrame, route_key: str, poly_key: str, seq: str = "seq", ring: str = "poly", tol: Tolerance = DEFAULT) -> DataFrame:
+def polygon_events(routes: DataFrame, polygons: DataFrame, route_key: str, poly_key: str, seq: str = "seq", ring: str = "poly", cell: float = 25.0, tol: Tolerance = DEFAULT) -> DataFrame:
     """Enter, leave and touch events of routes on polygons, with mileage: (route, polygon, mileage, event).
 
     Each segment is cut by each polygon near it; ranges that go on from segment
@@ -77,8 +77,12 @@ def polygon_events(routes: DataFrame, polygons: DataFrame, route_key: str, poly_
     parts = parts.withColumn("d", distance(F.col("s.a"), F.col("s.b"))).withColumn("base", F.coalesce(F.sum("d").over(w), F.lit(0.0)))
     box = _box(polygons, ring)
     q = polygons.select(F.col(poly_key).alias("_q"), F.col(ring).alias("_ring"), *(v.alias(k) for k, v in box.items()))
-    near = (F.greatest("s.a.x", "s.b.x") >= F.col("x0")) & (F.least("s.a.x", "s.b.x") <= F.col("x1")) & (F.greatest("s.a.y", "s.b.y") >= F.col("y0")) & (F.least("s.a.y", "s.b.y") <= F.col("y1"))
-    met = parts.join(q, near).select("_r", "_q", "base", "d", F.explode(ix.inside_ranges("seg", F.col("s"), F.col("_ring"), tol)).alias("w"))
+    own = {"sx0": F.least("s.a.x", "s.b.x"), "sx1": F.greatest("s.a.x", "s.b.x"), "sy0": F.least("s.a.y", "s.b.y"), "sy1": F.greatest("s.a.y", "s.b.y")}
+    parts = _cells(parts.withColumns(own), F.col("sx0"), F.col("sx1"), F.col("sy0"), F.col("sy1"), cell)
+    q = _cells(q, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell)
+    once = (F.col("_cx") == F.floor(F.greatest("sx0", "x0") / cell)) & (F.col("_cy") == F.floor(F.greatest("sy0", "y0") / cell))
+    near = (F.col("sx1") >= F.col("x0")) & (F.col("sx0") <= F.col("x1")) & (F.col("sy1") >= F.col("y0")) & (F.col("sy0") <= F.col("y1"))
+    met = parts.join(q, ["_cx", "_cy"]).where(once & near).select("_r", "_q", "base", "d", F.explode(ix.inside_ranges("seg", F.col("s"), F.col("_ring"), tol)).alias("w"))
     met = met.select("_r", "_q", (F.col("base") + F.col("w.lo") * F.col("d")).alias("lo"), (F.col("base") + F.col("w.hi") * F.col("d")).alias("hi"))
     by = Window.partitionBy("_r", "_q").orderBy("lo", "hi")
     reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))

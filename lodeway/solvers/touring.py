@@ -7,7 +7,7 @@ from itertools import permutations
 
 import numpy as np
 
-from ..errors import MissingParameterError, UnsupportedInputError
+from ..errors import MissingParameterError, SolverNotAvailableError, UnsupportedInputError
 from . import tsp
 
 Point = tuple[float, float]
@@ -281,26 +281,79 @@ def close_enough(start: Point, end: Point, centers: np.ndarray, radii: np.ndarra
     raise UnsupportedInputError("algo must be Exact or Metaheuristic")
 
 
-def service_times(pieces: list[tuple[float, set[int]]], demand: dict[int, float], max_speed: float) -> list[float] | None:
-    """Least times on the pieces (length, regions that cover it) so that every region gets its demand.
+def covering(cover: np.ndarray, need: np.ndarray) -> np.ndarray | None:
+    """x >= 0 of least sum with cover @ x >= need, for cover >= 0; None where impossible.
 
-    Overlaps count for every region.  Starting from full speed, the region with
-    the greatest lack is served on the piece that helps most lacking regions;
-    the solution is then made lean again by taking time away where none lacks.
+    Simplex on the dual (max need @ y, cover.T @ y <= 1), which starts feasible;
+    the prices of its slacks are x.  Bland's rule keeps it from cycling.
     """
-    time = [length / max_speed for length, _ in pieces]
-    got = lambda r: sum(t for t, (_, held) in zip(time, pieces, strict=True) if r in held)
+    m, n = cover.shape
+    if ((cover.sum(axis=1) == 0) & (need > 1e-9)).any():
+        return None
+    t = np.hstack([cover.T, np.eye(n), np.ones((n, 1))]).astype(float)
+    z = np.append(-need.astype(float), np.zeros(n + 1))
     while True:
-        lack = {r: q - got(r) for r, q in demand.items() if q - got(r) > 1e-9}
-        if not lack:
-            break
-        most = max(lack, key=lambda r: (lack[r], r))
-        options = [i for i, (_, held) in enumerate(pieces) if most in held]
-        if not options:
+        enter = np.flatnonzero(z[:-1] < -1e-9)
+        if not len(enter):
+            return np.maximum(z[m:-1], 0.0)
+        j = int(enter[0])
+        rows = np.flatnonzero(t[:, j] > 1e-12)
+        if not len(rows):
             return None
-        pick = max(options, key=lambda i: (sum(1 for r in lack if r in pieces[i][1]), -i))
-        time[pick] += min(lack[r] for r in lack if r in pieces[pick][1])
-    for i in sorted(range(len(pieces)), key=lambda i: len(pieces[i][1])):
-        spare = min((got(r) - demand[r] for r in pieces[i][1] if r in demand), default=math.inf)
-        time[i] -= max(0.0, min(spare, time[i] - pieces[i][0] / max_speed))
-    return time
+        i = int(rows[(t[rows, -1] / t[rows, j]).argmin()])
+        t[i] /= t[i, j]
+        for r in range(n):
+            if r != i and t[r, j]:
+                t[r] -= t[r, j] * t[i]
+        z -= z[j] * t[i]
+
+
+def service_times(pieces: list[tuple[float, set[int]]], demand: dict[int, float], max_speed: float, mode: str = "AccuOverlap") -> list[float] | None:
+    """Least times on the pieces (length, regions that cover it) so that every region gets its demand; None where it can't.
+
+    AccuOverlap: time on a piece counts for every region that covers it (a
+    covering program).  AccuNonOverlap: each instant counts for one region only,
+    so the flow of the driving time to the demands says what is missing.
+    """
+    base = np.array([length / max_speed for length, _ in pieces], float)
+    regions = sorted(demand)
+    cover = np.array([[r in held for _, held in pieces] for r in regions], float).reshape(len(regions), len(pieces))
+    need = np.array([demand[r] for r in regions], float)
+    if mode == "AccuOverlap":
+        extra = covering(cover, np.maximum(need - cover @ base, 0.0))
+        return None if extra is None else list(base + extra)
+    if mode != "AccuNonOverlap":
+        raise SolverNotAvailableError(f"service mode {mode} is not available")
+    if ((cover.sum(axis=1) == 0) & (need > 1e-9)).any():
+        return None
+    flow = np.zeros_like(cover)
+    while True:  # augment along shortest ways region -> piece -> region ...
+        spare, lack = base - flow.sum(axis=0), need - flow.sum(axis=1)
+        came: dict[tuple[str, int], tuple[str, int] | None] = {("r", i): None for i in np.flatnonzero(lack > 1e-9).tolist()}
+        queue, end = list(came), None
+        while queue and end is None:
+            kind, i = queue.pop(0)
+            near = [("p", int(j)) for j in np.flatnonzero(cover[i])] if kind == "r" else [("r", int(j)) for j in np.flatnonzero(flow[:, i] > 1e-9)]
+            for v in near:
+                if v not in came:
+                    came[v] = (kind, i)
+                    if v[0] == "p" and spare[v[1]] > 1e-9:
+                        end = v
+                        break
+                    queue.append(v)
+        if end is None:
+            break
+        way = [end]
+        while came[way[-1]] is not None:
+            way.append(came[way[-1]])
+        way = way[::-1]
+        size = min([spare[end[1]], lack[way[0][1]], *(flow[way[k][1], way[k - 1][1]] for k in range(2, len(way), 2))])
+        for a, b in zip(way, way[1:], strict=False):
+            if a[0] == "r":
+                flow[a[1], b[1]] += size
+            else:
+                flow[b[1], a[1]] -= size
+    time = base.copy()
+    for i in np.flatnonzero(lack > 1e-9):
+        time[int(np.flatnonzero(cover[i])[0])] += lack[i]
+    return list(time)
