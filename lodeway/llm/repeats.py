@@ -119,7 +119,7 @@ def _shards(unit: Unit, kernel: Callable) -> Callable[[Iterator[pa.RecordBatch]]
         at = at[np.lexsort((s[at], k[at]))]
         size = np.diff(off)[at]
         symbol, bounds = unit.symbols(data[tn.ranges(off[:-1][at], size)], np.append(0, np.cumsum(size)))
-        row, shift = kernel(symbol, bounds, once[at], unit)
+        row, shift = kernel.shards(symbol, bounds, once[at], unit, SHARD_BYTES)
         if not len(row):
             return None
         return pa.RecordBatch.from_arrays([pa.array(k[at][row]), pa.array((s[at][row] + shift).astype(np.int32))], ["k", "p"])

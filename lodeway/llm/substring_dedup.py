@@ -34,6 +34,10 @@ class Parse:
     def digest_stays(distinct: DataFrame) -> DataFrame:
         return distinct
 
+    def shards(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block is parsed as a whole: its index takes a few words for each word."""
+        return self(symbol, bounds, once, unit)
+
     def __call__(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
         """Segments come in the order of (document, start).
 

@@ -108,6 +108,33 @@ class SuffixArray:
     def digest_stays(distinct: DataFrame) -> DataFrame:
         return distinct.where("once")
 
+    def shards(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows alone in all shards: each shard by its own suffix array, then merged by binary search.
+
+        A segment belongs to one shard.  A window alone in its shard stays only
+        if the sorted windows of no other shard hold it.
+        """
+        if 2 * len(symbol) <= 3 * limit:
+            return self(symbol, bounds, once, unit)
+        shard = bounds[:-1] // limit
+        border = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(once))
+        rows, shifts, sorted_ = [], [], []
+        for a, b in zip(border, border[1:], strict=False):
+            part, own = symbol[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+            row, shift = self(part, own, once[a:b], unit)
+            rows.append(row + a)
+            shifts.append(shift)
+            starts = tn.ranges(own[:-1], np.maximum(np.diff(own) - unit.length + 1, 0))
+            sorted_.append(np.unique(np.stack(unit.digests(part, starts), axis=1), axis=0))
+        for i, (row, shift) in enumerate(zip(rows, shifts, strict=True)):
+            x, y = unit.digests(symbol, bounds[row] + shift)
+            lone = np.ones(len(row), bool)
+            for j, other in enumerate(sorted_):
+                if j != i:
+                    lone &= ~_held(other, x, y)
+            rows[i], shifts[i] = row[lone], shift[lone]
+        return np.concatenate(rows), np.concatenate(shifts)
+
     def __call__(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
         sa, group = refine(symbol, unit.length)
         lcp = common_prefixes(symbol, sa, group, unit.length)  # by text position
@@ -122,6 +149,19 @@ class SuffixArray:
         return owner[at], at - bounds[owner[at]]
 
 
+def _held(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows of a sorted table of pairs hold each (x, y), by binary search."""
+    at = np.searchsorted(table[:, 0], x)
+    found = np.zeros(len(x), bool)
+    while True:
+        live = np.flatnonzero((at < len(table)) & ~found)
+        live = live[table[at[live], 0] == x[live]]
+        if not len(live):
+            return found
+        found[live] = table[at[live], 1] == y[live]
+        at[live] += 1
+
+
 def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
     """Remove each byte of strings of `length` bytes that stand at two places or more.
 

@@ -179,6 +179,21 @@ def test_suffix_dedup(table, texts, hot):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["h"]) for r in out.collect()} == brute.suffix(texts)
 
 
+def test_shards_merge_to_the_whole():
+    import numpy as np
+
+    from lodeway.llm.repeats import Unit
+
+    rng = np.random.default_rng(6)
+    unit = Unit(words=False, length=24, k=8)
+    base = rng.integers(97, 123, 400).astype(np.uint8)
+    segs = [rng.integers(97, 123, 60).astype(np.uint8) if i % 3 else base[(s := rng.integers(0, 300)) : s + 80] for i in range(60)]
+    symbol, bounds, once = np.concatenate(segs), np.append(0, np.cumsum([len(x) for x in segs])), np.ones(len(segs), bool)
+    kernel = suffix_dedup.SuffixArray()
+    pairs = [sorted(zip(*map(list, kernel.shards(symbol, bounds, once, unit, limit)), strict=True)) for limit in (10**9, 500)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
 def test_suffix_array_kernels():
     import numpy as np
 
