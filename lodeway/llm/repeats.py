@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textnum as tn
 from .keys import cut
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def _payload(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
     def emit(batches):
         for batch in batches:
-            for piece in tn.slices(batch, "text", tn.SLICE_BYTES // 4):
+            for piece in tn.slices(batch, "text"):
                 data, off = tn.flat(piece.column("text"))
                 w = tn.Words(data, off) if unit.words else None
                 symbol, bounds = (w.hash, w.bounds) if w is not None else (data, off)

@@ -25,7 +25,7 @@ NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 BASE = 0x9E3779B97F4A7C13 | 3  # BASE - 1 is 2 mod 4, so powers keep almost full order
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 NONE = U64(MASK)
 
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
