@@ -118,21 +118,21 @@ class SuffixArray:
             return self(symbol, bounds, once, unit)
         shard = bounds[:-1] // limit
         border = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(once))
-        rows, shifts, sorted_ = [], [], []
+        rows, shifts, lone, sorted_ = [], [], [], []
         for a, b in zip(border, border[1:], strict=False):
             part, own = symbol[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
             row, shift = self(part, own, once[a:b], unit)
             rows.append(row + a)
             shifts.append(shift)
+            lone.append(unit.digests(part, own[row] + shift))
             starts = tn.ranges(own[:-1], np.maximum(np.diff(own) - unit.length + 1, 0))
             sorted_.append(np.unique(np.stack(unit.digests(part, starts), axis=1), axis=0))
-        for i, (row, shift) in enumerate(zip(rows, shifts, strict=True)):
-            x, y = unit.digests(symbol, bounds[row] + shift)
-            lone = np.ones(len(row), bool)
+        for i, (x, y) in enumerate(lone):
+            stays = np.ones(len(x), bool)
             for j, other in enumerate(sorted_):
                 if j != i:
-                    lone &= ~_held(other, x, y)
-            rows[i], shifts[i] = row[lone], shift[lone]
+                    stays &= ~_held(other, x, y)
+            rows[i], shifts[i] = rows[i][stays], shifts[i][stays]
         return np.concatenate(rows), np.concatenate(shifts)
 
     def __call__(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
