@@ -152,7 +152,26 @@ def inside_ranges(kind: str, s: Column, ring: Column, tol: Tolerance = DEFAULT)
     at = lambda r: pt(s.a.x + r * dx, s.a.y + r * dy)
     low, high = RANGE[kind]
     ends = [F.lit(x) for x in (low, high) if abs(x) < 2]
-    met = F.filter(F.flatten(F.transform(edges(ring), lambda e: F.transform(F.coalesce(intersect(kind, s, "seg", e, tol)["points"], F.array().cast("array<struct<x:double,y:double>>")), on))), lambda r: r.isNotNull())
+    none = F.array().cast("array<double>")
+
+    def cuts_of(e: Column) -> Column:
+        ex, ey = e.b.x - e.a.x, e.b.y - e.a.y
+        det = dx * ey - dy * ex
+        values = F.struct(det.alias("det"), ((e.a.x - s.a.x) * ey - (e.a.y - s.a.y) * ex).alias("u"), ((e.a.x - s.a.x) * dy - (e.a.y - s.a.y) * dx).alias("v"), F.abs(cross(s.a, s.b, e.a)).alias("off"), e.alias("e"))
+
+        def params(o: Column) -> Column:
+            u, v = o["u"] / o["det"], o["v"] / o["det"]
+            slack, over = tol.point / F.sqrt(squared), tol.point / distance(o["e"].a, o["e"].b)
+            near = (v >= -over) & (v <= 1 + over)
+            if low == 0.0:
+                near = near & (u >= -slack)
+            if high == 1.0:
+                near = near & (u <= 1 + slack)
+            return F.when(F.abs(o["det"]) <= tol.collinear, F.when(o["off"] <= tol.collinear, F.array(on(o["e"].a), on(o["e"].b))).otherwise(none)).when(near, F.array(u)).otherwise(none)
+
+        return bind(values, params)
+
+    met = F.filter(F.flatten(F.transform(edges(ring), cuts_of)), lambda r: r.isNotNull())
     clipped = F.transform(met, lambda r: F.greatest(F.lit(low), F.least(F.lit(high), r)))
     cuts = F.array_sort(F.array_distinct(F.concat(clipped, F.array(*ends)) if ends else clipped))
     n = F.size(cuts)
@@ -160,6 +179,10 @@ def inside_ranges(kind: str, s: Column, ring: Column, tol: Tolerance = DEFAULT)
     def ranges(c: Column) -> Column:
         pieces = F.zip_with(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
         held = F.filter(pieces, lambda w: bind(at((w.lo + w.hi) / 2), lambda m: point_in_polygon(m, ring, False, tol) | point_on_ring(m, ring, tol)))
+        return bind(held, lambda h: whole(c, h))
+
+    def whole(c: Column, held: Column) -> Column:
+        """Pieces joined, and the points where the shape only touches the boundary."""
         empty = F.array().cast("array<struct<lo:double,hi:double>>")
         joined = F.aggregate(
             held,
@@ -168,7 +191,7 @@ def inside_ranges(kind: str, s: Column, ring: Column, tol: Tolerance = DEFAULT)
                 F.concat(acc, F.array(w))
             ),
         )
-        lone = F.filter(c, lambda r: bind(at(r), lambda m: point_on_ring(m, ring, tol)) & ~F.exists(held, lambda w: (w.lo <= r) & (r <= w.hi)))
+        lone = F.filter(c, lambda r: ~F.exists(held, lambda w: (w.lo <= r) & (r <= w.hi)) & bind(at(r), lambda m: point_on_ring(m, ring, tol)))
         return F.array_sort(F.concat(joined, F.transform(lone, lambda r: F.struct(r.alias("lo"), r.alias("hi")))))
 
     return F.when(n > 0, bind(cuts, ranges)).otherwise(F.array().cast("array<struct<lo:double,hi:double>>"))
@@ -218,9 +241,14 @@ def join_polylines(p: Column, q: Column, tol: Tolerance = DEFAULT) -> Column:
 
 def polyline_in_polygon(seq: Column, ring: Column, tol: Tolerance = DEFAULT) -> Column:
     """The parts of a polyline in the filled polygon, as an array of polylines; parts that touch are one."""
+    from .predicates import box_meets_segment
     from .shapes import segments
 
-    parts = F.flatten(F.transform(segments(seq), lambda s: F.transform(with_polygon("seg", s, ring, tol), lambda part: part["points"])))
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    box = F.struct(F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+    cut = lambda s: F.transform(with_polygon("seg", s, ring, tol), lambda part: part["points"])
+    parts = bind(box, lambda b: F.flatten(F.transform(segments(seq), lambda s: F.when(box_meets_segment(s, b), cut(s)).otherwise(none))))
     empty = F.array().cast("array<array<struct<x:double,y:double>>>")
 
     def grow(acc: Column, part: Column) -> Column:

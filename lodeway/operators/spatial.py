@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import intersections as ix
 from ..functions.distances import length
-from ..functions.predicates import point_in_polygon, polygon_meets_polygon
+from ..functions.predicates import box_meets_segment, point_in_polygon, polygon_meets_polygon
 from ..functions.sequences import remove_degenerate
-from ..functions.shapes import distance, pt, segments
+from ..functions.shapes import distance, segments
 from ..tolerance import DEFAULT, Tolerance
 
 
@@ -81,7 +81,7 @@ def polygon_events(routes: DataFrame, polygons: DataFrame, route_key: str, poly_
     parts = _cells(parts.withColumns(own), F.col("sx0"), F.col("sx1"), F.col("sy0"), F.col("sy1"), cell)
     q = _cells(q, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), cell)
     once = (F.col("_cx") == F.floor(F.greatest("sx0", "x0") / cell)) & (F.col("_cy") == F.floor(F.greatest("sy0", "y0") / cell))
-    near = (F.col("sx1") >= F.col("x0")) & (F.col("sx0") <= F.col("x1")) & (F.col("sy1") >= F.col("y0")) & (F.col("sy0") <= F.col("y1"))
+    near = box_meets_segment(F.col("s"), F.struct(F.col("x0").alias("x_min"), F.col("x1").alias("x_max"), F.col("y0").alias("y_min"), F.col("y1").alias("y_max")))
     met = parts.join(q, ["_cx", "_cy"]).where(once & near).select("_r", "_q", "base", "d", F.explode(ix.inside_ranges("seg", F.col("s"), F.col("_ring"), tol)).alias("w"))
     met = met.select("_r", "_q", (F.col("base") + F.col("w.lo") * F.col("d")).alias("lo"), (F.col("base") + F.col("w.hi") * F.col("d")).alias("hi"))
     by = Window.partitionBy("_r", "_q").orderBy("lo", "hi")
@@ -126,9 +126,9 @@ def visibility(polygons: DataFrame, key: str = "poly_id", ring: str = "poly") ->
     order = (F.col("a_poly_id") < F.col("b_poly_id")) | ((F.col("a_poly_id") == F.col("b_poly_id")) & (F.col("a_vertex") < F.col("b_vertex")))
     pairs = a.join(b, order)
     seg = F.struct(F.col("a_loc").alias("a"), F.col("b_loc").alias("b"))
-    walls = polygons.select(F.col(ring).alias("_wall"))
+    b = _box(polygons, ring)
+    box = F.struct(b["x0"].alias("x_min"), b["x1"].alias("x_max"), b["y0"].alias("y_min"), b["y1"].alias("y_max"))
+    walls = polygons.select(F.col(ring).alias("_wall"), box.alias("_box"))
     inner = F.exists(ix.with_polygon("seg", seg, F.col("_wall")), lambda part: part["interior"])
-    return pairs.join(walls, inner, "left_anti").select("a_poly_id", "a_vertex", "b_poly_id", "b_vertex", distance(F.col("a_loc"), F.col("b_loc")).alias("dist"))
-
-
-make_point = pt
+    blocked = F.when(box_meets_segment(seg, F.col("_box")), inner).otherwise(F.lit(False))
+    return pairs.join(walls, blocked, "left_anti").select("a_poly_id", "a_vertex", "b_poly_id", "b_vertex", distance(F.col("a_loc"), F.col("b_loc")).alias("dist"))

@@ -65,7 +65,11 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
-    """(instance_id, node_id, x, y, price, demand, lo, hi, service_time) of customers by nation; most: the lowest ids only"""
+    """(instance_id, node_id, x, y, price, demand, lo, hi, service_time): all customers, one instance a nation.
+
+    most: each nation is cut into instances of so many customers in the order of
+    their ids, for solvers that take small instances only.
+    """
     c = customers(spark, sf_dir)
     k = F.col("node_id")
     lo = ((k * 37) % 500).cast("double")
@@ -73,7 +77,8 @@ def instances(spark: SparkSession, sf_dir: str, most: int | None = None) -> Data
     if most is None:
         return df
     w = Window.partitionBy("instance_id").orderBy("node_id")
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    part = F.floor((F.row_number().over(w) - 1) / most)
+    return df.withColumn("_part", part).withColumn("instance_id", F.col("instance_id") * 1_000_000 + F.col("_part")).drop("_part")
 
 
 #: The same shapes in DuckDB, as CTEs.

@@ -152,12 +152,11 @@ def polygon_measures(spark, sf_dir):
     + """, c AS (SELECT depot_id, poly_id, sum(CASE WHEN (ay > dep.y) <> (by_ > dep.y) AND dep.x < ax + (dep.y - ay) * (bx - ax) / (by_ - ay) THEN 1 ELSE 0 END) % 2 = 1 AS inside,
    min(sqrt(pow(dep.x - (ax + least(1, greatest(0, ((dep.x - ax) * (bx - ax) + (dep.y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) * (bx - ax)), 2)
      + pow(dep.y - (ay + least(1, greatest(0, ((dep.x - ax) * (bx - ax) + (dep.y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) * (by_ - ay)), 2))) AS d
- FROM dep, edge WHERE depot_id < 40 GROUP BY depot_id, poly_id)
+ FROM dep, edge GROUP BY depot_id, poly_id)
 SELECT depot_id, poly_id, round(CASE WHEN inside THEN 0 ELSE d END, 5) AS dist FROM c"""
 )
 def point_polygon_distance(spark, sf_dir):
-    d = fx.depots(spark, sf_dir).where("depot_id < 40")
-    return d.crossJoin(F.broadcast(fx.polygons(spark, sf_dir))).select("depot_id", "poly_id", F.round(dist.to_polygon(F.col("loc"), F.col("poly")), 5).alias("dist"))
+    return fx.depots(spark, sf_dir).crossJoin(F.broadcast(fx.polygons(spark, sf_dir))).select("depot_id", "poly_id", F.round(dist.to_polygon(F.col("loc"), F.col("poly")), 5).alias("dist"))
 
 
 @query(
@@ -175,10 +174,11 @@ def polygon_pairs(spark, sf_dir):
 
 @query()
 def segment_polygon_parts(spark, sf_dir):
-    m = fx.moves(spark, sf_dir).where("event_id % 5 = 0")
-    box = F.col("poly")
-    parts = ix.with_polygon("seg", F.col("s"), box)
-    out = m.join(F.broadcast(fx.polygons(spark, sf_dir).where("poly_id < 5"))).select("event_id", "poly_id", F.posexplode(parts).alias("part", "r"), F.size(ix.seg_minus_polygon(F.col("s"), box)).alias("n_outside"))
+    ring = F.col("poly")
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    box = F.struct(F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+    near = fx.moves(spark, sf_dir).join(F.broadcast(fx.polygons(spark, sf_dir).withColumn("box", box)), pr.box_meets_segment(F.col("s"), F.col("box")))
+    out = near.select("event_id", "poly_id", F.posexplode(ix.with_polygon("seg", F.col("s"), ring)).alias("part", "r"), F.size(ix.seg_minus_polygon(F.col("s"), ring)).alias("n_outside"))
     return out.select("event_id", "poly_id", "part", "r.type", "r.interior", F.round(dist.euclidean(F.col("r.points")[0], F.element_at("r.points", -1)), 4).alias("way"), "n_outside")
 
 

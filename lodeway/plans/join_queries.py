@@ -77,14 +77,14 @@ def distance_table_lookup(spark, sf_dir):
 @query()
 def distance_table_grid(spark, sf_dir):
     barriers = [(c, r) for c in range(20) for r in range(20) if (c * 7 + r * 13) % 5 == 0]
-    c = fx.customers(spark, sf_dir).where("nation_id = 3").withColumn("loc", pt(F.floor(F.col("loc.x") / 5.01), F.floor(F.col("loc.y") / 5.01)))
+    c = fx.customers(spark, sf_dir).withColumn("loc", pt(F.floor(F.col("loc.x") / 5.01), F.floor(F.col("loc.y") / 5.01)))
     return pairs.distance_table(c, "Grid", group="nation_id", column=20, row=20, barriers=barriers)
 
 
 @query()
 def distance_table_obstacles(spark, sf_dir):
     walls = [[(30, 30), (60, 30), (60, 60), (30, 60)], [(70, 10), (90, 10), (80, 40)]]
-    return pairs.distance_table(fx.customers(spark, sf_dir).where("nation_id = 3"), "EuclideanBarrier", group="nation_id", polygons=walls).withColumn("dist", F.round("dist", 6))
+    return pairs.distance_table(fx.customers(spark, sf_dir), "EuclideanBarrier", group="nation_id", polygons=walls).withColumn("dist", F.round("dist", 6))
 
 
 @query(fx.with_("cust") + "SELECT node_id AS dst, sqrt((x - 50) * (x - 50) + (y - 50) * (y - 50)) AS dist, sqrt((x - 50) * (x - 50) + (y - 50) * (y - 50)) AS rev_dist FROM cust")
@@ -208,26 +208,26 @@ def earliest_available(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS a, CAST((c_custkey * 37) % 500 AS DOUBLE) AS lo1, CAST((c_custkey * 37) % 500 + 5 + (c_custkey * 53) % 20 AS DOUBLE) AS hi1 FROM customer WHERE c_custkey < 400),
+    """WITH c AS (SELECT c_custkey AS a, CAST((c_custkey * 37) % 500 AS DOUBLE) AS lo1, CAST((c_custkey * 37) % 500 + 5 + (c_custkey * 53) % 20 AS DOUBLE) AS hi1 FROM customer),
  s AS (SELECT s_suppkey AS b, CAST((s_suppkey * 71) % 500 AS DOUBLE) AS lo2, CAST((s_suppkey * 71) % 500 + 3 + (s_suppkey * 29) % 40 AS DOUBLE) AS hi2 FROM supplier)
 SELECT a, b FROM c JOIN s ON greatest(lo1, lo2) <= least(hi1, hi2)"""
 )
 def overlapping_intervals(spark, sf_dir):
     k, s = F.col("c_custkey").cast("long"), F.col("s_suppkey").cast("long")
     lo1, lo2 = ((k * 37) % 500).cast("double"), ((s * 71) % 500).cast("double")
-    c = fx.table(spark, sf_dir, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("a"), lo1.alias("lo1"), (lo1 + 5 + (k * 53) % 20).alias("hi1"))
+    c = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), lo1.alias("lo1"), (lo1 + 5 + (k * 53) % 20).alias("hi1"))
     p = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), lo2.alias("lo2"), (lo2 + 3 + (s * 29) % 40).alias("hi2"))
     return trajectories.overlapping(c, p, "lo1", "hi1", "lo2", "hi2", 50.0).select("a", "b")
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS a, CAST((c_custkey * 37) % 500 AS DOUBLE) AS lo, CAST((c_custkey * 37) % 500 + 5 + (c_custkey * 53) % 20 AS DOUBLE) AS hi FROM customer WHERE c_custkey < 400)
+    """WITH c AS (SELECT c_custkey AS a, CAST((c_custkey * 37) % 500 AS DOUBLE) AS lo, CAST((c_custkey * 37) % 500 + 5 + (c_custkey * 53) % 20 AS DOUBLE) AS hi FROM customer)
 SELECT a, s_suppkey AS b FROM c JOIN supplier ON CAST((s_suppkey * 71) % 500 AS DOUBLE) BETWEEN lo AND hi"""
 )
 def stabbed_intervals(spark, sf_dir):
     k = F.col("c_custkey").cast("long")
     lo = ((k * 37) % 500).cast("double")
-    c = fx.table(spark, sf_dir, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("a"), lo.alias("lo"), (lo + 5 + (k * 53) % 20).alias("hi"))
+    c = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), lo.alias("lo"), (lo + 5 + (k * 53) % 20).alias("hi"))
     p = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), ((F.col("s_suppkey").cast("long") * 71) % 500).cast("double").alias("at"))
     return trajectories.stabbing(c, p, "lo", "hi", "at", 50.0).select("a", "b")
 
@@ -300,19 +300,19 @@ def polygon_differences(spark, sf_dir):
 
 @query()
 def polygon_visibility(spark, sf_dir):
-    return spatial.visibility(fx.polygons(spark, sf_dir).where("poly_id < 4"))
+    return spatial.visibility(fx.polygons(spark, sf_dir))
 
 
 @query()
 def route_polygon_events(spark, sf_dir):
-    r = fx.roads(spark, sf_dir).where("road_id % 50 = 0 and size(shape) > 1")
+    r = fx.roads(spark, sf_dir).where("size(shape) > 1")
     e = spatial.polygon_events(r, fx.polygons(spark, sf_dir), "road_id", "poly_id", "shape")
     return e.select("road_id", "poly_id", F.round("mileage", 4).alias("mileage"), "event")
 
 
 @query()
 def route_pieces(spark, sf_dir):
-    r = fx.roads(spark, sf_dir).where("road_id % 50 = 0 and size(shape) > 1")
+    r = fx.roads(spark, sf_dir).where("size(shape) > 1")
     e = spatial.polygon_events(r, fx.polygons(spark, sf_dir), "road_id", "poly_id", "shape")
     p = spatial.label_pieces(e, r, "road_id", "poly_id", "shape")
     return p.select("road_id", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), F.concat_ws(",", F.col("polygons").cast("array<string>")).alias("polygons"))
@@ -320,7 +320,7 @@ def route_pieces(spark, sf_dir):
 
 @query()
 def clipped_roads(spark, sf_dir):
-    r = fx.roads(spark, sf_dir).where("road_id % 50 = 0 and size(shape) > 1")
+    r = fx.roads(spark, sf_dir).where("size(shape) > 1")
     from ..functions.distances import length
 
     out = spatial.clip_roads(r, fx.polygons(spark, sf_dir))

@@ -234,7 +234,7 @@ def _insert_order(s: np.ndarray, e: np.ndarray, centers: np.ndarray, radii: np.n
     return order
 
 
-def close_enough_genetic(start: Point, end: Point, centers: np.ndarray, radii: np.ndarray, seed: int = 0, population: int = 12, generations: int = 40) -> tuple[float, list[int], np.ndarray]:
+def close_enough_genetic(start: Point, end: Point, centers: np.ndarray, radii: np.ndarray, seed: int = 0, population: int = 10, generations: int = 25) -> tuple[float, list[int], np.ndarray]:
     """Genetic search over orders; a child keeps a stretch of one parent and the order of the other."""
     rng = np.random.default_rng(seed)
     s, e, n = np.asarray(start, float), np.asarray(end, float), len(centers)

@@ -201,7 +201,7 @@ def simulated_annealing(d: np.ndarray, tour: Tour, seed: int = 0, start: float =
     now = best = cost(d, t)
     top, heat = list(t), start
     share = np.cumsum(np.asarray(weights, float) / sum(weights))
-    moves = moves or 20 * n
+    moves = moves or 6 * n
     while heat > end:
         for _ in range(moves):
             kind = int(np.searchsorted(share, rng.random(), side="right"))
