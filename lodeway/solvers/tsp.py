@@ -73,10 +73,7 @@ def sweep(xy: np.ndarray, depot: int = 0) -> Tour:
 
 
 def christofides(d: np.ndarray, depot: int = 0) -> Tour:
-    """Minimum spanning tree, matching of its odd nodes, Euler tour, short cuts.
-
-    The matching is optimal up to 14 odd nodes and improved greedy beyond.
-    """
+    """Minimum spanning tree, minimum-weight perfect matching of its odd nodes, Euler tour, short cuts."""
     n = len(d)
     w = np.minimum(d, d.T)
     if n < 3:
@@ -109,42 +106,215 @@ def christofides(d: np.ndarray, depot: int = 0) -> Tour:
 
 
 def matching(w: np.ndarray, nodes: list[int]) -> list[tuple[int, int]]:
-    """Perfect matching of an even set of nodes with little weight."""
-    if len(nodes) <= 14:
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        full = (1 << len(nodes)) - 1
-        for mask in range(full):
-            if mask not in best:
-                continue
-            c, pairs = best[mask]
-            i = next(b for b in range(len(nodes)) if not mask >> b & 1)
-            for j in range(i + 1, len(nodes)):
-                if not mask >> j & 1:
-                    to, value = mask | 1 << i | 1 << j, c + w[nodes[i], nodes[j]]
-                    if to not in best or value < best[to][0]:
-                        best[to] = (value, (*pairs, (nodes[i], nodes[j])))
-        return list(best[full][1])
-    open_, pairs = set(nodes), []
-    for _, i, j in sorted((w[i, j], i, j) for i in nodes for j in nodes if i < j):
-        if i in open_ and j in open_:
-            pairs.append((i, j))
-            open_ -= {i, j}
-    better = True
-    while better:
-        better = False
-        for x in range(len(pairs)):
-            for y in range(x):
-                (a, b), (c, e) = pairs[x], pairs[y]
-                for p, q in (((a, c), (b, e)), ((a, e), (b, c))):
-                    if w[p] + w[q] < w[a, b] + w[c, e] - 1e-9:
-                        pairs[x], pairs[y] = p, q
-                        better = True
-                        break
-                if better:
-                    break
-            if better:
-                break
-    return pairs
+    """Perfect matching of least weight of an even set of nodes, by blossoms (primal-dual, O(n^3)) at every size.
+
+    Weights are rounded to 2^-43 of the greatest, so labels are exact integers;
+    an infinite weight counts as more than all finite ones together.
+    """
+    n = len(nodes)
+    if n == 0:
+        return []
+    c = np.minimum(w, w.T)[np.ix_(nodes, nodes)].astype(float)
+    np.fill_diagonal(c, 0.0)
+    c[~np.isfinite(c)] = (n + 1) * max(1.0, float(c[np.isfinite(c)].max()))
+    top = float(c.max())
+    # twice an integer: then all labels of one search have the same parity and half a slack is an integer
+    gain = 2 * np.rint((top - c) * (2.0**43 / top if top else 1.0)).astype(np.int64)
+    np.fill_diagonal(gain, -(1 << 58))
+    mate = _Blossoms(gain).solve()
+    return [(nodes[i], nodes[j]) for i, j in enumerate(mate) if i < j]
+
+
+class _Blossoms:
+    """Perfect matching of greatest integer weight in a complete graph of an even number of nodes.
+
+    Ids under n are nodes, the others blossoms; -1 stands for none.  eu[a, b] and
+    ev[a, b] are the ends of the edge of least slack between a and b.
+    """
+
+    def __init__(self, w: np.ndarray) -> None:
+        self.n = n = len(w)
+        size = 2 * n
+        self.w = w
+        self.lab = np.zeros(size, np.int64)
+        self.lab[:n] = w.max(axis=1)
+        self.eu, self.ev = np.zeros((size, size), np.int32), np.zeros((size, size), np.int32)
+        self.eu[:n, :n], self.ev[:n, :n] = np.arange(n)[:, None], np.arange(n)[None]
+        self.match, self.top, self.parent, self.slack, self.state = (np.full(size, -1) for _ in range(5))
+        self.top[:n] = np.arange(n)
+        self.source = np.full((size, n), -1)  # the part of a blossom that holds a node
+        self.source[np.arange(n), np.arange(n)] = np.arange(n)
+        self.parts: list[list[int]] = [[] for _ in range(size)]
+        self.leaves = [np.array([i]) for i in range(n)] + [np.zeros(0, int)] * n
+        self.queue: list[int] = []
+
+    def solve(self) -> list[int]:
+        while self._phase():
+            pass
+        return [int(v) for v in self.match[: self.n]]
+
+    def _gap(self, a, b):
+        u, v = self.eu[a, b], self.ev[a, b]
+        return self.lab[u] + self.lab[v] - 2 * self.w[u, v]
+
+    def _set_slack(self, x: int) -> None:
+        outer = np.flatnonzero((self.top[: self.n] != x) & (self.state[self.top[: self.n]] == 0))
+        self.slack[x] = outer[self._gap(outer, x).argmin()] if len(outer) else -1
+
+    def _set_top(self, x: int, b: int) -> None:
+        self.top[x] = b
+        for part in self.parts[x]:
+            self._set_top(part, b)
+
+    def _turned(self, b: int, part: int) -> int:
+        """Even position of a part; the blossom is turned round where it is odd."""
+        parts = self.parts[b]
+        at = parts.index(part)
+        if at % 2:
+            parts[1:] = parts[:0:-1]
+            return len(parts) - at
+        return at
+
+    def _set_match(self, u: int, v: int) -> None:
+        self.match[u] = self.ev[u, v]
+        if u < self.n:
+            return
+        part = int(self.source[u, self.eu[u, v]])
+        at = self._turned(u, part)
+        parts = self.parts[u]
+        for i in range(at):
+            self._set_match(parts[i], parts[i ^ 1])
+        self._set_match(part, v)
+        self.parts[u] = parts[at:] + parts[:at]
+
+    def _mate(self, x: int) -> int:
+        return int(self.top[self.match[x]]) if self.match[x] >= 0 else -1
+
+    def _augment(self, u: int, v: int) -> None:
+        while True:
+            before = self._mate(u)
+            self._set_match(u, v)
+            if before < 0:
+                return
+            u, v = int(self.top[self.parent[before]]), before
+            self._set_match(v, u)
+
+    def _above(self, x: int) -> int:
+        """Next outer blossom on the way to the root."""
+        mate = self._mate(x)
+        return int(self.top[self.parent[mate]]) if mate >= 0 else -1
+
+    def _meet(self, u: int, v: int) -> int:
+        seen = set()
+        while u >= 0 or v >= 0:
+            if u >= 0:
+                if u in seen:
+                    return u
+                seen.add(u)
+                u = self._above(u)
+            u, v = v, u
+        return -1
+
+    def _shrink(self, u: int, root: int, v: int) -> None:
+        n = self.n
+        b = n + int(np.flatnonzero(self.top[n:] < 0)[0])
+        self.lab[b], self.state[b], self.match[b], self.parent[b] = 0, 0, self.match[root], self.parent[root]
+        sides = []
+        for x in (u, v):
+            side = []
+            while x != root:
+                y = self._mate(x)
+                side += [x, y]
+                self.queue.extend(self.leaves[y].tolist())
+                x = int(self.top[self.parent[y]])
+            sides.append(side)
+        parts = self.parts[b] = [root, *sides[0][::-1], *sides[1]]
+        self.leaves[b] = np.concatenate([self.leaves[p] for p in parts])
+        self._set_top(b, b)
+        live = np.flatnonzero(self.top >= 0)
+        many = np.asarray(parts)[:, None]
+        pick = many[self._gap(many, live).argmin(axis=0), 0]
+        self.eu[b, live], self.ev[b, live] = self.eu[pick, live], self.ev[pick, live]
+        self.eu[live, b], self.ev[live, b] = self.ev[b, live], self.eu[b, live]
+        self.source[b] = -1
+        for p in parts:
+            self.source[b, self.leaves[p]] = p
+        self._set_slack(b)
+
+    def _expand(self, b: int) -> None:
+        parts = self.parts[b]
+        for p in parts:
+            self._set_top(p, p)
+        part = int(self.source[b, self.eu[b, self.parent[b]]])
+        at = self._turned(b, part)
+        for i in range(0, at, 2):
+            inner, outer = parts[i], parts[i + 1]
+            self.parent[inner] = self.eu[outer, inner]
+            self.state[inner], self.state[outer] = 1, 0
+            self.slack[inner] = -1
+            self._set_slack(outer)
+            self.queue.extend(self.leaves[outer].tolist())
+        self.state[part], self.parent[part] = 1, self.parent[b]
+        for p in parts[at + 1 :]:
+            self.state[p] = -1
+            self._set_slack(p)
+        self.top[b], self.parts[b] = -1, []
+
+    def _tight(self, eu: int, ev: int) -> bool:
+        """Take an edge without slack into the search; true where it ends an augmenting path."""
+        u, v = int(self.top[eu]), int(self.top[ev])
+        if self.state[v] < 0:
+            mate = self._mate(v)
+            self.parent[v], self.state[v], self.state[mate] = eu, 1, 0
+            self.slack[v] = self.slack[mate] = -1
+            self.queue.extend(self.leaves[mate].tolist())
+        elif self.state[v] == 0:
+            root = self._meet(u, v)
+            if root < 0:
+                self._augment(u, v)
+                self._augment(v, u)
+                return True
+            self._shrink(u, root, v)
+        return False
+
+    def _phase(self) -> bool:
+        """One search from all free nodes; false where none is free."""
+        n, top, state, lab, slack = self.n, self.top, self.state, self.lab, self.slack
+        state[:], slack[:] = -1, -1
+        self.queue = []
+        for x in np.flatnonzero((top == np.arange(2 * n)) & (self.match < 0)):
+            self.parent[x], state[x] = -1, 0
+            self.queue.extend(self.leaves[x].tolist())
+        if not self.queue:
+            return False
+        while True:
+            while self.queue:
+                u = self.queue.pop()
+                if state[top[u]] == 1:
+                    continue
+                gap = lab[u] + lab[:n] - 2 * self.w[u]
+                for v in np.flatnonzero(gap == 0):
+                    if top[u] != top[v] and self._tight(u, int(v)):
+                        return True
+                x = np.unique(top[:n])
+                x = x[x != top[u]]
+                old = np.where(slack[x] >= 0, self._gap(slack[x], x), np.iinfo(np.int64).max)
+                slack[x[self._gap(u, x) < old]] = u
+            ids = np.flatnonzero(top == np.arange(2 * n))
+            inner = ids[(ids >= n) & (state[ids] == 1)]
+            x = ids[(slack[ids] >= 0) & (state[ids] <= 0)]
+            gap = self._gap(slack[x], x)
+            step = int(min(*np.where(state[x] == 0, gap // 2, gap).tolist(), *(lab[inner] // 2).tolist(), 1 << 60))
+            kind = state[top[:n]]
+            lab[:n] += step * (kind == 1) - step * (kind == 0)
+            blossoms = ids[ids >= n]
+            lab[blossoms] += 2 * step * (state[blossoms] == 0) - 2 * step * (state[blossoms] == 1)
+            for i in x[self._gap(slack[x], x) == 0]:
+                if top[i] == i and slack[i] >= 0 and top[slack[i]] != i and self._gap(slack[i], i) == 0 and self._tight(int(self.eu[slack[i], i]), int(self.ev[slack[i], i])):
+                    return True
+            for b in inner[lab[inner] == 0]:
+                if top[b] == b and state[b] == 1:
+                    self._expand(int(b))
 
 
 def two_opt(d: np.ndarray, tour: Tour, rounds: int = 10_000) -> Tour:

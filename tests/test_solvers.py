@@ -39,6 +39,24 @@ def test_tours(seed):
     assert tsp.cost(d, tsp.christofides(d)) <= 1.5 * best + 1e-9
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_matching_is_least_beyond_14_nodes(seed):
+    n, rng = 16, np.random.default_rng(seed)
+    xy = rng.uniform(0, 100, (n, 2)) if seed % 2 else rng.integers(0, 5, (n, 2)).astype(float)
+    w = np.linalg.norm(xy[:, None] - xy[None], axis=2)
+    least = {0: 0.0}
+    for mask in range((1 << n) - 1):
+        if mask in least:
+            i = next(b for b in range(n) if not mask >> b & 1)
+            for j in range(i + 1, n):
+                if not mask >> j & 1:
+                    to = mask | 1 << i | 1 << j
+                    least[to] = min(least.get(to, math.inf), least[mask] + w[i, j])
+    pairs = tsp.matching(w, list(range(n)))
+    assert sorted(x for p in pairs for x in p) == list(range(n))
+    assert math.isclose(sum(w[p] for p in pairs), least[(1 << n) - 1], abs_tol=1e-9)
+
+
 def test_asymmetric_two_opt():
     d = np.random.default_rng(5).uniform(1, 100, (9, 9))
     t = tsp.two_opt(d, list(range(9)))
