@@ -7,7 +7,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Public licence notices by family.
@@ -85,7 +85,15 @@ OTHER = (
 )
 UNKNOWN = "unknown"
 ANCHOR = r"(?i)licen[cs]|copyright|public domain|cc0|all rights reserved|warrant|\bgnu\b|free of charge|redistribut|proprietary|creative commons|\bcc by"
+#: The same terms where a line may end between two words.
+WRAPPED = ANCHOR.replace(" ", r"\s+")
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Words of a window over wrapped lines: half as many again as the longest template has.
+REACH = 3 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts) // 2
+#: Up to eight words of one line; windows start and end at the borders of these.
+PIECE = r"\S++(?:[^\S\n]++\S++){0,7}"
+#: A line's end, or a piece with the window that starts there as group 1; a window ends at a blank line.
+WINDOW = rf"\n|(?=(\S++(?:[^\S\n]*+\n?[^\S\n]*+\S++){{0,{REACH - 1}}})){PIECE}"
 
 
 def grams(text: str) -> list[str]:
@@ -147,21 +155,71 @@ def train(seed: int = 11, copies: int = 12, steps: int = 300, l2: float = 1e-3)
     return names, {g: [round(v, 6) for v in w[i]] for g, i in vocab.items()}, [round(v, 6) for v in w[-1]], cut
 
 
+def _grams(text: Column) -> tuple[Column, Column]:
+    """Words of a text, and from a column of them its distinct words and word pairs."""
+    pair = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})")), F.array_distinct(F.concat("w", F.filter(pair, lambda x: x.isNotNull())))
+
+
+def _shares() -> dict[str, Column]:
+    """By family the greatest share of a template's grams that are in the column grams."""
+    share = lambda t: F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, grams(t))))) / F.lit(float(len(grams(t))))
+    return {family: F.greatest(*map(share, texts)) if len(texts) > 1 else share(texts[0]) for family, texts in TEMPLATES.items()}
+
+
+def _candidates(docs: DataFrame, doc_id: str, text: str, confirm: float) -> DataFrame:
+    """One row for each line with an anchor term and each stretch of wrapped lines that may hold a template; nulls where a document has none.
+
+    Columns doc_id, h, first and last (lines), a and b (pieces of a stretch; a
+    is null for a line) and paragraph.
+    """
+    body = docs[text].cast("string")
+    row = "array<struct<first:int,a:int,text:string>>"
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x, i: F.struct(i.cast("int").alias("first"), F.lit(None).cast("int").alias("a"), x.alias("text"))), lambda x: x.text.rlike(ANCHOR))
+
+    def wrapped(all_: Column) -> Column:
+        found = F.filter(F.transform(all_, lambda v, i: F.struct(v.alias("text"), i.cast("int").alias("a"))), lambda x: x.text.contains("\n") & x.text.rlike(WRAPPED))
+        line = lambda x: F.size(F.filter(F.slice(all_, F.lit(1), x.a), lambda v: v == ""))
+        return F.transform(found, lambda x: F.struct(line(x).alias("first"), x.a.alias("a"), x.text.alias("text")))
+
+    windows = F.transform(F.array(F.regexp_extract_all(body, F.lit(WINDOW), F.lit(1))), wrapped)[0]
+    both = F.when(body.rlike(WRAPPED), F.concat(lines.cast(row), windows.cast(row)))
+    df = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("h"), F.explode_outer(both).alias("p")).select("doc_id", "h", "p.*")
+    w, g = _grams(F.col("text"))
+    df = df.withColumn("w", w).withColumn("grams", F.when(F.col("a").isNotNull(), g))
+    df = df.withColumn("near", F.greatest(*_shares().values()))
+    items = F.regexp_extract_all("text", F.lit(rf"\n|{PIECE}"), F.lit(0))
+    heads = lambda x: F.filter(F.transform(x, lambda _, i: F.slice(x, F.lit(1), i + 1)), lambda y: (F.element_at(y, -1) != "\n") & F.array_contains(y, "\n"))
+    heads = F.transform(F.transform(F.array(items), heads)[0], lambda y: F.struct(F.size(y).alias("m"), F.size(F.filter(y, lambda v: v == "\n")).alias("more"), F.array_join(y, " ").alias("text")))
+    alone = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("more"), F.col("text")))
+    df = df.withColumn("p", F.explode_outer(F.when(F.col("a").isNull(), alone).when(F.col("near") >= confirm, heads)))
+    paragraph = F.when(F.col("a").isNull(), F.col("p.text")).otherwise(F.replace(F.col("p.text"), F.lit(" \n "), F.lit("\n")))
+    return df.select("doc_id", "h", "first", (F.col("first") + F.col("p.more")).alias("last"), "a", (F.col("a") + F.col("p.m")).alias("b"), paragraph.alias("paragraph"))
+
+
+def _chosen(lines: Column, spans: Column) -> Column:
+    """The best stretches without overlap, apart from lines that are sure by themselves, and the lines outside them."""
+    sure = F.filter(lines, lambda x: x.confirmed)
+    free = F.filter(spans, lambda x: ~F.exists(sure, lambda y: y.first.between(x.first, x.last)))
+    order = F.array_sort(F.transform(free, lambda x: F.struct((-x.similarity).alias("far"), (x.b - x.a).alias("size"), x.a.alias("a"), x.alias("x"))))
+    none = F.slice(spans, F.lit(1), F.lit(0))
+    best = F.aggregate(order, none, lambda acc, o: F.when(F.exists(acc, lambda y: (y.a < o.x.b) & (o.x.a < y.b)), acc).otherwise(F.concat(acc, F.array(o.x))))
+    return F.transform(F.array(best), lambda taken: F.concat(F.filter(lines, lambda x: x.confirmed | ~F.exists(taken, lambda y: x.first.between(y.first, y.last))), taken))[0]
+
+
 def license_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", confirm: float = 0.6) -> DataFrame:
-    """One row for each document and paragraph (line) with an anchor term, or with nulls where it has none.
+    """One row for each document and paragraph with an anchor term, or with nulls where it has none.
 
-    Columns doc_id, h (hash of the text), paragraph_no, paragraph, family,
-    probability, similarity and confirmed.  A gram is looked up in a map of the
-    model, so no row moves between tasks.
+    A paragraph is a line, or a confirmed notice wrapped over lines without a
+    blank one between; this takes the place of its lines, but for lines that are
+    confirmed by themselves.  Columns doc_id, h (hash of the text), paragraph_no
+    (its first line), paragraph, family, probability, similarity and confirmed.
     """
     names, weights, bias, cut = train()
     model = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
-    lines = F.filter(F.transform(F.split(docs[text].cast("string"), "\n"), lambda x, i: F.struct(i.cast("int").alias("no"), x.alias("line"))), lambda x: x.line.rlike(ANCHOR))
-    df = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("h"), F.explode_outer(lines).alias("p"))
-    df = df.select("doc_id", "h", F.col("p.no").alias("paragraph_no"), F.col("p.line").alias("paragraph"))
-    df = df.withColumn("w", F.regexp_extract_all(F.lower(F.col("paragraph")), F.lit(f"({TOKEN})")))
-    pair = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
-    df = df.withColumn("grams", F.array_distinct(F.concat("w", F.filter(pair, lambda x: x.isNotNull()))))
+    df = _candidates(docs, doc_id, text, confirm)
+    w, g = _grams(F.col("paragraph"))
+    df = df.withColumn("w", w).withColumn("grams", g)
     hits = F.filter(F.transform("grams", lambda g: F.element_at(model, g)), lambda v: v.isNotNull())
     df = df.withColumn("hits", hits)
     zero = F.array(*[F.lit(0.0)] * len(names))
@@ -173,28 +231,33 @@ def license_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     best = F.array_position("e", F.array_max("e")).cast("int")
     df = df.withColumn("best", F.element_at(F.array(*map(F.lit, names)), best)).withColumn("probability", F.array_max("e") / F.col("total"))
 
-    share = lambda t: F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, grams(t))))) / F.lit(float(len(grams(t))))
     similarity = F.lit(0.0)
-    for family, texts in TEMPLATES.items():
-        similarity = F.when(F.col("best") == family, F.greatest(*map(share, texts)) if len(texts) > 1 else share(texts[0])).otherwise(similarity)
+    for family, share in _shares().items():
+        similarity = F.when(F.col("best") == family, share).otherwise(similarity)
     df = df.withColumn("similarity", F.when(F.col("paragraph").isNotNull(), similarity))
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= cut) & (F.col("similarity") >= confirm)
-    family = F.when(F.col("paragraph").isNotNull(), F.when(sure, F.col("best")).otherwise(F.lit(UNKNOWN)))
-    return df.select("doc_id", "h", "paragraph_no", "paragraph", family.alias("family"), "probability", "similarity", F.coalesce(sure & F.col("paragraph").isNotNull(), F.lit(False)).alias("confirmed"))
+    df = df.withColumn("confirmed", F.coalesce(sure & F.col("paragraph").isNotNull(), F.lit(False)))
+    df = df.withColumn("family", F.when(F.col("confirmed"), F.col("best")).otherwise(F.lit(UNKNOWN)))
+    row = F.struct("first", "last", "a", "b", "paragraph", "family", "probability", "similarity", "confirmed")
+    line, span = F.col("a").isNull() & F.col("paragraph").isNotNull(), F.col("a").isNotNull() & F.col("confirmed")
+    df = df.groupBy("doc_id", "h").agg(F.collect_set(F.when(line, row)).alias("lines"), F.collect_set(F.when(span, row)).alias("spans"))
+    df = df.select("doc_id", "h", F.explode_outer(_chosen(F.col("lines"), F.col("spans"))).alias("p"))
+    return df.select("doc_id", "h", F.col("p.first").alias("paragraph_no"), "p.paragraph", "p.family", "p.probability", "p.similarity", F.coalesce("p.confirmed", F.lit(False)).alias("confirmed"))
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its confirmed licence families.
 
     Returns doc_id, families (sorted), license (the family, 'mixed' for several,
-    'none' without), n_candidates (lines with an anchor term), n_licensed
-    (confirmed ones) and score (highest probability of a confirmed line).
+    'none' without), n_candidates (paragraphs with an anchor term: lines, a
+    wrapped notice being one), n_licensed (confirmed ones) and score (highest
+    probability of a confirmed one).
 
     Corner cases: null and empty texts have none; rows that repeat id and text
     give one row; rows without an id are grouped by text; other columns are
     ignored; an empty table gives an empty result.
     """
-    p = license_paragraphs(docs, doc_id, text).dropDuplicates(["doc_id", "h", "paragraph_no"])
+    p = license_paragraphs(docs, doc_id, text)
     out = p.groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
         F.count("paragraph").alias("n_candidates"),

@@ -31,6 +31,23 @@ def test_license_variants(spark):
     assert got[3]["families"] == "CC-BY-NC,MIT" and got[3]["n_licensed"] == 2
 
 
+@pytest.mark.parametrize("width", [24, 45, 72])
+def test_license_wrapped(spark, width):
+    import textwrap
+
+    notice = lambda family, i=-1: "\n".join(textwrap.wrap(license_scan.TEMPLATES[family][i], width, break_long_words=False, break_on_hyphens=False))
+    long = ["MIT", "BSD", "GPL-3.0"]
+    rows = [(i, "Some prose first.\n\n" + notice(f) + "\n\nmore prose") for i, f in enumerate(long)]
+    rows += [(10 + i, "Some prose first\n" + notice(f) + "\nmore prose") for i, f in enumerate(long)]
+    rows += [(20, notice("MIT") + "\n\n" + notice("BSD")), (21, "# " + notice("GPL-3.0").replace("\n", "\n# ")), (22, notice("BSD").replace("\n", "\n\n\n")), (23, notice("MIT") + "\nReleased under the BSD License.")]
+    rows += [(30 + i, "\n".join(textwrap.wrap(t, width))) for i, t in enumerate(license_scan.OTHER)]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["license"] for i in (0, 1, 2, 10, 11, 12, 21)] == [*long, *long, "GPL-3.0"]
+    assert all(got[i]["n_licensed"] == 1 for i in (0, 1, 2, 10, 11, 12, 21))
+    assert (got[20]["families"], got[20]["n_licensed"]) == (got[23]["families"], got[23]["n_licensed"]) == ("BSD,MIT", 2)
+    assert {got[i]["license"] for i in (22, *range(30, 30 + len(license_scan.OTHER)))} == {"none"}
+
+
 def test_license_is_native(table):
     plan = license_scan.license_scan(table)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
