@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from itertools import permutations
 
 import numpy as np
 
 from ..errors import MissingParameterError, SolverNotAvailableError, UnsupportedInputError
-from . import tsp
 
 Point = tuple[float, float]
 
@@ -83,7 +81,7 @@ def touch_rings(start: Point, end: Point, rings: list[list[Point]], sides: int =
             if k == 0:
                 at = np.unique(np.append(at, _corners(ring)))
             marks.append(at)
-            layers.append(np.array([_along(ring, spans[i], u) for u in at]))
+            layers.append(_along(ring, spans[i], at))
         total, picks = layered(np.array([start], float), layers, np.array([end], float))
         chosen = [float(marks[i][p]) for i, p in enumerate(picks)]
         points = [tuple(map(float, layers[i][p])) for i, p in enumerate(picks)]
@@ -118,12 +116,10 @@ def _corners(ring: list[Point]) -> np.ndarray:
     return s[:-1] / s[-1]
 
 
-def _along(ring: list[Point], span: np.ndarray, u: float) -> np.ndarray:
-    s = (u % 1.0) * span[-1]
-    i = min(int(np.searchsorted(span, s, side="right")) - 1, len(ring) - 1)
-    a, b = np.asarray(ring[i], float), np.asarray(ring[(i + 1) % len(ring)], float)
-    size = span[i + 1] - span[i]
-    return a + (b - a) * ((s - span[i]) / size if size else 0.0)
+def _along(ring: list[Point], span: np.ndarray, at: np.ndarray) -> np.ndarray:
+    p = np.array([*ring, ring[0]], float)
+    u = (at % 1.0) * span[-1]
+    return np.stack([np.interp(u, span, p[:, 0]), np.interp(u, span, p[:, 1])], axis=1)
 
 
 def touch_cones(start: np.ndarray, end: np.ndarray, cones: list[dict], slope: float, rounds: int = 400, tol: float = 1e-9) -> tuple[float, np.ndarray]:
@@ -191,24 +187,41 @@ def chase(start: np.ndarray, end: np.ndarray, targets: list[tuple[np.ndarray, np
     return t, [*out, (end.astype(float), t)]
 
 
-def close_enough_exact(start: Point, end: Point, centers: np.ndarray, radii: np.ndarray) -> tuple[float, list[int], np.ndarray]:
-    """Best order of disks by depth-first search; a bound is the way through the disks chosen so far."""
-    n = len(centers)
+def _ways(s: np.ndarray, e: np.ndarray, centers: np.ndarray | None, radii: np.ndarray | None, rings: list | None):
+    """touch(order, rounds, tol): shortest way through regions in an order, and gap(way, i): how far a way passes region i."""
+    if rings is None:
+        return lambda o, rounds=2000, tol=1e-9: touch_disks(s, e, centers[o], radii[o], rounds, tol) if o else (float(np.linalg.norm(e - s)), np.vstack([s, e])), lambda way, i: _gap(way, centers[i]) - radii[i]
+
+    def touch(o: list[int], rounds: int = 40, tol: float = 1e-6) -> tuple[float, np.ndarray]:
+        total, way = touch_rings(tuple(s), tuple(e), [rings[i] for i in o], rounds=rounds, tol=tol)
+        return total, np.array(way)
+
+    marks = [_along(r, _perimeter(r), np.unique(np.append(np.linspace(0, 1, 24, endpoint=False), _corners(r)))) for r in rings]
+    return touch, lambda way, i: min(_gap(way, c) for c in marks[i])
+
+
+def close_enough_exact(start: Point, end: Point, centers: np.ndarray | None, radii: np.ndarray | None, rings: list | None = None) -> tuple[float, list[int], np.ndarray]:
+    """Best order of disks or rings by depth-first search; a bound is the way through those chosen so far.
+
+    For rings the bound and the result are as exact as touch_rings.
+    """
     s, e = np.asarray(start, float), np.asarray(end, float)
+    n = len(centers if rings is None else rings)
+    touch, gap = _ways(s, e, centers, radii, rings)
     best: tuple[float, tuple[int, ...], np.ndarray | None] = (math.inf, (), None)
-    seed = _insert_order(s, e, centers, radii)
-    total, way = touch_disks(s, e, centers[seed], radii[seed])
+    seed = _insert_order(n, touch)
+    total, way = touch(seed)
     best = (total, tuple(seed), way)
 
     def search(order: list[int], left: list[int]) -> None:
         nonlocal best
-        total, way = touch_disks(s, e, centers[order], radii[order]) if order else (float(np.linalg.norm(e - s)), np.vstack([s, e]))
+        total, way = touch(order)
         if total >= best[0] - 1e-7:
             return
         if not left:
             best = (total, tuple(order), way)
             return
-        j = max(left, key=lambda i: (_gap(way, centers[i]) - radii[i], -i))
+        j = max(left, key=lambda i: (gap(way, i), -i))
         for k in range(len(order) + 1):
             search([*order[:k], j, *order[k:]], [x for x in left if x != j])
 
@@ -226,20 +239,21 @@ def _gap(way: np.ndarray, c: np.ndarray) -> float:
     return out
 
 
-def _insert_order(s: np.ndarray, e: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> list[int]:
+def _insert_order(n: int, touch) -> list[int]:
     order: list[int] = []
-    for j in range(len(centers)):
+    for j in range(n):
         options = [[*order[:k], j, *order[k:]] for k in range(len(order) + 1)]
-        order = min(options, key=lambda o: touch_disks(s, e, centers[o], radii[o], rounds=30)[0])
+        order = min(options, key=lambda o: touch(o, rounds=30)[0])
     return order
 
 
-def close_enough_genetic(start: Point, end: Point, centers: np.ndarray, radii: np.ndarray, seed: int = 0, population: int = 10, generations: int = 25) -> tuple[float, list[int], np.ndarray]:
+def close_enough_genetic(start: Point, end: Point, centers: np.ndarray | None, radii: np.ndarray | None, seed: int = 0, population: int = 10, generations: int = 25, rings: list | None = None) -> tuple[float, list[int], np.ndarray]:
     """Genetic search over orders; a child keeps a stretch of one parent and the order of the other."""
     rng = np.random.default_rng(seed)
-    s, e, n = np.asarray(start, float), np.asarray(end, float), len(centers)
-    value = lambda o: touch_disks(s, e, centers[o], radii[o], rounds=25, tol=1e-6)[0]
-    pool = [_insert_order(s, e, centers, radii), *([int(i) for i in rng.permutation(n)] for _ in range(population - 1))]
+    s, e, n = np.asarray(start, float), np.asarray(end, float), len(centers if rings is None else rings)
+    touch, _ = _ways(s, e, centers, radii, rings)
+    value = lambda o: touch(o, rounds=25, tol=1e-6)[0]
+    pool = [_insert_order(n, touch), *([int(i) for i in rng.permutation(n)] for _ in range(population - 1))]
     score = [value(o) for o in pool]
     for _ in range(generations):
         a, b = rng.choice(population, 2, replace=False)
@@ -255,30 +269,22 @@ def close_enough_genetic(start: Point, end: Point, centers: np.ndarray, radii: n
         if v < score[worst]:
             pool[worst], score[worst] = child, v
     order = pool[int(np.argmin(score))]
-    total, way = touch_disks(s, e, centers[order], radii[order])
+    total, way = touch(order)
     return total, order, way
 
 
 def close_enough(start: Point, end: Point, centers: np.ndarray, radii: np.ndarray | None = None, rings: list | None = None, algo: str = "Metaheuristic", seed: int = 0) -> tuple[float, list[int], np.ndarray]:
-    """Tour from start to end that comes close enough to every node: (length, order, points)."""
-    if rings is not None:
-        n = len(rings)
-        if n <= 6:
-            found = min(((touch_rings(start, end, [rings[i] for i in o], sides=6, rounds=12), o) for o in permutations(range(n))), key=lambda x: x[0][0])
-            return found[0][0], list(found[1]), np.array(found[0][1])
-        mid = np.array([np.mean(r, axis=0) for r in rings])
-        xy = np.vstack([start, mid])
-        d = np.linalg.norm(xy[:, None] - xy[None], axis=2)
-        order = [i - 1 for i in tsp.two_opt(d, tsp.insertion(d))[1:]]
-        total, way = touch_rings(start, end, [rings[i] for i in order])
-        return total, order, np.array(way)
-    if radii is None:
+    """Tour from start to end that comes close enough to every node: (length, order, points).
+
+    Up to 6 rings are searched whole by either algorithm.
+    """
+    if rings is None and radii is None:
         raise MissingParameterError("give radii or rings")
-    if algo == "Exact":
-        return close_enough_exact(start, end, centers, radii)
-    if algo == "Metaheuristic":
-        return close_enough_genetic(start, end, centers, radii, seed)
-    raise UnsupportedInputError("algo must be Exact or Metaheuristic")
+    if algo not in ("Exact", "Metaheuristic"):
+        raise UnsupportedInputError("algo must be Exact or Metaheuristic")
+    if algo == "Exact" or (rings is not None and len(rings) <= 6):
+        return close_enough_exact(start, end, centers, radii, rings)
+    return close_enough_genetic(start, end, centers, radii, seed, rings=rings)
 
 
 def covering(cover: np.ndarray, need: np.ndarray) -> np.ndarray | None:

@@ -174,6 +174,49 @@ def test_touring_polygons_cones_targets():
     assert touring.chase(np.zeros(2), np.zeros(2), [(np.array([10.0, 0]), np.array([2.0, 0]))], 1.0) is None
 
 
+def best_over_samples(start, end, rings, sides=30):
+    """Least way through one sampled point of each ring in any order, by subsets, and its order."""
+    pts = [np.array([np.add(a, np.multiply(np.subtract(b, a), k / sides)) for a, b in zip(r, [*r[1:], r[0]], strict=True) for k in range(sides)]) for r in rings]
+    n = len(rings)
+    gap = {(i, j): np.linalg.norm(pts[i][:, None] - pts[j][None], axis=2) for i in range(n) for j in range(n) if i != j}
+    state = {(1 << i, i): np.linalg.norm(pts[i] - start, axis=1) for i in range(n)}
+    order = {key: [[key[1]]] * len(pts[key[1]]) for key in state}
+    for mask in range(1, 1 << n):
+        for i in range(n):
+            if (mask, i) in state:
+                for j in range(n):
+                    if not mask >> j & 1:
+                        w = state[mask, i][:, None] + gap[i, j]
+                        pick, to = w.argmin(axis=0), (mask | 1 << j, j)
+                        value, way = w.min(axis=0), [[*order[mask, i][p], j] for p in pick]
+                        if to in state:
+                            old = state[to]
+                            way = [a if x <= y else b for x, y, a, b in zip(old, value, order[to], way, strict=True)]
+                            value = np.minimum(old, value)
+                        state[to], order[to] = value, way
+    full = (1 << n) - 1
+    return min((float(v), order[full, i][k]) for i in range(n) for k, v in enumerate(state[full, i] + np.linalg.norm(pts[i] - end, axis=1)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_close_enough_rings_exact(seed):
+    rng = np.random.default_rng(seed)
+    rings = []
+    for x, y in rng.uniform(0, 100, (7, 2)):
+        a, b = rng.uniform(3, 40, 2)
+        rings.append([(x, y), (x + a, y), (x + a, y + b), (x, y + b)])
+    mid = np.array([np.mean(r, axis=0) for r in rings])
+    bound, order = best_over_samples((0, 0), (100, 0), rings)
+    want = touring.touch_rings((0, 0), (100, 0), [rings[i] for i in order])[0]
+    total, found, way = touring.close_enough((0, 0), (100, 0), mid, rings=rings, algo="Exact")
+    assert total <= min(want, bound) + 1e-5 and sorted(found) == list(range(7)) and len(way) == 9
+    assert total >= bound - sum(2 * (r[2][0] - r[0][0] + r[2][1] - r[0][1]) for r in rings) / 60
+    assert math.isclose(total, np.linalg.norm(np.diff(way, axis=0), axis=1).sum())
+    assert total - 1e-5 <= touring.close_enough((0, 0), (100, 0), mid, rings=rings)[0] <= total * 1.05
+    with pytest.raises(UnsupportedInputError):
+        touring.close_enough((0, 0), (100, 0), mid, rings=rings, algo="Nothing")
+
+
 def test_service_times():
     times = touring.service_times([(10, {1}), (5, {1, 2}), (5, {2})], {1: 12.0, 2: 8.0}, 1.0)
     assert times[0] + times[1] >= 12 - 1e-9 and times[1] + times[2] >= 8 - 1e-9 and all(t >= n - 1e-9 for t, n in zip(times, (10, 5, 5), strict=True))
