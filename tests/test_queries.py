@@ -2,6 +2,8 @@ import pytest
 from compare import same
 
 import __spark_entry__ as entry
+from lodeway.errors import OutOfRangeError
+from lodeway.operators import structures
 from lodeway.plans import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
@@ -31,3 +33,20 @@ def test_every_oracle_has_a_query():
 def test_distance_join_is_an_equi_join(spark, small):
     plan = QUERIES["isochrone_cell_join"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tree_levels_of_a_long_chain(spark):
+    rows = [(i, i - 1 if i else None) for i in range(100)] + [(200, 50), (300, 999), (301, 300)]
+    got = {r["id"]: r for r in structures.levels(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert {i: r["level"] for i, r in got.items()} == {i: i for i in range(100)} | {200: 51}
+    assert got[99]["path"] == list(range(100)) and got[200]["path"] == [*range(51), 200]
+
+
+@pytest.mark.parametrize("rows", [[(1, None), (2, 3), (3, 2)], [(1, 1)], [(1, None), (2, 4), (3, 2), (4, 3), (5, 4)]])
+def test_tree_levels_raises_on_a_cycle(spark, rows):
+    with pytest.raises(OutOfRangeError):
+        structures.levels(spark.createDataFrame(rows, "id long, parent long"))
+
+
+def test_tree_levels_of_no_rows(spark):
+    assert structures.levels(spark.createDataFrame([], "id long, parent long")).collect() == []
