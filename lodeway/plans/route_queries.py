@@ -23,14 +23,14 @@ for _cons in ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighb
     _tsp(f"tsp_{_cons.lower()}", cons=_cons, impv=None)
 _tsp("tsp_two_opt", cons="Insertion", impv="2Opt+OrOpt")
 _tsp("tsp_exact", most=9, algo="Exact")
-_tsp("tsp_annealing", most=20, algo="Metaheuristic", meta="SA", cons="NearestNeighbor")
-_tsp("tsp_genetic", most=20, algo="Metaheuristic", meta="GA")
-QUERIES["tsp_multistart"] = lambda spark, sf_dir: _rounded(routes.solve_multistart(fx.instances(spark, sf_dir, 10), 3, "GA"))
+_tsp("tsp_annealing", algo="Metaheuristic", meta="SA", cons="NearestNeighbor")
+_tsp("tsp_genetic", algo="Metaheuristic", meta="GA")
+QUERIES["tsp_multistart"] = lambda spark, sf_dir: _rounded(routes.solve_multistart(fx.instances(spark, sf_dir), 3, "GA"))
 QUERIES["tsptw_hard"] = lambda spark, sf_dir: _rounded(routes.solve_tsptw(fx.instances(spark, sf_dir, 6).withColumns({"lo": F.lit(0.0), "hi": F.col("hi") + 400.0}), speed=2.0))
 QUERIES["tsptw_violation"] = lambda spark, sf_dir: _rounded(routes.solve_tsptw(fx.instances(spark, sf_dir, 7).withColumn("hi", F.when(F.row_number().over(_first()) == 1, 1e6).otherwise(F.col("hi"))), allow_violation=True))
 QUERIES["orienteering"] = lambda spark, sf_dir: _rounded(routes.solve_op(fx.instances(spark, sf_dir, 10), 200.0))
 QUERIES["vrptw"] = lambda spark, sf_dir: _rounded(routes.solve_vrptw(fx.instances(spark, sf_dir, 7).withColumns({"lo": F.lit(0.0), "hi": F.col("hi") + 600.0}), 4, 15.0))
-QUERIES["mtsp_min_longest"] = lambda spark, sf_dir: _rounded(routes.solve_mtsp(fx.instances(spark, sf_dir, 20), 3))
+QUERIES["mtsp_min_longest"] = lambda spark, sf_dir: _rounded(routes.solve_mtsp(fx.instances(spark, sf_dir), 3))
 QUERIES["cetsp_circles"] = lambda spark, sf_dir: _rounded(routes.solve_cetsp(fx.instances(spark, sf_dir, 6).withColumn("radius", F.lit(5.0)), (0.0, 0.0), (100.0, 100.0)))
 QUERIES["cetsp_exact"] = lambda spark, sf_dir: _rounded(routes.solve_cetsp(fx.instances(spark, sf_dir, 5).withColumn("radius", F.lit(5.0)), (0.0, 0.0), (100.0, 100.0), algo="Exact"))
 QUERIES["route_rows"] = lambda spark, sf_dir: routes.route_rows(routes.solve_tsp(fx.instances(spark, sf_dir, 9), algo="Exact"), fx.instances(spark, sf_dir, 9)).withColumn("t", F.round("t", 6))

@@ -50,3 +50,12 @@ def test_tree_levels_raises_on_a_cycle(spark, rows):
 
 def test_tree_levels_of_no_rows(spark):
     assert structures.levels(spark.createDataFrame([], "id long, parent long")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["tsp_annealing", "tsp_genetic", "tsp_multistart", "mtsp_min_longest"])
+def test_heuristics_solve_whole_nations(spark, tmp_path, name):
+    spark.createDataFrame([(i, i % 2) for i in range(50)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    seen = {}
+    for r in QUERIES[name](spark, str(tmp_path)).collect():
+        seen.setdefault(r["instance_id"], set()).update(map(int, r["seq"].split(",")))
+    assert seen == {k: set(range(k, 50, 2)) for k in (0, 1)}
