@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against reference blocks."""
+"""Substring dedup by looking windows up in reference blocks, in place of a greedy relative Lempel-Ziv parse."""
 
 from __future__ import annotations
 
@@ -41,10 +41,10 @@ class Parse:
     def __call__(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
         """Segments come in the order of (document, start).
 
-        index: sorted window hashes of the block with their earliest start.  A
-        factor goes on while the source of the next window is the next source;
-        at each factor border the index is asked again, so windows across a
-        border are found as well.  Windows that are their own source stay.
+        index: sorted window hashes of the block with their earliest start.  Each
+        window is looked up; a factor is a run of windows whose sources follow
+        each other, not a longest match, and serves to verify them word by word.
+        Windows that are their own source stay.
         """
         gram, valid = tn.grams(symbol, bounds, unit.length)
         at = np.flatnonzero(valid)
