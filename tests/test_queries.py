@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from compare import same
 
@@ -30,6 +35,21 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("gone", [["lodeway/llm"], ["lodeway/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_the_rest_works_without_the_optional_parts(tmp_path, gone):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for part in ("__spark_entry__.py", "corpus_pipeline.py", "lodeway"):
+        if os.path.isdir(f"{root}/{part}"):
+            shutil.copytree(f"{root}/{part}", tmp_path / part, ignore=shutil.ignore_patterns("llm" if f"{part}/llm" in gone else "__pycache__"))
+        elif part not in gone and os.path.exists(f"{root}/{part}"):
+            shutil.copy(f"{root}/{part}", tmp_path / part)
+    code = "import __spark_entry__ as e; print(*e.queries()); e.oracle_sql()"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    names = set(said.stdout.split())
+    assert set(QUERIES) <= names and "pipeline" not in names
+    assert any(n.startswith("op1_") for n in names) == ("lodeway/llm" not in gone and os.path.isdir(f"{root}/lodeway/llm"))
+
+
 def test_distance_join_is_an_equi_join(spark, small):
     plan = QUERIES["isochrone_cell_join"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
