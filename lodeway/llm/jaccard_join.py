@@ -7,12 +7,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .components import components
-from .keys import cut, keyed
+from .keys import WIDE, cut, keyed, repeats_ids, row_key
 
 ORDERS = (0x1F123BB5159A55E5, 0x2C7A1D5B3F4E6A79, 0x3B9AC9FF1D2E4C5B)
 BLOCK_TOKENS = 1_000_000
@@ -112,14 +112,18 @@ def _all_tokens(k: int):
         for batch in batches:
             for piece in tn.slices(batch, "text"):
                 h, bounds = shingles(*tn.flat(piece.column("text")), k)
-                ids = np.repeat(piece.column("k").to_numpy(zero_copy_only=False), np.diff(bounds))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["t", "k"])
+                ids = np.repeat(piece.column("id").to_numpy(zero_copy_only=False), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids)], ["t", "id"])
 
     return emit
 
 
+def class_id() -> Column:
+    return F.xxhash64("n", "a", "b")
+
+
 def survivors(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Classes (n, a, b, p, rep) that the first order leaves as candidates.
+    """Classes (id, n, p, rep) that the first order leaves as candidates; id is a hash of size and fingerprints.
 
     The first order ranks sampled tokens that stand in one class only before all
     others.  A class with as many of them as its prefix is long shares no prefix
@@ -130,31 +134,32 @@ def survivors(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
     tokens = tokens.where("t is not null and a is not null").repartition("t")  # the filter of the join, so that both sides read one exchange
     common = tokens.groupBy("t").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("t")
     held = tokens.join(common, "t").groupBy("t", "a").agg(F.lit(1).alias("one")).groupBy("a").agg(F.count("*").alias("held"))
-    return classes.join(held, "a", "left").where(F.col("m") - F.coalesce("held", F.lit(0)) < F.col("p")).select("n", "a", "b", "p", "rep")
+    return classes.join(held, "a", "left").where(F.col("m") - F.coalesce("held", F.lit(0)) < F.col("p")).select(class_id().alias("id"), "n", "p", "rep")
 
 
 def shared_prefixes(texts: DataFrame, k: int) -> DataFrame:
-    """Rows (t, rep) of prefix tokens under the second order that two sets or more share.
+    """Rows (t, id) of prefix tokens under the second order that two sets or more share.
 
     The second order ranks by the number of candidate sets with the token, then
-    by hash.  texts has k, p and text of the candidates.
+    by hash.  texts has id, n, p and text of the candidates.
     """
-    tokens = texts.select("k", "text").mapInArrow(_all_tokens(k), "t long, k long")
-    tokens = tokens.where("t is not null and k is not null").repartition("t")
-    many = tokens.groupBy("t").agg(F.count("*").alias("df"), F.max("k").alias("_k")).where("df > 1 and _k is not null").select("t", "df")
+    tokens = texts.select("id", "text").mapInArrow(_all_tokens(k), "t long, id long")
+    tokens = tokens.where("t is not null and id is not null").repartition("t")
+    many = tokens.groupBy("t").agg(F.count("*").alias("df"), F.max("id").alias("_id")).where("df > 1 and _id is not null").select("t", "df")
     common = tokens.join(many, "t")
-    turn = Window.partitionBy("k").orderBy("df", "t")
-    lone = F.col("n") - F.count("*").over(Window.partitionBy("k"))
-    ranked = common.join(texts.select("k", "n", "p"), "k").withColumn("turn", F.row_number().over(turn)).withColumn("left", F.col("p") - lone)
-    return ranked.where("turn <= left").select("t", F.col("k").alias("rep"))
+    turn = Window.partitionBy("id").orderBy("df", "t")
+    lone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
+    ranked = common.join(texts.select("id", "n", "p"), "id").withColumn("turn", F.row_number().over(turn)).withColumn("left", F.col("p") - lone)
+    return ranked.where("turn <= left").select("t", "id")
 
 
-def link(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
+def link(h: np.ndarray, bounds: np.ndarray, percent: int, own: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
     """Component (least member) of each of the sets of one block, under exact links.
 
     Sets are met from small to large.  Candidates of a set are the earlier ones
     that share prefix tokens under every order and are large enough; of those in
-    one component, verification stops at the first link.
+    one component, verification stops at the first link.  own: only these count
+    as the smaller one of a pair; side: only sets of different sides are pairs.
     """
     n = np.diff(bounds)
     count = len(n)
@@ -173,9 +178,9 @@ def link(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
     mark = np.zeros(int(ident.max()) + 1 if len(ident) else 0, bool)
     for x in turn:
         found = None
-        for token, own, members, edge in posts:
+        for token, at, members, edge in posts:
             parts = []
-            for t in token[own[x] : own[x + 1]]:
+            for t in token[at[x] : at[x + 1]]:
                 if edge[t + 1] - edge[t] > 1:
                     post = members[edge[t] : edge[t + 1]]
                     parts.append(post[: np.searchsorted(post, place[x])])
@@ -187,6 +192,12 @@ def link(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
             continue
         found = turn[found]
         found = found[100 * size[found] >= percent * size[x]]
+        if own is not None:
+            found = found[own[found]]
+        if side is not None:
+            found = found[side[found] != side[x]]
+        if not len(found):
+            continue
         mark[ident[bounds[x] : bounds[x + 1]]] = True
         step = 16
         while len(found):
@@ -204,77 +215,98 @@ def link(h: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
 
 def _verify(k: int, percent: int):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("k").sort_values("k", kind="stable")
+        pdf = pdf.sort_values("id", kind="stable")
         h, bounds = shingles(*tn.flat(pa.array(pdf["text"], pa.large_string())), k)
-        label = link(h, bounds, percent)
-        ids = pdf["k"].to_numpy(np.int64)
+        crossed = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        label = link(h, bounds, percent, pdf["own"].to_numpy(bool), pdf["part"].to_numpy() if crossed else None)
+        ids = pdf["id"].to_numpy(np.int64)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
 
     return block
 
 
+def _blocks(member: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """Rows (id, block, band, i, j, part, own): where each member (id, component, n) of a family is verified.
+
+    Families are packed into blocks of about block_tokens.  A larger one is cut
+    by size: sets whose sizes differ by more than the threshold allows have no
+    link, so a set meets those of its own band and of the next one, as the
+    smaller of a pair in its own.  A band that is still too large is dealt into
+    parts, and every pair of parts forms a block.
+    """
+    weight = cut(member.groupBy("component").agg(F.sum("n").alias("n_tokens")))
+    small = weight.where(F.col("n_tokens") <= block_tokens).agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = max(1, math.ceil(small / block_tokens))
+    placed = member.join(weight, "component")
+    zero, yes = F.lit(0).cast("long"), F.lit(True)
+    alone = placed.where(F.col("n_tokens") <= block_tokens).select("id", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("block"), F.lit(-1).cast("long").alias("band"), zero.alias("i"), zero.alias("j"), zero.alias("part"), yes.alias("own"))
+    # a hair wider than the threshold, so that rounding never puts two bands between sets that may be linked
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    band = F.floor(F.log("n") / step).cast("long")
+    rows = placed.where(F.col("n_tokens") > block_tokens).select("id", "n", F.col("component").alias("block"), F.explode(F.array(F.struct(band.alias("band"), yes.alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))).alias("b"))
+    rows = rows.select("id", "n", "block", "b.*")
+    parts = rows.groupBy("block", "band").agg(F.ceil(F.sum("n") / block_tokens).alias("parts"), F.max("own").alias("any")).where("any")
+    rows = rows.join(parts, ["block", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    split = rows.withColumn("q", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    split = split.select("id", "block", "band", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"), "part", "own")
+    return alone.unionByName(split)
+
+
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Components of documents under links of Jaccard percent/100 or more.
 
     The set of a document: distinct shingles of k words `[^\\x20\\x09-\\x0D]+`,
     A-Z lowered; with fewer words the whole sequence; without words empty and
     linked with nothing.  Returns k (the row's key), doc_id, n_shingles and
-    component_id, the least key reachable by links.
+    component_id, the least id reachable by links.
 
     1. Equal sets become one class, so copies never form pairs.
     2. A first order over all documents leaves out classes whose prefix nobody
        shares (see survivors).
     3. Classes that share a prefix token under a second order fall into one
        candidate family (a star for each token, never its pairs).
-    4. Families are packed into blocks of about block_tokens; a larger family
-       is cut into parts, and every pair of parts forms a block.  A block
+    4. Families are verified in blocks of bounded size (see _blocks).  A block
        intersects the candidates of further orders, verifies exactly and sends
        one edge for each member that joins another.
 
     Corner cases: null and empty texts are components of their own; rows without
-    an id are known by a hash of their text; rows that repeat an id stand for
-    one document; other columns are ignored; an empty table gives an empty result.
+    an id are known by a hash of their text; rows with one id and the same text
+    stand for one document, texts that share an id are documents of their own;
+    other columns are ignored; an empty table gives an empty result.
     """
-    docs = keyed(docs, doc_id, text)
-    sets = cut(docs.mapInArrow(_sets(k, percent), "k long, doc_id long, n long, a long, b long, p long, m long"))
+    wide = repeats_ids(docs, doc_id, text)
+    docs = keyed(docs, doc_id, text, wide)
+    sets = cut(docs.mapInArrow(_sets(k, percent), f"k {WIDE if wide else 'long'}, doc_id long, n long, a long, b long, p long, m long"))
     classes = cut(survivors(docs, sets, k, percent))
-    reps = classes.select(F.col("rep").alias("k"), "n", "p")
-    texts = cut(docs.select("k", "text").join(reps, "k"))
+    texts = cut(docs.select("k", "text").join(classes.withColumnRenamed("rep", "k"), "k").dropDuplicates(["k"]).select("id", "n", "p", "text"))
 
     tokens = cut(shared_prefixes(texts, k))
-    stars = tokens.groupBy("t").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("t", "lead")
-    family = components(tokens.join(stars, "t").where("rep <> lead").select("rep", "lead"), "rep", "lead")
-    member = family.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    weight = member.groupBy("component").agg(F.sum("n").alias("n_tokens"))
-    weight = cut(weight.withColumn("parts", F.ceil(F.col("n_tokens") / block_tokens)))
-    small = weight.where("parts = 1").agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(1, math.ceil(small / block_tokens))
+    stars = tokens.groupBy("t").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("t", "lead")
+    family = components(tokens.join(stars, "t").where("id <> lead").select("id", "lead"), "id", "lead")
+    member = family.withColumnRenamed("node", "id").join(classes.select("id", "n"), "id")
+    work = texts.select("id", "text").join(_blocks(member, percent, block_tokens), "id")
+    links = work.groupBy("block", "band", "i", "j").applyInPandas(_verify(k, percent), "a long, b long")
+    joined = components(links, "a", "b").withColumnRenamed("node", "id").join(classes.select("id", "rep"), "id")
+    named = joined.groupBy("component").agg(F.min("rep").alias("least"))
+    final = joined.join(named, "component").select("id", "least")
 
-    placed = member.join(weight, "component")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    alone = placed.where("parts = 1").select("node", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
-    split = placed.where("parts > 1").select("node", F.col("component").alias("block"), part.alias("p"), other.alias("q"))
-    split = split.select("node", "block", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
-    work = texts.select("k", "text").join(alone.unionByName(split).withColumnRenamed("node", "k"), "k")
-    links = work.groupBy("block", "i", "j").applyInPandas(_verify(k, percent), "a long, b long")
-    final = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
-
-    every = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep"))
-    by_class = every.join(final, "rep", "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("k", "doc_id", "n", "a", "b").join(by_class, ["n", "a", "b"], "left")
-    return out.select("k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    every = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep")).withColumn("id", class_id())
+    by_class = every.join(final, "id", "left").select("n", "a", "b", F.coalesce("least", "rep").alias("least"))
+    out = sets.select("k", "doc_id", "n", "a", "b").join(by_class, ["n", "a", "b"], "left").withColumn("least", F.coalesce("least", "k"))
+    return out.select("k", "doc_id", F.col("n").alias("n_shingles"), (F.col("least.i") if wide else F.col("least")).alias("component_id"), (F.col("k") == F.col("least")).alias("leads"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document, that of the least key, of each component; all columns kept.
 
-    Rows without words are components of their own.  Of rows that repeat an id one stays.
+    Rows without words are components of their own.  Of rows with one id and the
+    same text, or without id and with the same text, one stays: the least one by
+    its other columns.
     """
-    from .keys import row_key
-
     found = jaccard_join(docs, k, percent, doc_id, text)
-    keep = found.where(F.col("k") == F.col("component_id")).select("k").distinct()
-    rows = docs.select(row_key(docs[doc_id], docs[text]).alias("k"), F.struct("*").alias("row"))
-    return rows.join(keep, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    keep = found.where("leads").select("k").distinct()
+    wide = keep.schema["k"].dataType.typeName() == "struct"
+    rows = docs.select(row_key(docs[doc_id], docs[text], wide).alias("k"), F.struct("*").alias("row"))
+    order = [F.col(f"row.`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    return rows.join(keep, "k", "left_semi").groupBy("k").agg(F.min_by("row", F.struct(*order)).alias("row")).select("row.*")

@@ -3,11 +3,16 @@
 Every window of `length` symbols is filed under the hash of its least k-gram;
 consecutive windows with the same least k-gram form one run.  Equal windows
 share the key, so only keys with two runs or more can hold repeats.  Those
-runs travel with their symbols to the shard of their key, where an exact index
-is built.  A key with more runs than `hot` sends one 128-bit digest for each
-window instead, so that no shard holds an unbounded group.
+runs travel with their symbols to the block of their key, where a kernel parses
+or sorts them.  Of equal segments one goes on.
 
-The shards answer with the windows that stay; all other windows of the
+No block grows with a common passage.  A task that meets a key often spreads
+its further runs over all partitions by a salt and leaves a marker under the
+key.  Keys so marked, and keys with more than `hot` runs, are hot: where more
+than `hot` different segments of a hot key are left, these are cut again by a
+longer k-gram, at last by whole windows, of which a key has one.
+
+The kernels answer with the windows that stay; all other windows of the
 repeated runs are repeats.
 """
 
@@ -18,13 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .keys import cut
+from .keys import cut, key_type, keyed
 
 SHARD_BYTES = 2 << 20
+CROWD = 64  # runs of a key in one task from which on they are spread, besides four times the mean
+COUNTERS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -45,166 +53,242 @@ class Unit:
     def grams(self, symbol: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return (tn.grams if self.words else tn.byte_grams)(symbol, bounds, k)
 
-    def digests(self, symbol: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the window from each start."""
-        bounds = np.array([0, len(symbol)])
-        whole, _ = self.grams(symbol, bounds, self.length)
-        part, _ = self.grams(symbol, bounds, self.k)
-        other = np.zeros(len(starts), tn.U64)
-        for shift in [*range(0, self.length - self.k, self.k), self.length - self.k]:
-            other = tn.mix(other ^ part[starts + shift])
-        return whole[starts], other
+    def runs(self, symbol: np.ndarray, bounds: np.ndarray, k: int):
+        return tn.runs(*self.grams(symbol, bounds, k), bounds, k, self.length)
 
 
 def _runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows m, salt, k, s, e of the runs; one with s = -1 is the marker of a key that the task meets often."""
+
     def emit(batches):
+        load, met = np.zeros(COUNTERS, np.int32), 0
         for batch in batches:
             for piece in tn.slices(batch, "text"):
                 symbol, bounds = unit.symbols(*tn.flat(piece.column("text")))
-                gram, valid = unit.grams(symbol, bounds, unit.k)
-                doc, s, e, key = tn.runs(gram, valid, bounds, unit.k, unit.length)
-                k = piece.column("k").to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["m", "k", "s", "e"])
+                doc, s, e, key = unit.runs(symbol, bounds, unit.k)
+                slot = (key % tn.U64(COUNTERS)).astype(np.int64)
+                np.add.at(load, slot, 1)
+                met += len(key)
+                many = load[slot] > CROWD + 4 * met // COUNTERS
+                salt = np.where(many, (tn.mix(key ^ (tn.U64(met) + np.arange(len(key)).astype(tn.U64))) >> tn.U64(33)).astype(np.int32) | 1, 0)
+                marks, at = np.unique(key[many], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), piece.column("k").take(pa.array(doc)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["m", "salt", "k", "s", "e"])
+                if len(marks):
+                    zero = np.zeros(len(marks), np.int32)
+                    some = piece.column("k").take(pa.array(doc[many][at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(zero), some, pa.array(zero - 1), pa.array(zero - 1)], ["m", "salt", "k", "s", "e"])
 
     return emit
 
 
+def list_rows(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Row of each element of a list column, and the elements."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.list_parent_indices(column).to_numpy().astype(np.int64), pc.list_flatten(column)
+
+
+def field(structs: pa.Array, name: str) -> np.ndarray:
+    return pc.struct_field(structs, name).to_numpy(zero_copy_only=False)
+
+
+def binary(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Array of the pieces data[start : start + size]."""
+    off = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[tn.ranges(start, size)]))])
+
+
+def _segments(unit: Unit, data: np.ndarray, off: np.ndarray):
+    """Symbols of a slice, their bounds, and a function from ranges of symbols to their bytes; words joined by one space."""
+    if not unit.words:
+        return data, off, lambda a, b: binary(data, a, b - a)
+    w = tn.Words(data, off)
+    text, start, end = w.joined(data)
+    return w.hash, w.bounds, lambda a, b: binary(text, start[a], end[b - 1] - start[a])
+
+
 def _payload(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Bytes of each run; words joined by one space, so that equal words give equal bytes."""
+    """Rows m, seg, k, s of the runs in `parts`."""
 
     def emit(batches):
         for batch in batches:
             for piece in tn.slices(batch, "text"):
-                data, off = tn.flat(piece.column("text"))
-                w = tn.Words(data, off) if unit.words else None
-                symbol, bounds = (w.hash, w.bounds) if w is not None else (data, off)
-                keys = piece.column("k").to_pylist()
-                out = [[], [], [], [], []]
-                for i, parts in enumerate(piece.column("parts").to_pylist()):
-                    base, size = int(bounds[i]), int(bounds[i + 1] - bounds[i])
-                    for p in parts:
-                        s, e = p["s"], p["e"]
-                        if e + unit.length > size:
-                            continue
-                        if p["hot"]:
-                            a, b = unit.digests(symbol[base + s : base + e + unit.length], np.arange(e - s + 1))
-                            for t, (x, y) in enumerate(zip(a, b, strict=True)):
-                                for c, v in zip(out, (int(x.view(np.int64)), x.tobytes() + y.tobytes(), keys[i], s + t, True), strict=True):
-                                    c.append(v)
-                            continue
-                        if w is None:
-                            seg = data[base + s : base + e + unit.length].tobytes()
-                        else:
-                            seg = b" ".join(data[w.start[base + s] : w.end[base + e + unit.length - 1]].tobytes().split())
-                        for c, v in zip(out, (p["m"], seg, keys[i], s, False), strict=True):
-                            c.append(v)
-                types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["m", "seg", "k", "s", "digest"])
+                symbol, bounds, pieces = _segments(unit, *tn.flat(piece.column("text")))
+                row, parts = list_rows(piece.column("parts"))
+                m, s, e = (field(parts, c) for c in ("m", "s", "e"))
+                fits = np.flatnonzero(e + unit.length <= np.diff(bounds)[row])  # rows that share a key share their runs
+                row, s, e = row[fits], s[fits], e[fits]
+                a = bounds[row] + s
+                seg = pieces(a, a + (e - s) + unit.length)
+                yield pa.RecordBatch.from_arrays([pa.array(m[fits]), seg, piece.column("k").take(pa.array(row)), pa.array(s), pa.array(np.ones(len(s), bool))], ["m", "seg", "k", "s", "once"])
 
     return emit
 
 
-def _shards(unit: Unit, kernel: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cut the sorted rows of a task into shards at key borders and run the kernel on each."""
-
-    def run(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        m, k, s, once = (t.column(c).to_numpy() for c in ("m", "k", "s", "once"))
-        data, off = tn.flat(t.column("seg"))
-        group = np.cumsum(np.append(True, m[1:] != m[:-1])) - 1
-        keep = kernel.wanted(group, once)
-        if not keep.any():
-            return None
-        at = np.flatnonzero(keep)
-        at = at[np.lexsort((s[at], k[at]))]
-        size = np.diff(off)[at]
-        symbol, bounds = unit.symbols(data[tn.ranges(off[:-1][at], size)], np.append(0, np.cumsum(size)))
-        row, shift = kernel.shards(symbol, bounds, once[at], unit, SHARD_BYTES)
-        if not len(row):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(k[at][row]), pa.array((s[at][row] + shift).astype(np.int32))], ["k", "p"])
+def _recut(unit: Unit, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Segments cut into the runs of a longer k-gram."""
 
     def emit(batches):
-        held: list[pa.RecordBatch] = []
-        size = 0
         for batch in batches:
-            start, m = 0, batch.column("m").to_numpy()
-            length = pa.compute.binary_length(batch.column("seg")).to_numpy().astype(np.int64)
-            border = np.append(np.flatnonzero(m[1:] != m[:-1]) + 1, len(m))
-            first = held and held[-1].column("m")[-1].as_py() != m[0]
-            total = np.cumsum(length)
-            if first and size >= SHARD_BYTES:
-                if (out := run(held)) is not None:
-                    yield out
-                held, size = [], 0
-            for b in border[:-1]:
-                if size + total[b - 1] - (total[start - 1] if start else 0) >= SHARD_BYTES:
-                    if (out := run([*held, batch.slice(start, b - start)])) is not None:
-                        yield out
-                    held, size, start = [], 0, b
-            if start < len(m):
-                held.append(batch.slice(start))
-                size += int(total[-1] - (total[start - 1] if start else 0))
-        if held and (out := run(held)) is not None:
-            yield out
+            for piece in tn.slices(batch, "seg"):
+                symbol, bounds, pieces = _segments(unit, *tn.flat(piece.column("seg")))
+                row, s, e, key = unit.runs(symbol, bounds, k)
+                at = pa.array(row)
+                a = bounds[row] + s
+                seg = pieces(a, a + (e - s) + unit.length)
+                place = pa.array((piece.column("s").to_numpy()[row] + s).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), seg, piece.column("k").take(at), place, piece.column("once").take(at)], ["m", "seg", "k", "s", "once"])
 
     return emit
 
 
-def marked(docs: DataFrame, unit: Unit, kernel: Callable) -> DataFrame:
-    """docs (k, doc_id, text) with `parts`, the repeated runs, `stay`, the windows in them that stay, and `whole`.
+def _cooled(rows: DataFrame, unit: Unit, distinct: Callable, schema: str) -> DataFrame:
+    """Different segments of hot keys, cut by ever longer k-grams until no key has more than `hot`."""
+    rows, done, k = cut(rows), None, unit.k
+    while k < unit.length:
+        over = rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > unit.hot).select("m")
+        over = cut(over)
+        if over.isEmpty():
+            break
+        cool = rows.join(over, "m", "left_anti")
+        done = cool if done is None else done.unionByName(cool)
+        k = (k + unit.length + 1) // 2
+        rows = cut(distinct(rows.join(over, "m", "left_semi").mapInArrow(_recut(unit, k), schema)))
+    return rows if done is None else done.unionByName(rows)
+
+
+def sort_keys(k: pa.Array) -> list[np.ndarray]:
+    """Keys of rows as arrays for lexsort, the last one first in rank."""
+    if pa.types.is_struct(k.type):
+        return [field(k, "v"), field(k, "i")]
+    return [k.to_numpy()]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], limit: int, at_keys: bool) -> Iterator[pa.Table]:
+    """Tables of about `limit` bytes of segments from rows sorted by m, cut between keys or anywhere."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        m = batch.column("m").to_numpy()
+        total = np.cumsum(pc.binary_length(batch.column("seg")).to_numpy().astype(np.int64))
+        if not len(m):
+            continue
+        may = np.append(True, m[1:] != m[:-1]) if at_keys else np.ones(len(m), bool)
+        if at_keys and held:
+            may[0] = held[-1].column("m")[-1].as_py() != m[0]
+        border = np.flatnonzero(may)
+        ahead = np.append(0, total[:-1])[border]  # bytes of this batch before each border
+        start, before = 0, 0
+        while (i := int(np.searchsorted(ahead, before + limit - size))) < len(border):
+            b = int(border[i])
+            if b > start:
+                held.append(batch.slice(start, b - start))
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
+            held, size, start, before = [], 0, b, int(ahead[i])
+        held.append(batch.slice(start))
+        size += int(total[-1] - before)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def documents(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows (k, doc_id, text, times), (k, first) of the texts that another row has too, and whether some rows have no id.
+
+    A row is known by its id, by id and text where one id has several texts, and
+    by its text where it has no id.  Equal rows without ids are one row with
+    their number in `times`.  first: the row has the least key of its copies.
+    """
+    rows = keyed(docs, doc_id, text)
+    named = rows.select("doc_id", "text", F.lit(1).cast("long").alias("times"))
+    nameless = not docs.where(docs[doc_id].isNull()).isEmpty()
+    if nameless:
+        lone = rows.where("doc_id is null").groupBy("text").agg(F.count("*").alias("times"))
+        named = named.where("doc_id is not null").unionByName(lone.select(F.lit(None).cast("long").alias("doc_id"), "text", "times"))
+    body = F.coalesce("text", F.lit(""))
+    ident, v = F.coalesce("doc_id", F.xxhash64("text")), F.xxhash64("text")
+    ids = cut(named.select(ident.alias("i"), v.alias("v"), "times", F.xxhash64(body).alias("a"), F.xxhash64(F.lit(7), body).alias("b"), F.octet_length(body).alias("n")))
+    wide = not ids.groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").isEmpty()
+    k = F.struct("i", "v") if wide else F.col("i")
+    ids = ids.select(k.alias("k"), "times", "a", "b", "n")
+    groups = ids.groupBy("a", "b", "n").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("times").alias("most")).where("low < high or most > 1").select("a", "b", "n", "low")
+    copies = cut(ids.join(groups, ["a", "b", "n"]).groupBy("k").agg(F.min(F.col("k") == F.col("low")).alias("first")))
+    own = F.struct(ident.alias("i"), v.alias("v")) if wide else ident
+    return named.select(own.alias("k"), "doc_id", "text", "times"), copies, nameless
+
+
+def marked(docs: DataFrame, doc_id: str, text: str, unit: Unit, kernel) -> DataFrame:
+    """Rows doc_id and text with `parts`, the repeated runs, `stay`, the windows in them that stay, and `whole`.
 
     parts is null where nothing of the document repeats; whole is true where
     every window does, as in a copy of another document.  Copies of one text
     are found first and only the one with the least key sends its runs.
     """
-    runs = docs.mapInArrow(_runs(unit), "m long, k long, s int, e int")
-    runs = runs.where("m is not null and k is not null and s is not null and e is not null").repartition("m")
+    docs, copies, nameless = documents(docs, doc_id, text)
+    key = key_type(docs)
+    runs = docs.mapInArrow(_runs(unit), f"m long, salt int, k {key}, s int, e int")
+    runs = runs.where("m is not null and salt is not null and k is not null and s is not null and e is not null").repartition("m", "salt")
     # asks for every column, so that both sides of the join read one and the same exchange
-    twice = runs.groupBy("m").agg(F.count("*").alias("n"), *(F.max(c).alias(f"_{c}") for c in ("k", "s", "e"))).where("n > 1 and _k is not null and _s is not null and _e is not null").select("m", "n")
-    parts = runs.join(twice, "m").groupBy("k").agg(F.collect_list(F.struct("m", "s", "e", (F.col("n") > unit.hot).alias("hot"))).alias("parts"))
-    copies = cut(_copies(docs))
+    last = [F.max(c).alias(f"_{c}") for c in ("k", "s", "e")]
+    met = runs.groupBy("m", "salt").agg(F.count("*").alias("n"), F.min("s").alias("low"), *last)
+    met = met.where("(n > 1 or salt <> 0) and _k is not null and _s is not null and _e is not null")
+    met = met.select("m", "salt", ((F.col("n") > unit.hot) | (F.col("salt") != 0) | (F.col("low") < 0)).alias("hot"))
+    parts = runs.join(met, ["m", "salt"]).groupBy("k").agg(F.filter(F.collect_list(F.struct("m", "s", "e", "hot")), lambda p: p.s >= 0).alias("parts"))
     parts = cut(parts.join(copies.where("not first").select("k"), "k", "left_anti"))
     placed = docs.repartition("k")
-    schema = "m long, seg binary, k long, s int, digest boolean"
+    schema = f"m long, seg binary, k {key}, s int, once boolean"
 
     def sent(hot: bool) -> DataFrame:
         own = parts.select("k", F.filter("parts", lambda p: p.hot == F.lit(hot)).alias("parts")).where("size(parts) > 0")
         return kernel.distinct(placed.join(own, "k").mapInArrow(_payload(unit), schema))
 
-    stay = sent(False).repartition("m").sortWithinPartitions("m").mapInArrow(_shards(unit, kernel), "k long, p int")
+    segments = sent(False)
     if not parts.where(F.exists("parts", lambda p: p.hot)).isEmpty():
-        stay = stay.unionByName(kernel.digest_stays(sent(True)).select("k", F.col("s").alias("p")))
+        segments = segments.unionByName(_cooled(sent(True), unit, kernel.distinct, schema))
+    stay = segments.repartition("m").sortWithinPartitions("m").mapInArrow(kernel.emit(unit), f"k {key}, p int")
     stay = stay.groupBy("k").agg(F.collect_list("p").alias("stay"))
     whole = copies.select("k", kernel.whole(F.col("first")).alias("whole")).where("whole")
-    shown = parts.select("k", F.transform("parts", lambda p: F.struct(p.s, p.e)).alias("parts"))
-    return placed.join(shown, "k", "left").join(stay, "k", "left").join(whole, "k", "left")
-
-
-def _copies(docs: DataFrame) -> DataFrame:
-    """(k, first) of the documents whose whole text has another key too; first: it has the least."""
-    text = F.coalesce("text", F.lit(""))
-    ids = docs.select("k", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"), F.octet_length(text).alias("n"))
-    groups = ids.groupBy("a", "b", "n").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
-    return ids.join(groups, ["a", "b", "n"]).groupBy("k").agg(F.min(F.col("k") == F.col("low")).alias("first"))
-
-
-def repeated_starts(parts, stay, whole: bool | None, windows: int) -> np.ndarray:
-    """Starts of the repeated windows of one document that has so many windows."""
-    if whole:
-        return np.arange(max(0, windows))
-    if parts is None or not len(parts):
-        return np.zeros(0, np.int64)
-    s = np.array([p[0] for p in parts], np.int64)
-    e = np.array([p[1] for p in parts], np.int64)
-    starts = np.unique(tn.ranges(s, e - s + 1))
-    return starts[~np.isin(starts, np.array(stay, np.int64))] if stay is not None and len(stay) else starts
-
-
-def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of n symbols lie in a window of `length` from one of the starts."""
-    starts = starts[starts + length <= n]
+    shown = parts.select("k", F.transform("parts", lambda p: F.struct(p.s.alias("s"), p.e.alias("e"))).alias("parts"))
+    out = placed.join(shown, "k", "left").join(stay, "k", "left").join(whole, "k", "left")
+    copy = F.coalesce("whole", F.lit(False))
+    if not nameless:
+        return out.select("doc_id", "text", "parts", "stay", copy.alias("whole"))
+    out = out.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select("doc_id", "text", "parts", "stay", (copy | (F.col("turn") > 1)).alias("whole"))
+
+
+def covered(piece: pa.RecordBatch, bounds: np.ndarray, length: int) -> np.ndarray:
+    """Which symbols of a slice lie in a repeated window."""
+    n = int(bounds[-1])
+    size = np.diff(bounds)
+    starts = np.zeros(n + 1, bool)
+    row, parts = list_rows(piece.column("parts"))
+    s, e = field(parts, "s").astype(np.int64), field(parts, "e").astype(np.int64)
+    fits = e + length <= size[row]
+    starts[tn.ranges((bounds[:-1][row] + s)[fits], (e - s + 1)[fits])] = True
+    row, p = list_rows(piece.column("stay"))
+    p = p.to_numpy(zero_copy_only=False).astype(np.int64)
+    fits = p + length <= size[row]
+    starts[(bounds[:-1][row] + p)[fits]] = False
+    whole = np.flatnonzero(piece.column("whole").to_numpy(zero_copy_only=False).astype(bool) & (size >= length))
+    starts[tn.ranges(bounds[:-1][whole], size[whole] - length + 1)] = True
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+    at = np.flatnonzero(starts[:n])
+    edge[at] += 1
+    edge[at + length] -= 1
     return np.cumsum(edge[:-1]) > 0
+
+
+def spans(gone: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of removed symbols within each document: how many up to each bound, first and end within the document."""
+    n = len(gone)
+    head, tail = gone.copy(), gone.copy()
+    head[1:] &= ~gone[:-1]
+    tail[:-1] &= ~gone[1:]
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    head[inner] |= gone[inner]
+    tail[inner - 1] |= gone[inner - 1]
+    first, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    edge = np.searchsorted(first, bounds)
+    base = np.repeat(bounds[:-1], np.diff(edge))
+    return edge, first - base, end - base

@@ -1,7 +1,9 @@
-"""Exact byte-string dedup with suffix arrays for each shard."""
+"""Exact byte-string dedup with a suffix array for each shard and merging by binary search."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,17 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from . import textnum as tn
-from .keys import keyed
+
+
+def leading(data: np.ndarray, h: int = 8) -> np.ndarray:
+    """The h bytes from each byte on as a number, zeros behind the end."""
+    n = len(data)
+    wide = np.concatenate((data, np.zeros(8, np.uint8)))
+    key = np.zeros(n, np.uint64)
+    for j in range(h):
+        key <<= np.uint64(8)
+        key |= wide[j : n + j]
+    return key
 
 
 def refine(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -20,11 +32,8 @@ def refine(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     the rank of the suffix h bytes on.  The last step overlaps, to end at depth.
     """
     n = len(data)
-    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
     h = min(8, depth)
-    for j in range(h):
-        key = (key << np.uint64(8)) | wide[j : n + j]
+    key = leading(data, h)
     sa = np.argsort(key, kind="stable")
     key = key[sa]
     place = np.arange(n)
@@ -83,86 +92,125 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, group: np.ndarray, cap: in
     return np.minimum(full, cap)
 
 
+class Shard:
+    """The part of one key in a shard: its windows in suffix order and those that stand alone so far."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lone: np.ndarray, length: int, answer):
+        self.starts, self.lone, self.answer = starts, lone, answer
+        self.shift = np.uint64(8 * max(0, 8 - length))
+        self.wide = leading(data) >> self.shift
+        self.steps = [*range(0, length - 8, 8), max(0, length - 8)]
+
+    def holds(self, other: Shard) -> np.ndarray:
+        """Whether a window of this part equals each lone window of the other, by binary search in suffix order."""
+        want = other.lone
+        low, high = np.zeros(len(want), np.int64), np.full(len(want), len(self.starts))
+        while (live := np.flatnonzero(low < high)).size:
+            middle = (low[live] + high[live]) // 2
+            less = self._order(self.starts[middle], other, want[live]) < 0
+            low[live[less]] = middle[less] + 1
+            high[live[~less]] = middle[~less]
+        out = np.zeros(len(want), bool)
+        inside = np.flatnonzero(low < len(self.starts))
+        out[inside] = self._order(self.starts[low[inside]], other, want[inside]) == 0
+        return out
+
+    def _order(self, mine: np.ndarray, other: Shard, theirs: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the windows of this part stand before, equal or follow those of the other."""
+        sign, live = np.zeros(len(mine), np.int8), np.arange(len(mine))
+        for step in self.steps:
+            x, y = self.wide[mine[live] + step], other.wide[theirs[live] + step]
+            apart = x != y
+            sign[live[apart]] = np.where(x[apart] < y[apart], -1, 1)
+            live = live[~apart]
+            if not len(live):
+                break
+        return sign
+
+    def merge(self, other: Shard) -> None:
+        mine, theirs = other.holds(self), self.holds(other)
+        self.lone, other.lone = self.lone[~mine], other.lone[~theirs]
+
+
+def sort_shard(symbol: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts of a shard in suffix order, and by byte whether the window from there stands alone in the shard."""
+    sa, group = refine(symbol, length)
+    lcp = common_prefixes(symbol, sa, group, length)  # by text position
+    cluster = np.cumsum(lcp[sa] < length) - 1
+    valid = (np.arange(len(symbol)) + length <= np.repeat(bounds[1:], np.diff(bounds)))[sa]  # a suffix that runs over its segment's end is no partner
+    size = np.bincount(cluster[valid], minlength=cluster[-1] + 1 if len(cluster) else 0)
+    alone = np.zeros(len(symbol), bool)
+    alone[sa] = valid & (size[cluster] == 1)
+    return sa[valid], alone
+
+
 class SuffixArray:
-    """Windows of a shard's segments that stand nowhere else."""
+    """Windows of a key's segments that stand nowhere else."""
 
     @staticmethod
     def whole(first):
         """Every string of a text with a copy stands elsewhere too."""
         return F.lit(True)
 
-    @staticmethod
-    def wanted(group: np.ndarray, once: np.ndarray) -> np.ndarray:
-        """Keys whose every segment repeats as a whole have nothing that stays."""
-        single = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-        single[group[once]] = True
-        return single[group]
-
     @staticmethod
     def distinct(sent: DataFrame) -> DataFrame:
         """One row for each distinct segment; once: it stands at one place."""
-        place = sent.groupBy("m", "seg", "digest").agg(F.min("k").alias("k"), F.min("s").alias("s"), F.max("k").alias("k2"), F.max("s").alias("s2"))
-        return place.select("m", "seg", "digest", "k", "s", ((F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2"))).alias("once"))
+        place = sent.groupBy("m", "seg").agg(F.min("k").alias("k"), F.min("s").alias("s"), F.max("k").alias("k2"), F.max("s").alias("s2"), F.min("once").alias("one"))
+        return place.select("m", "seg", "k", "s", (F.col("one") & (F.col("k") == F.col("k2")) & (F.col("s") == F.col("s2"))).alias("once"))
 
     @staticmethod
-    def digest_stays(distinct: DataFrame) -> DataFrame:
-        return distinct.where("once")
-
-    def shards(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows alone in all shards: each shard by its own suffix array, then merged by binary search.
+    def emit(unit: repeats.Unit, limit: int | None = None):
+        """Windows that stand alone, from rows sorted by key.
 
-        A segment belongs to one shard.  A window alone in its shard stays only
-        if the sorted windows of no other shard hold it.
+        Rows are dealt into shards of equal bytes, wherever keys end, and each
+        shard gets its suffix array.  Windows of different keys differ, so what
+        is left to merge are keys that go on over the end of a shard: a window
+        alone in its shard is looked up in the other shards of its key.
         """
-        if 2 * len(symbol) <= 3 * limit:
-            return self(symbol, bounds, once, unit)
-        shard = bounds[:-1] // limit
-        border = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(once))
-        rows, shifts, lone, sorted_ = [], [], [], []
-        for a, b in zip(border, border[1:], strict=False):
-            part, own = symbol[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-            row, shift = self(part, own, once[a:b], unit)
-            rows.append(row + a)
-            shifts.append(shift)
-            lone.append(unit.digests(part, own[row] + shift))
-            starts = tn.ranges(own[:-1], np.maximum(np.diff(own) - unit.length + 1, 0))
-            sorted_.append(np.unique(np.stack(unit.digests(part, starts), axis=1), axis=0))
-        for i, (x, y) in enumerate(lone):
-            stays = np.ones(len(x), bool)
-            for j, other in enumerate(sorted_):
-                if j != i:
-                    stays &= ~_held(other, x, y)
-            rows[i], shifts[i] = rows[i][stays], shifts[i][stays]
-        return np.concatenate(rows), np.concatenate(shifts)
-
-    def __call__(self, symbol: np.ndarray, bounds: np.ndarray, once: np.ndarray, unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
-        sa, group = refine(symbol, unit.length)
-        lcp = common_prefixes(symbol, sa, group, unit.length)  # by text position
-        owner = np.repeat(np.arange(len(once)), np.diff(bounds))
-        starts = np.arange(len(symbol)) + unit.length <= bounds[1:][owner]
-        cluster = np.cumsum(lcp[sa] < unit.length) - 1
-        valid = starts[sa]  # a suffix that runs over its segment's end is no partner
-        size = np.bincount(cluster[valid], minlength=cluster[-1] + 1)
-        alone = np.zeros(len(symbol), bool)
-        alone[sa] = valid & (size[cluster] == 1)
-        at = np.flatnonzero(alone & once[owner])
-        return owner[at], at - bounds[owner[at]]
-
-
-def _held(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the rows of a sorted table of pairs hold each (x, y), by binary search."""
-    at = np.searchsorted(table[:, 0], x)
-    found = np.zeros(len(x), bool)
-    while True:
-        live = np.flatnonzero((at < len(table)) & ~found)
-        live = live[table[at[live], 0] == x[live]]
-        if not len(live):
-            return found
-        found[live] = table[at[live], 1] == y[live]
-        at[live] += 1
-
-
-def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            held: list[Shard] = []
+            key = None
+            for t in repeats.blocks(batches, limit or repeats.SHARD_BYTES, at_keys=False):
+                m, once = t.column("m").to_numpy(), t.column("once").to_numpy()
+                group = np.cumsum(np.append(True, m[1:] != m[:-1])) - 1
+                # keys whose every segment repeats as a whole have nothing that stays, unless they go on elsewhere
+                single = np.zeros(group[-1] + 1, bool)
+                single[group[once]] = True
+                keep = np.flatnonzero(single[group] | (m == m[-1]) | (m == key))
+                m, once, k, s = m[keep], once[keep], t.column("k").chunk(0).take(pa.array(keep)), t.column("s").to_numpy()[keep]
+                data, off = tn.flat(t.column("seg"))
+                size = np.diff(off)[keep]
+                symbol, bounds = data[tn.ranges(off[:-1][keep], size)], np.append(0, np.cumsum(size))
+                starts, alone = sort_shard(symbol, bounds, unit.length)
+                alone &= np.repeat(once, size)
+
+                def answer(at: np.ndarray, bounds=bounds, k=k, s=s) -> pa.RecordBatch:
+                    row = np.searchsorted(bounds, at, side="right") - 1
+                    return pa.RecordBatch.from_arrays([k.take(pa.array(row)), pa.array((s[row] + at - bounds[row]).astype(np.int32))], ["k", "p"])
+
+                def part(a: int, b: int, symbol=symbol, starts=starts, alone=alone, answer=answer) -> Shard:
+                    return Shard(symbol[a:b], starts[(starts >= a) & (starts < b)] - a, np.flatnonzero(alone[a:b]), unit.length, lambda at: answer(at + a))
+
+                # bytes of the first key, if it is the open one, and of the last key
+                head = int(bounds[np.searchsorted(m != key, True)]) if key is not None and m[0] == key else 0
+                tail = int(bounds[len(m) - np.searchsorted((m != m[-1])[::-1], True)])
+                if head:
+                    more = part(0, head)
+                    for shard in held:
+                        shard.merge(more)
+                    held.append(more)
+                if head < len(symbol):
+                    yield from (x.answer(x.lone) for x in held)
+                    yield answer(np.flatnonzero(alone[head:tail]) + head)
+                    held = [part(tail, len(symbol))]
+                key = m[-1]
+            yield from (x.answer(x.lone) for x in held)
+
+        return run
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 10_000) -> DataFrame:
     """Remove each byte of strings of `length` bytes that stand at two places or more.
 
     Texts are UTF-8 bytes, matches never cross documents, overlaps count and
@@ -170,13 +218,16 @@ def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", tex
     (start and end of each maximal removed run) and kept (binary).
 
     Corner cases: null counts as empty; texts under `length` bytes lose nothing;
-    rows without an id are known by their text; rows that repeat an id stand for
-    one document; other columns are ignored; an empty table gives an empty result.
+    rows without an id are known by their text, and equal ones are copies of
+    each other; rows with one id and the same text stand for one document; texts
+    that share an id are documents of their own; other columns are ignored; an
+    empty table gives an empty result.  A task that runs again must read its
+    rows in the same order, as scans of files do.
     """
     unit = repeats.Unit(words=False, length=length, k=min(64, length), hot=hot)
-    marked = repeats.marked(keyed(docs, doc_id, text), unit, SuffixArray())
+    marked = repeats.marked(docs, doc_id, text, unit, SuffixArray())
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
-    return marked.select("doc_id", "text", "parts", "stay", "whole").mapInArrow(_keep(length), schema)
+    return marked.mapInArrow(_keep(length), schema)
 
 
 def _keep(length: int):
@@ -184,22 +235,14 @@ def _keep(length: int):
         for batch in batches:
             for piece in tn.slices(batch, "text"):
                 data, off = tn.flat(piece.column("text"))
-                removed, spans, kept = [], [], []
-                for i, (parts, stay, whole) in enumerate(zip(*(piece.column(c) for c in ("parts", "stay", "whole")), strict=True)):
-                    own = data[off[i] : off[i + 1]]
-                    starts = repeats.repeated_starts([tuple(p.values()) for p in parts.as_py() or ()], stay.as_py(), whole.as_py(), len(own) - length + 1)
-                    if len(starts):
-                        gone = repeats.covered(len(own), starts, length)
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                        own = own[~gone]
-                    else:
-                        edge = starts
-                    removed.append(int(off[i + 1] - off[i] - len(own)))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    kept.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_bytes", "n_removed", "spans", "kept"],
-                )
+                gone = repeats.covered(piece, off, length)
+                edge, first, end = repeats.spans(gone, off)
+                removed = np.diff(np.append(0, np.cumsum(gone))[off])
+                size = np.diff(off)
+                kept = np.append(0, np.cumsum(size - removed)).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(kept), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+                parts = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"])
+                found = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), parts)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(removed.astype(np.int64)), found, raw], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return emit

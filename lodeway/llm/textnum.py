@@ -109,6 +109,14 @@ class Words:
         """Hash of the k words from each word on, and whether they lie in one document."""
         return grams(self.hash, self.bounds, k)
 
+    def joined(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words with one space after each, and the byte bounds of each word there."""
+        size = self.end - self.start
+        text = np.append(data, np.uint8(32))[ranges(self.start, size + 1)]
+        after = np.cumsum(size + 1)
+        text[after - 1] = 32
+        return text, after - 1 - size, after - 1
+
 
 def grams(symbol: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(symbol)

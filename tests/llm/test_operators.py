@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from lodeway.llm import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
+from lodeway.llm import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, repeats, sharding, substring_dedup, suffix_dedup, token_counts
 
 
 def by_id(df):
@@ -184,31 +184,118 @@ def test_hamming_blocks_find_all_within_radius():
 # --- 6 and 8 repeats ---
 
 
-@pytest.mark.parametrize("hot", [50_000, 2])
-def test_substring_dedup(table, texts, hot):
+@pytest.mark.parametrize("hot,crowd", [(50_000, 64), (2, 64), (3, 1)])
+def test_substring_dedup(table, texts, hot, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     out = substring_dedup.substring_dedup(table, hot=hot).withColumn("h", F.sha2("kept_text", 256))
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in out.collect()} == brute.substring(texts)
 
 
-@pytest.mark.parametrize("hot", [50_000, 2])
-def test_suffix_dedup(table, texts, hot):
+@pytest.mark.parametrize("hot,crowd", [(50_000, 64), (2, 64), (3, 1)])
+def test_suffix_dedup(table, texts, hot, crowd, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     out = suffix_dedup.suffix_dedup(table, hot=hot).withColumn("h", F.sha2("kept", 256))
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["h"]) for r in out.collect()} == brute.suffix(texts)
 
 
-def test_shards_merge_to_the_whole():
+def arrow(spark, rows, schema, function, out):
+    return spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(function, out).collect()
+
+
+@pytest.mark.parametrize("limit", [10**9, 400, 60])
+def test_shards_merge_to_the_whole(spark, limit):
     import numpy as np
 
     from lodeway.llm.repeats import Unit
 
     rng = np.random.default_rng(6)
     unit = Unit(words=False, length=24, k=8)
-    base = rng.integers(97, 123, 400).astype(np.uint8)
-    segs = [rng.integers(97, 123, 60).astype(np.uint8) if i % 3 else base[(s := rng.integers(0, 300)) : s + 80] for i in range(60)]
-    symbol, bounds, once = np.concatenate(segs), np.append(0, np.cumsum([len(x) for x in segs])), np.ones(len(segs), bool)
-    kernel = suffix_dedup.SuffixArray()
-    pairs = [sorted(zip(*map(list, kernel.shards(symbol, bounds, once, unit, limit)), strict=True)) for limit in (10**9, 500)]
-    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+    base = [rng.integers(97, 123, 400).astype(np.uint8) for _ in range(4)]
+    rows = []
+    for i in range(80):
+        m = int(rng.choice(4, p=[0.55, 0.2, 0.2, 0.05]))
+        s = int(rng.integers(0, 300))
+        rows.append((m, base[m][s : s + int(rng.integers(24, 80))].tobytes(), i, 10 * i, bool(rng.random() < 0.8)))
+    rows.sort(key=lambda r: r[0])
+    seen = Counter((m, seg[p : p + 24]) for m, seg, *_ in rows for p in range(len(seg) - 23))
+    want = {(k, s + p) for m, seg, k, s, once in rows if once for p in range(len(seg) - 23) if seen[m, seg[p : p + 24]] == 1}
+    got = arrow(spark, rows, "m long, seg binary, k long, s int, once boolean", suffix_dedup.SuffixArray.emit(unit, limit), "k long, p int")
+    assert {(r["k"], r["p"]) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_greedy_factors_of_a_known_text():
+    import numpy as np
+
+    words = "a b c d e f g h i j".split()
+    segments = [words, ["x", *words[2:7], "y", *words[5:], *words[:4]], words[1:9]]
+    symbol = np.array([hash(w) % 2**32 for seg in segments for w in seg], np.uint64)
+    bounds = np.append(0, np.cumsum([len(x) for x in segments]))
+    at, source, length = substring_dedup.factors(symbol, bounds, 3)
+    # c-g from 2; f-j from 5; then a-d from 0; the last segment b-i from 1
+    assert list(zip(at.tolist(), source.tolist(), length.tolist(), strict=True)) == [(11, 2, 5), (17, 5, 5), (22, 0, 4), (26, 1, 8)]
+    # a match that runs over the end of a factor is found at its border
+    segments = ["a b c d e".split(), "c d e f g".split(), "a b c d e f g".split()]
+    symbol = np.array([ord(w) for seg in segments for w in seg], np.uint64)
+    at, source, length = substring_dedup.factors(symbol, np.array([0, 5, 10, 17]), 3)
+    assert list(zip(at.tolist(), source.tolist(), length.tolist(), strict=True)) == [(5, 2, 3), (10, 0, 5), (13, 6, 4)]
+
+
+def test_parse_of_colliding_hashes(monkeypatch):
+    import numpy as np
+
+    from lodeway.llm import textnum as tn
+
+    segments = [b"a b c d e f", b"x b c d y f", b"a b c d e z"]
+    data, off = np.frombuffer(b"".join(segments), np.uint8), np.append(0, np.cumsum([len(x) for x in segments]))
+    want = sorted(zip(*map(list, substring_dedup.parse(data, off, 3)), strict=True))
+    real = tn.Words.__init__
+
+    def colliding(self, *args, **kw):
+        real(self, *args, **kw)
+        self.hash = self.hash & np.uint64(1)
+
+    monkeypatch.setattr(tn.Words, "__init__", colliding)
+    assert sorted(zip(*map(list, substring_dedup.parse(data, off, 3)), strict=True)) == want == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3), (2, 3)]
+
+
+def test_keys_of_windows_do_not_depend_on_the_length_of_their_document(monkeypatch):
+    import numpy as np
+
+    from lodeway.llm import textnum as tn
+
+    monkeypatch.setattr(tn, "POSITION_BITS", 8)
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 2**62, 60).astype(np.uint64)
+
+    def keys(before):
+        symbol = np.concatenate((np.random.default_rng(9).integers(0, 2**62, before).astype(np.uint64), passage))
+        bounds = np.array([0, len(symbol)])
+        gram, valid = tn.grams(symbol, bounds, 8)
+        _, s, e, key = tn.runs(gram, valid, bounds, 8, 20)
+        return {t - before: k for a, b, k in zip(s.tolist(), e.tolist(), key.tolist(), strict=True) for t in range(a, b + 1) if t >= before}
+
+    assert keys(50) == keys(1000) and len(keys(50)) == 41
+
+
+def test_one_id_with_two_texts(spark):
+    text = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    passage = text("p", 60)
+    rows = [(1, "x y " + passage), (5, text("a", 30) + " " + passage), (5, text("b", 30)), (5, text("b", 30)), (7, text("b", 30))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(d).collect())
+    assert got == [(1, 62, 0), (5, 30, 0), (5, 30, 0), (5, 90, 60), (7, 30, 30)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(d, 100).collect())
+    n = len(passage)
+    assert got == [(1, n + 4, n + 1), (5, 109, 109), (5, 109, 109), (5, n + 110, n + 1), (7, 109, 109)]
+    j = jaccard_join.jaccard_join(d).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in j) == [(1, 1), (5, 5), (5, 5), (5, 5), (7, 5)]
+
+
+def test_rows_without_ids_are_copies(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(None, long), (None, long), (None, long), (4, "short")], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in substring_dedup.substring_dedup(d).collect()) == [0, 0, 60, 60]
+    assert sorted(r["n_removed"] for r in suffix_dedup.suffix_dedup(d).collect()) == [0] + [len(long)] * 3
 
 
 def test_suffix_array_kernels():
