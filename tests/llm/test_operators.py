@@ -377,7 +377,7 @@ def test_mixing(table, texts):
     for s in sizes:
         assert math.isclose(target[s], want[s], rel_tol=1e-9), (s, target, want)
         # a document longer than all others of its source together can't be balanced
-        assert abs(taken[s] - target[s]) <= (widest[s] / 2 if 2 * widest[s] > sizes[s] else 0.02 * target[s] + 5)
+        assert abs(taken[s] - target[s]) <= (widest[s] if 2 * widest[s] > sizes[s] else 0.02 * target[s] + 50)
     again = {r["doc_id"]: r["taken"] for r in mixing.mixture(table.repartition(3)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in rows}
     mixed = mixing.mix(table)
@@ -396,6 +396,39 @@ def test_mixing_tree(table, texts, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 3000 for s in target)
 
 
+def rounded(sizes, rate, seed):
+    import numpy as np
+    import pandas as pd
+
+    pdf = pd.DataFrame({"k": np.arange(len(sizes)), "v": 0, "doc_id": 0, "source": "s", "size": sizes, "n": 1, "bucket": 0, "copies": 0, "mass": [rate * x for x in sizes]})
+    return mixing.pivot(pdf, seed, True).sort_values("k")["copies"].to_numpy()
+
+
+@pytest.mark.parametrize("sizes,rate,miss", [([300] + [10] * 60, 0.3, 270), ([300] + [10] * 100, 0.3, 10), ([900, 500, 400] + [25, 40, 7, 60, 33] * 12, 0.6, 400), ([50, 40, 30], 0.5, 50), ([1000] + [10] * 5, 0.4, 1000)])
+def test_rounding_keeps_each_expectation(sizes, rate, miss):
+    import numpy as np
+
+    runs = 1500
+    taken = np.array([rounded(sizes, rate, seed) for seed in range(runs)])
+    error = 4.5 * math.sqrt(rate * (1 - rate) / runs)
+    assert set(np.unique(taken)) <= {0, 1}
+    assert np.abs(taken.mean(axis=0) - rate).max() < error
+    assert np.abs(taken @ np.array(sizes) - rate * sum(sizes)).max() <= miss
+
+
+def test_mix_of_repeated_rows_is_exact(spark):
+    rows = [(1, "a b c", "s", i) for i in range(7)] + [(1, "d e f", "s", 7)] + [(2, " ".join(["w"] * n), "t", n) for n in (5, 6, 7)] + [(None, "x y", "t", 0)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(4)
+    want = Counter()
+    for r in mixing.mixture(d).collect():
+        want[r["doc_id"], r["size"], r["source"]] += r["copies"]
+    assert mixing.mixture(d).count() == len(rows)
+    got = mixing.mix(d).collect()
+    assert Counter((r["doc_id"], len(r["text"].split()), r["source"]) for r in got) == +want
+    each = Counter(r["extra"] for r in got if r["source"] == "s" and r["text"] == "a b c")
+    assert max(each.values()) - min(each.get(i, 0) for i in range(7)) <= 1
+
+
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, "c": 1}, {"a": 10, "b": 0, None: 7}, {"a": 5}, {"a": 3, "b": 3, "c": 3, "d": 500, None: 1}])
 def test_targets(spark, sizes):
     rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
