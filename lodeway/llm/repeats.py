@@ -8,7 +8,7 @@ or sorts them.  Of equal segments one goes on.
 
 No block grows with a common passage.  A task that meets a key often spreads
 its further runs over all partitions by a salt and leaves a marker under the
-key.  Keys so marked, and keys with more than `hot` runs, are hot: where more
+key.  Keys with more than `hot` runs in different texts are hot: where more
 than `hot` different segments of a hot key are left, these are cut again by a
 longer k-gram, at last by whole windows, of which a key has one.
 
@@ -33,6 +33,7 @@ from .keys import cut, key_type, keyed
 SHARD_BYTES = 2 << 20
 CROWD = 64  # runs of a key in one task from which on they are spread, besides four times the mean
 COUNTERS = 1 << 21
+REACH_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,10 @@ class Unit:
 
 
 def _runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows m, salt, k, s, e of the runs; one with s = -1 is the marker of a key that the task meets often."""
+    """Rows m, salt, k, se of the runs; one with se = -1 is the marker of a key that the task meets often.
+
+    se packs the first window and how many follow it; a run ends within `length` symbols.
+    """
 
     def emit(batches):
         load, met = np.zeros(COUNTERS, np.int32), 0
@@ -72,11 +76,11 @@ def _runs(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 many = load[slot] > CROWD + 4 * met // COUNTERS
                 salt = np.where(many, (tn.mix(key ^ (tn.U64(met) + np.arange(len(key)).astype(tn.U64))) >> tn.U64(33)).astype(np.int32) | 1, 0)
                 marks, at = np.unique(key[many], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), piece.column("k").take(pa.array(doc)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["m", "salt", "k", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), piece.column("k").take(pa.array(doc)), pa.array(s << REACH_BITS | (e - s))], ["m", "salt", "k", "se"])
                 if len(marks):
                     zero = np.zeros(len(marks), np.int32)
                     some = piece.column("k").take(pa.array(doc[many][at]))
-                    yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(zero), some, pa.array(zero - 1), pa.array(zero - 1)], ["m", "salt", "k", "s", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(zero), some, pa.array(zero.astype(np.int64) - 1)], ["m", "salt", "k", "se"])
 
     return emit
 
@@ -115,12 +119,10 @@ def _payload(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for piece in tn.slices(batch, "text"):
                 symbol, bounds, pieces = _segments(unit, *tn.flat(piece.column("text")))
                 row, parts = list_rows(piece.column("parts"))
-                m, s, e = (field(parts, c) for c in ("m", "s", "e"))
-                fits = np.flatnonzero(e + unit.length <= np.diff(bounds)[row])  # rows that share a key share their runs
-                row, s, e = row[fits], s[fits], e[fits]
+                m, s, more = (field(parts, c) for c in ("m", "s", "more"))
                 a = bounds[row] + s
-                seg = pieces(a, a + (e - s) + unit.length)
-                yield pa.RecordBatch.from_arrays([pa.array(m[fits]), seg, piece.column("k").take(pa.array(row)), pa.array(s), pa.array(np.ones(len(s), bool))], ["m", "seg", "k", "s", "once"])
+                seg = pieces(a, a + more + unit.length)
+                yield pa.RecordBatch.from_arrays([pa.array(m), seg, piece.column("k").take(pa.array(row)), pa.array(s), pa.array(np.ones(len(s), bool))], ["m", "seg", "k", "s", "once"])
 
     return emit
 
@@ -226,29 +228,38 @@ def marked(docs: DataFrame, doc_id: str, text: str, unit: Unit, kernel) -> DataF
     """
     docs, copies, nameless = documents(docs, doc_id, text)
     key = key_type(docs)
-    runs = docs.mapInArrow(_runs(unit), f"m long, salt int, k {key}, s int, e int")
-    runs = runs.where("m is not null and salt is not null and k is not null and s is not null and e is not null").repartition("m", "salt")
+    runs = docs.mapInArrow(_runs(unit), f"m long, salt int, k {key}, se long")
+    runs = runs.where("m is not null and salt is not null and k is not null and se is not null").repartition("m", "salt")
     # asks for every column, so that both sides of the join read one and the same exchange
-    last = [F.max(c).alias(f"_{c}") for c in ("k", "s", "e")]
-    met = runs.groupBy("m", "salt").agg(F.count("*").alias("n"), F.min("s").alias("low"), *last)
-    met = met.where("(n > 1 or salt <> 0) and _k is not null and _s is not null and _e is not null")
-    met = met.select("m", "salt", ((F.col("n") > unit.hot) | (F.col("salt") != 0) | (F.col("low") < 0)).alias("hot"))
-    parts = runs.join(met, ["m", "salt"]).groupBy("k").agg(F.filter(F.collect_list(F.struct("m", "s", "e", "hot")), lambda p: p.s >= 0).alias("parts"))
+    met = runs.groupBy("m", "salt").agg(F.count("*").alias("n"), F.min("se").alias("low"), F.max("k").alias("_k"))
+    met = met.where("(n > 1 or salt <> 0) and low is not null and _k is not null")
+    met = met.select("m", "salt", ((F.col("n") > unit.hot) | (F.col("salt") != 0) | (F.col("low") < 0)).alias("warm"))
+    run = F.struct("m", F.shiftright("se", REACH_BITS).cast("int").alias("s"), F.col("se").bitwiseAND((1 << REACH_BITS) - 1).cast("int").alias("more"), "warm")
+    parts = runs.join(met, ["m", "salt"]).groupBy("k").agg(F.filter(F.collect_list(run), lambda p: p.s >= 0).alias("parts"))
     parts = cut(parts.join(copies.where("not first").select("k"), "k", "left_anti"))
     placed = docs.repartition("k")
     schema = f"m long, seg binary, k {key}, s int, once boolean"
 
-    def sent(hot: bool) -> DataFrame:
-        own = parts.select("k", F.filter("parts", lambda p: p.hot == F.lit(hot)).alias("parts")).where("size(parts) > 0")
-        return kernel.distinct(placed.join(own, "k").mapInArrow(_payload(unit), schema))
-
-    segments = sent(False)
-    if not parts.where(F.exists("parts", lambda p: p.hot)).isEmpty():
-        segments = segments.unionByName(_cooled(sent(True), unit, kernel.distinct, schema))
-    stay = segments.repartition("m").sortWithinPartitions("m").mapInArrow(kernel.emit(unit), f"k {key}, p int")
-    stay = stay.groupBy("k").agg(F.collect_list("p").alias("stay"))
+    def sent(own: DataFrame) -> DataFrame:
+        return placed.join(own.where("size(parts) > 0"), "k").mapInArrow(_payload(unit), schema)
+
+    def stays(segments: DataFrame) -> DataFrame:
+        return segments.sortWithinPartitions("m").mapInArrow(kernel.emit(unit), f"k {key}, p int")
+
+    warm = parts.select("k", F.explode(F.filter("parts", lambda p: p.warm)).alias("p")).select("k", "p")
+    hot = cut(warm.groupBy(F.col("p.m").alias("m")).agg(F.count("*").alias("n")).where(F.col("n") > unit.hot).select("m"))
+    if hot.isEmpty():
+        cool, extra = parts, None
+    else:
+        taken = cut(warm.withColumn("m", F.col("p.m")).join(hot, "m").groupBy("k").agg(F.collect_list("p").alias("parts")))
+        gone = taken.select("k", F.transform("parts", lambda p: p.m).alias("gone"))
+        cool = parts.join(gone, "k", "left").select("k", F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda p: ~F.array_contains("gone", p.m))).alias("parts"))
+        extra = stays(_cooled(kernel.distinct(sent(taken)), unit, kernel.distinct, schema).repartition("m"))
+    # a cool key has at most `hot` rows, so equal segments may meet in its own partition
+    stay = stays(kernel.distinct(sent(cool).repartition("m")))
+    stay = (stay if extra is None else stay.unionByName(extra)).groupBy("k").agg(F.collect_list("p").alias("stay"))
     whole = copies.select("k", kernel.whole(F.col("first")).alias("whole")).where("whole")
-    shown = parts.select("k", F.transform("parts", lambda p: F.struct(p.s.alias("s"), p.e.alias("e"))).alias("parts"))
+    shown = parts.select("k", F.transform("parts", lambda p: F.struct(p.s.alias("s"), p.more.alias("more"))).alias("parts"))
     out = placed.join(shown, "k", "left").join(stay, "k", "left").join(whole, "k", "left")
     copy = F.coalesce("whole", F.lit(False))
     if not nameless:
@@ -263,13 +274,10 @@ def covered(piece: pa.RecordBatch, bounds: np.ndarray, length: int) -> np.ndarra
     size = np.diff(bounds)
     starts = np.zeros(n + 1, bool)
     row, parts = list_rows(piece.column("parts"))
-    s, e = field(parts, "s").astype(np.int64), field(parts, "e").astype(np.int64)
-    fits = e + length <= size[row]
-    starts[tn.ranges((bounds[:-1][row] + s)[fits], (e - s + 1)[fits])] = True
+    s, more = field(parts, "s").astype(np.int64), field(parts, "more").astype(np.int64)
+    starts[tn.ranges(bounds[:-1][row] + s, more + 1)] = True
     row, p = list_rows(piece.column("stay"))
-    p = p.to_numpy(zero_copy_only=False).astype(np.int64)
-    fits = p + length <= size[row]
-    starts[(bounds[:-1][row] + p)[fits]] = False
+    starts[bounds[:-1][row] + p.to_numpy(zero_copy_only=False).astype(np.int64)] = False
     whole = np.flatnonzero(piece.column("whole").to_numpy(zero_copy_only=False).astype(bool) & (size >= length))
     starts[tn.ranges(bounds[:-1][whole], size[whole] - length + 1)] = True
     edge = np.zeros(n + 1, np.int64)
