@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Public licence notices by family.
+#: Sentences of public licence texts and notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -29,6 +35,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL-2.0": (
         "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2.",
         "Licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License.",
@@ -36,15 +43,20 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
-        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
     ),
     "BSD": (
         "Released under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
     ),
     "CC-BY-NC": (
@@ -57,6 +69,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
+        "Creative Commons Attribution 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
     "CC0": (
@@ -68,6 +81,24 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This document is confidential and proprietary; no part may be reproduced without written permission.",
     ),
 }
+#: How short notices name each family; the first is its identifier.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT", "MIT license"),
+    "Apache-2.0": ("Apache-2.0", "Apache License 2.0"),
+    "GPL-3.0": ("GPL-3.0-or-later", "GPLv3", "GNU GPL version 3"),
+    "GPL-2.0": ("GPL-2.0-only", "GPLv2", "GNU GPL version 2"),
+    "LGPL": ("LGPL-2.1-or-later", "LGPLv3", "GNU LGPL"),
+    "AGPL-3.0": ("AGPL-3.0-only", "AGPLv3", "GNU AGPL"),
+    "BSD": ("BSD-3-Clause", "BSD license", "3-clause BSD license"),
+    "MPL-2.0": ("MPL-2.0", "Mozilla Public License 2.0"),
+    "CC-BY-NC": ("CC-BY-NC-4.0", "CC BY-NC"),
+    "CC-BY-SA": ("CC-BY-SA-4.0", "CC BY-SA"),
+    "CC-BY": ("CC-BY-4.0", "CC BY"),
+    "CC0": ("CC0-1.0", "CC0"),
+}
+#: Frames of short notices to learn from, and others that only calibrate.
+FRAMES = ("SPDX-License-Identifier: {id}", "{id}", "Licensed under {name}", "Released under the {name}", "distributed under the terms of the {name}", "{name} licence")
+HELD_FRAMES = ("available under the {name} licence", "License: {id}", "covered by the {name}", "see the {name} for licence details")
 #: Sentences that name no licence though they use its words.
 OTHER = (
     "He lost his driving license last year.",
@@ -82,11 +113,32 @@ OTHER = (
     "Students may obtain a copy of the file at the office.",
     "The creative commons room is open to all members.",
     "No part of the building may be used without permission.",
+    "The notice above the door must be retained by the tenant.",
+    "She was granted a licence to sell drinks, free of charge.",
+    "The bakery distributes bread under a contract with the city.",
+    "All conditions of the sale are listed on the following page.",
+    "The library is free and open to any person in the town.",
+    "Version 2 of the plan was published by the foundation in May.",
+)
+#: More of these, which only calibrate.
+HELD_OTHER = (
+    "Without a valid licence nobody may drive on public roads.",
+    "The pub applied for a new licence in March.",
+    "Copyright law differs between countries.",
+    "A gnu is a large antelope of the African plains.",
+    "The warranty is void if the seal is broken.",
+    "The minister said the licence fee would be abolished.",
+    "Proprietary medicines are sold at the counter.",
+    "Everything in the public domain was read aloud by the children.",
+    "The museum holds the rights to the painting.",
+    "They were permitted to redistribute the food to the poor.",
+    "The file on the case was provided to the court as is.",
+    "A general licence was issued to the merchants of the port.",
 )
 UNKNOWN = "unknown"
-ANCHOR = r"(?i)licen[cs]|copyright|public domain|cc0|all rights reserved|warrant|\bgnu\b|free of charge|redistribut|proprietary|creative commons|\bcc by"
+ANCHOR = r"(?i)licen[cs]|copyright|public domain|cc0|all rights reserved|warrant|\bgnu\b|\b[la]?gpl|free of charge|redistribut|proprietary|creative commons|\bcc[ -]by|\bmpl\b"
 #: The same terms where a line may end between two words.
-WRAPPED = ANCHOR.replace(" ", r"\s+")
+WRAPPED = ANCHOR.replace("public domain", r"public\s+domain").replace("all rights reserved", r"all\s+rights\s+reserved").replace("free of charge", r"free\s+of\s+charge").replace("creative commons", r"creative\s+commons").replace("cc[ -]by", r"cc(?:\s+|-)by")
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Words of a window over wrapped lines: half as many again as the longest template has.
 REACH = 3 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts) // 2
@@ -94,6 +146,8 @@ REACH = 3 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts) /
 PIECE = r"\S++(?:[^\S\n]++\S++){0,7}"
 #: A line's end, or a piece with the window that starts there as group 1; a window ends at a blank line.
 WINDOW = rf"\n|(?=(\S++(?:[^\S\n]*+\n?[^\S\n]*+\S++){{0,{REACH - 1}}})){PIECE}"
+#: Weights are looked up by n-gram in so many maps, so that a look-up scans few of them.
+MAPS = 64
 
 
 def grams(text: str) -> list[str]:
@@ -101,10 +155,29 @@ def grams(text: str) -> list[str]:
     return sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))})
 
 
-def _examples(rng: np.random.Generator, filler: list[str], copies: int) -> list[tuple[str, str]]:
-    """Templates and other sentences, each also with words dropped and filler around it."""
+def mentions(family: str, frames: tuple[str, ...]) -> list[str]:
+    """Short notices of a family, one for each frame and name."""
+    if family not in NAMES:
+        return []
+    first, *names = NAMES[family]
+    return [frame.format(id=first, name=name) for frame in frames for name in (names or [first])]
+
+
+def confirming(family: str) -> list[list[str]]:
+    """N-grams of what can confirm a family: those of its templates, and the word pairs of its names in a short notice."""
+    first, *names = NAMES.get(family, ("",))
+    short = [f"SPDX-License-Identifier: {first}", f"license {first}"] if first else []
+    short += [n for n in names if len(n.split()) > 1]
+    short += [f"{a} {n}" for n in (names or [first]) if n for a in ("under", "the")]
+    short += [f"{n} {w}" for n in (first, *names) if n for w in ("licence", "license")]
+    pairs = [[g for g in grams(t) if " " in g] for t in short]
+    return [*map(grams, TEMPLATES[family]), *pairs]
+
+
+def _examples(rng: np.random.Generator, families: dict[str, list[str]], filler: list[str], copies: int) -> list[tuple[str, str]]:
+    """Texts by family, each also with words dropped and filler around it."""
     out = []
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHER)]:
+    for family, texts in families.items():
         for text in texts:
             out.append((family, text))
             w = text.split()
@@ -115,44 +188,62 @@ def _examples(rng: np.random.Generator, filler: list[str], copies: int) -> list[
     return out
 
 
-@lru_cache(maxsize=4)
-def train(seed: int = 11, copies: int = 12, steps: int = 300, l2: float = 1e-3) -> tuple[list[str], dict[str, list[float]], list[float], float]:
-    """Families, weights by n-gram, bias and the probability under which a paragraph is unknown.
+class Rows:
+    """Sparse rows of n-grams, each row scaled to length one; the last column is the bias."""
 
-    Everything it learns from is fixed text of this module (under 60 sentences
-    and `copies` variants of each), so its size doesn't depend on the corpus.
-    The cut is calibrated on variants that training has not seen: the least
-    value at which no unknown sentence passes, kept between 0.5 and 0.9.
+    def __init__(self, texts: list[str], vocab: dict[str, int]):
+        found = [[vocab[g] for g in grams(t) if g in vocab] for t in texts]
+        size = np.array([len(x) for x in found])
+        self.n, self.width = len(texts), len(vocab)
+        self.column = np.array([c for x in found for c in x], np.int64)
+        self.row = np.repeat(np.arange(self.n), size)
+        self.value = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+        self.by_column = np.argsort(self.column, kind="stable")
+        self.edge = np.searchsorted(self.column[self.by_column], np.arange(self.width + 1))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        sums = np.vstack((np.zeros(w.shape[1]), np.cumsum(w[self.column] * self.value[:, None], axis=0)))
+        edge = np.searchsorted(self.row, np.arange(self.n + 1))
+        return sums[edge[1:]] - sums[edge[:-1]] + w[-1]
+
+    def transposed_times(self, y: np.ndarray) -> np.ndarray:
+        sums = np.vstack((np.zeros(y.shape[1]), np.cumsum((y[self.row] * self.value[:, None])[self.by_column], axis=0)))
+        return np.vstack((sums[self.edge[1:]] - sums[self.edge[:-1]], y.sum(axis=0)))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=4)
+def train(seed: int = 11, copies: int = 4, steps: int = 160, l2: float = 2e-4) -> tuple[list[str], dict[str, list[float]], list[float], float]:
+    """Families, weights by n-gram, bias, and the probability under which a paragraph is unknown.
+
+    Everything it learns from is fixed text of this module, so its size doesn't
+    depend on the corpus.  Calibration uses frames and sentences that training
+    has not seen: a temperature, by which weights and bias are divided, makes
+    their likelihood greatest, and the cut is where of the held unknown examples
+    one in a hundred would pass.
     """
     rng = np.random.default_rng(seed)
     filler = [w for t in OTHER for w in t.lower().strip(".").split()]
     names = [*TEMPLATES, UNKNOWN]
-    data = _examples(rng, filler, copies)
-    rest = _examples(rng, filler, 4)
-    vocab = {g: i for i, g in enumerate(sorted({g for t in (*sum(TEMPLATES.values(), ()), *OTHER) for g in grams(t)}))}
-
-    def matrix(rows: list[tuple[str, str]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(vocab) + 1))
-        x[:, -1] = 1
-        for r, (_, text) in enumerate(rows):
-            at = [vocab[g] for g in grams(text) if g in vocab]
-            x[r, at] = 1 / np.sqrt(max(1, len(at)))
-        return x
-
-    x = matrix(data)
-    y = np.eye(len(names))[[names.index(f) for f, _ in data]]
-    w = np.zeros((x.shape[1], len(names)))
+    learned = {f: [*texts, *mentions(f, FRAMES)] for f, texts in TEMPLATES.items()} | {UNKNOWN: list(OTHER)}
+    data = _examples(rng, learned, filler, copies)
+    held = _examples(rng, {f: mentions(f, HELD_FRAMES) for f in NAMES} | {UNKNOWN: list(HELD_OTHER)}, filler, copies)
+    vocab = {g: i for i, g in enumerate(sorted({g for texts in learned.values() for t in texts for g in grams(t)}))}
+    x, y = Rows([t for _, t in data], vocab), np.eye(len(names))[[names.index(f) for f, _ in data]]
+    w, speed = np.zeros((len(vocab) + 1, len(names))), np.zeros((len(vocab) + 1, len(names)))
     for _ in range(steps):
-        z = x @ w
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w -= 5.0 * (x.T @ (p - y) / len(data) + l2 * w)
-    z = matrix(rest) @ w
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    wrong = [max(q[:-1]) for q, (f, _) in zip(p, rest, strict=True) if f == UNKNOWN]
-    cut = float(min(0.9, max(0.5, max(wrong) + 1e-6)))
-    return names, {g: [round(v, 6) for v in w[i]] for g, i in vocab.items()}, [round(v, 6) for v in w[-1]], cut
+        speed = 0.9 * speed - (x.transposed_times(softmax(x.times(w)) - y) / len(data) + l2 * w)
+        w += 4.0 * speed
+    z, truth = Rows([t for _, t in held], vocab).times(w), np.array([names.index(f) for f, _ in held])
+    loss = {t: -np.log(softmax(z / t)[np.arange(len(held)), truth]).mean() for t in np.geomspace(0.25, 8, 61)}
+    w /= min(loss, key=loss.get)
+    sure = softmax(Rows([t for _, t in held], vocab).times(w))[truth == names.index(UNKNOWN), :-1].max(axis=1)
+    cut = float(min(0.95, np.quantile(sure, 0.99)))
+    return names, {g: [round(v, 6) for v in w[i]] for g, i in vocab.items()}, [round(v, 6) for v in w[-1]], round(cut, 6)
 
 
 def _grams(text: Column) -> tuple[Column, Column]:
@@ -163,8 +254,8 @@ def _grams(text: Column) -> tuple[Column, Column]:
 
 def _shares() -> dict[str, Column]:
     """By family the greatest share of a template's grams that are in the column grams."""
-    share = lambda t: F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, grams(t))))) / F.lit(float(len(grams(t))))
-    return {family: F.greatest(*map(share, texts)) if len(texts) > 1 else share(texts[0]) for family, texts in TEMPLATES.items()}
+    share = lambda g: F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, g)))) / F.lit(float(len(g)))
+    return {family: F.greatest(*map(share, confirming(family))) for family in TEMPLATES}
 
 
 def _candidates(docs: DataFrame, doc_id: str, text: str, confirm: float) -> DataFrame:
@@ -216,11 +307,15 @@ def license_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     (its first line), paragraph, family, probability, similarity and confirmed.
     """
     names, weights, bias, cut = train()
-    model = F.from_json(F.lit(json.dumps(weights)), "map<string,array<double>>")
+    maps: list[dict] = [{} for _ in range(MAPS)]
+    for g, v in weights.items():
+        maps[zlib.crc32(g.encode()) % MAPS][g] = v
+    model = F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<double>>>")
     df = _candidates(docs, doc_id, text, confirm)
     w, g = _grams(F.col("paragraph"))
     df = df.withColumn("w", w).withColumn("grams", g)
-    hits = F.filter(F.transform("grams", lambda g: F.element_at(model, g)), lambda v: v.isNotNull())
+    weight = lambda g: F.element_at(F.element_at(model, (F.crc32(g) % MAPS + 1).cast("int")), g)
+    hits = F.filter(F.transform("grams", weight), lambda v: v.isNotNull())
     df = df.withColumn("hits", hits)
     zero = F.array(*[F.lit(0.0)] * len(names))
     sums = F.aggregate("hits", zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))

@@ -48,6 +48,55 @@ def test_license_wrapped(spark, width):
     assert {got[i]["license"] for i in (22, *range(30, 30 + len(license_scan.OTHER)))} == {"none"}
 
 
+def plain_license(text):
+    """Family, probability and similarity of one paragraph, without Spark."""
+    names, weights, bias, cut = license_scan.train()
+    w = [weights[g] for g in license_scan.grams(text) if g in weights]
+    z = [b + sum(v[i] for v in w) / math.sqrt(max(1, len(w))) for i, b in enumerate(bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    best = names[z.index(max(z))]
+    own = set(license_scan.grams(text))
+    near = max((len(own & set(g)) / len(g) for g in license_scan.confirming(best)), default=0) if best != "unknown" else 0.0
+    return (best if best != "unknown" and max(e) / sum(e) >= cut and near >= 0.6 else "unknown"), max(e) / sum(e), near
+
+
+def test_license_equals_the_plain_classifier(spark):
+    lines = [*license_scan.OTHER, *license_scan.HELD_OTHER, "the MIT professor lost his license", "", "licence"]
+    for f in license_scan.TEMPLATES:
+        lines += [*license_scan.TEMPLATES[f], *license_scan.mentions(f, license_scan.FRAMES), *license_scan.mentions(f, license_scan.HELD_FRAMES)]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = license_scan.license_paragraphs(d).where("paragraph is not null").collect()
+    assert len(got) > 150
+    for r in got:
+        family, probability, near = plain_license(r["paragraph"])
+        assert r["family"] == family, r
+        assert math.isclose(r["probability"], probability, abs_tol=1e-6) and math.isclose(r["similarity"], near, abs_tol=1e-9)
+
+
+def test_license_of_short_and_unseen_notices(spark):
+    probes = {
+        "SPDX-License-Identifier: MIT": "MIT",
+        "available under the MIT licence": "MIT",
+        "licensed under GPLv3": "GPL-3.0",
+        "Creative Commons Attribution 4.0": "CC-BY",
+        "Redistributions of source code must retain the above copyright notice...": "BSD",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,': "MIT",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL-3.0",
+        "the MIT professor lost his license": "none",
+    }
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")))
+    assert {t: got[i]["license"] for i, t in enumerate(probes)} == probes
+
+
+def test_license_calibration():
+    """Frames and sentences that training has not seen."""
+    held = [(f, t) for f in license_scan.NAMES for t in license_scan.mentions(f, license_scan.HELD_FRAMES)]
+    right = sum(plain_license(t)[0] == f for f, t in held)
+    wrong = sum(plain_license(t)[0] not in (f, "unknown") for f, t in held) + sum(plain_license(t)[0] != "unknown" for t in license_scan.HELD_OTHER)
+    assert right >= 0.85 * len(held) and wrong <= 0.03 * (len(held) + len(license_scan.HELD_OTHER))
+    assert 0.3 < license_scan.train()[3] < 0.95
+
+
 def test_license_is_native(table):
     plan = license_scan.license_scan(table)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
