@@ -43,7 +43,7 @@ class Unit:
     words: bool
     length: int
     k: int
-    hot: int = 50_000
+    hot: int = 5_000
 
     def symbols(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.words:

@@ -142,7 +142,7 @@ class Parse:
         return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", hot: int = 5_000) -> DataFrame:
     """Remove words of windows that already stand earlier in the corpus.
 
     A window is `window` consecutive words `[^\\x20\\x09-\\x0D]+` of one

@@ -210,7 +210,7 @@ class SuffixArray:
         return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 10_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", hot: int = 5_000) -> DataFrame:
     """Remove each byte of strings of `length` bytes that stand at two places or more.
 
     Texts are UTF-8 bytes, matches never cross documents, overlaps count and
