@@ -127,8 +127,10 @@ def polygon_meets_polygon(p: Column, q: Column, interior: bool = False, tol: Tol
     """Filled polygons with a common point; interior: edges that cross, or a vertex strictly inside."""
     within = F.exists(p, lambda v: point_in_polygon(v, q, True, tol)) | F.exists(q, lambda v: point_in_polygon(v, p, True, tol))
     touch = F.exists(edges(p), lambda e: F.exists(edges(q), lambda f: ix.crosses("seg", e, "seg", f, interior, tol)))
-    middle = F.exists(edges(p), lambda e: F.exists(ix.with_polygon("seg", e, q, tol), lambda part: part.interior))
-    return within | middle if interior else within | touch
+    through = lambda one, other: F.exists(edges(one), lambda e: F.exists(ix.with_polygon("seg", e, other, tol), lambda part: part.interior))
+    # edges of each on the other's boundary only: the same polygon, or two that touch
+    border = lambda one, other: F.forall(edges(one), lambda e: point_on_ring(e.a, other, tol) & point_on_ring(F.struct(((e.a.x + e.b.x) / 2).alias("x"), ((e.a.y + e.b.y) / 2).alias("y")), other, tol))
+    return within | through(p, q) | through(q, p) | (border(p, q) & border(q, p)) if interior else within | touch
 
 
 def box_meets_segment(s: Column, box: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..tolerance import DEFAULT, EARTH_RADIUS_METERS, Tolerance
 from .distances import at_bearing, length, vincenty_direct
-from .shapes import POLY_TYPE, bind, cross, distance, edges, lit_, pt
+from .shapes import POLY_TYPE, bind, cross, distance, edges, lit_, pt, unit
 
 
 def polar(norm_, degrees) -> Column:
@@ -24,7 +24,7 @@ def polar_to_xy(v: Column) -> Column:
 
 
 def xy_to_polar(v: Column, tol: Tolerance = DEFAULT) -> Column:
-    """Norm and bearing; a vector with |y| within the tolerance counts as horizontal."""
+    """Norm and bearing; the bearing of a vector with |y| within the tolerance is that of a horizontal one."""
     return bind(v, lambda w: _polar(w, tol))
 
 
@@ -32,7 +32,7 @@ def _polar(v: Column, tol: Tolerance) -> Column:
     turn = F.degrees(F.atan2(v.x, v.y))
     level = F.abs(v.y) <= tol.vertical
     return F.struct(
-        F.when(level, F.abs(v.x)).otherwise(F.sqrt(v.x * v.x + v.y * v.y)).alias("norm"),
+        F.sqrt(v.x * v.x + v.y * v.y).alias("norm"),
         F.when(level, F.when(v.x >= 0, F.lit(90.0)).otherwise(F.lit(270.0))).otherwise(F.when(turn < 0, turn + 360.0).otherwise(turn)).alias("deg"),
     )
 
@@ -47,8 +47,9 @@ def polar_subtract(v: Column, w: Column) -> Column:
     return xy_to_polar(pt(a.x - b.x, a.y - b.y))
 
 
-def random_vector(seed: int, norm_: float = 1.0) -> Column:
-    return polar_to_xy(polar(norm_, F.rand(seed) * 360.0))
+def random_vector(seed: int, key: Column, norm_: float = 1.0) -> Column:
+    """A vector of that norm whose bearing depends on seed and key only."""
+    return polar_to_xy(polar(norm_, unit(seed, key, F.lit("bearing")) * 360.0))
 
 
 def mercator_to_geographic(p: Column) -> Column:
@@ -162,8 +163,8 @@ def text_colour(colour: Column) -> Column:
     return F.when(0.299 * c["r"] + 0.587 * c["g"] + 0.114 * c["b"] >= 192, F.lit("black")).otherwise(F.lit("white"))
 
 
-def random_colour(seed: int) -> Column:
-    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.floor(F.rand(seed) * 16777216).cast("long"))), 6, "0"))
+def random_colour(seed: int, key: Column) -> Column:
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.floor(unit(seed, key, F.lit("colour")) * 16777216).cast("long"))), 6, "0"))
 
 
 def speed(p: Column, q: Column, seconds: Column) -> Column:

@@ -56,13 +56,18 @@ def bounding_box_3d(points: DataFrame, pad: float = 0.1, group: list[str] | None
     return out.select(*(group or []), *(e for c in "xyz" for e in ((F.col(f"{c}_lo") - span(c)).alias(f"{c}_min"), (F.col(f"{c}_hi") + span(c)).alias(f"{c}_max"))))
 
 
+def _frame(group: int, rings: list) -> pd.DataFrame:
+    rows = [(group, i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)]
+    return pd.DataFrame(rows, columns=["group_id", "part", "poly"], dtype=object)
+
+
 def _rings(op, sort: str | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if sort:
             pdf = pdf.sort_values(sort, kind="stable")
         rings = [[(p["x"], p["y"]) for p in r] for r in pdf["poly"]]
         out = op(rings)
-        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]] * len(out), "part": range(len(out)), "poly": [[{"x": x, "y": y} for x, y in r] for r in out]})
+        return _frame(pdf["group_id"].iloc[0], out)
 
     return run
 
@@ -89,7 +94,7 @@ def polygon_difference(df: DataFrame, minus: DataFrame, group: str, ring: str =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         take = lambda flag: [[(p["x"], p["y"]) for p in r] for r in pdf.loc[pdf["cut"] == flag, "poly"]]
         out = overlay.difference(take(False), take(True))
-        return pd.DataFrame({"group_id": [pdf["group_id"].iloc[0]] * len(out), "part": range(len(out)), "poly": [[{"x": x, "y": y} for x, y in r] for r in out]})
+        return _frame(pdf["group_id"].iloc[0], out)
 
     return rows.groupBy("group_id").applyInPandas(run, f"group_id long, part int, poly {POLY}")
 

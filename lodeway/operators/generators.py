@@ -12,15 +12,10 @@ from pyspark.sql import functions as F
 from ..errors import MissingParameterError, SolverNotAvailableError, UnsupportedInputError
 from ..functions.distances import at_bearing, at_bearing_geographic, at_mileage, distance, length
 from ..functions.predicates import point_in_polygon
-from ..functions.shapes import POLY, POLY_TYPE, poly, pt
+from ..functions.shapes import POLY, POLY_TYPE, poly, pt, unit
 from ..solvers import overlay
 
 
-def unit(seed: int, *keys) -> Column:
-    """Uniform value in [0, 1) from a hash of seed and keys."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)
-
-
 def _need(options: dict, *names: str) -> list:
     missing = [n for n in names if n not in options]
     if missing:

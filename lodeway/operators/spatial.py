@@ -24,6 +24,12 @@ def _box(df: DataFrame, shape: str) -> dict:
     return {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
 
 
+def box_struct(shape: str):
+    """Bounding box of a ring column as struct(x_min, x_max, y_min, y_max)."""
+    b = _box(None, shape)
+    return F.struct(b["x0"].alias("x_min"), b["x1"].alias("x_max"), b["y0"].alias("y_min"), b["y1"].alias("y_max"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, loc: str = "loc", ring: str = "poly", cell: float = 10.0, interior: bool = False) -> DataFrame:
     """Pairs of points and polygons that hold them: equi-join on grid cells, then the exact test.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..errors import KeyExistError, OutOfRangeError
 from ..functions.shapes import lit_
 
@@ -93,14 +94,6 @@ def leaves(tree: DataFrame, key: str = "id", parent: str = "parent") -> DataFram
     return tree.join(tree.select(F.col(parent).alias(key)).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Compute df and go on from there: in the checkpoint folder, on the executors where the session has none."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df.localCheckpoint()
-
-
 def levels(tree: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """(id, level, path) of all nodes under a root, at any depth; raises on a cycle.
 
@@ -108,7 +101,7 @@ def levels(tree: DataFrame, key: str = "id", parent: str = "parent") -> DataFram
     that ancestor knows, so ways double and a tree of depth n takes log2(n)
     rounds.  Nodes under a parent that is not in the table are left out.
     """
-    state = _cut(tree.select(F.col(key).alias("id"), F.col(parent).alias("above"), F.array(F.col(key)).alias("path")))
+    state = cut(tree.select(F.col(key).alias("id"), F.col(parent).alias("above"), F.array(F.col(key)).alias("path")))
     while True:
         open_ = state.where("above is not null")
         found = open_.agg(F.count("*").alias("n"), F.max(F.array_contains("path", F.col("above"))).alias("cycle")).first()
@@ -118,7 +111,7 @@ def levels(tree: DataFrame, key: str = "id", parent: str = "parent") -> DataFram
             return state.select("id", (F.size("path") - 1).alias("level"), "path")
         up = state.select(F.col("id").alias("over"), F.col("above").alias("next"), F.col("path").alias("way"))
         further = open_.join(up, F.col("above") == F.col("over")).select("id", F.col("next").alias("above"), F.concat("way", "path").alias("path"))
-        state = _cut(state.where("above is null").unionByName(further))
+        state = cut(state.where("above is null").unionByName(further))
 
 
 # --- ordered maps: rows sorted by key ---

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import geometry_queries, join_queries, route_queries, stream_queries
+from . import geometry_queries, join_queries, lattice_queries, route_queries, small_queries, stream_queries
 
-MODULES = (geometry_queries, join_queries, route_queries, stream_queries)
+MODULES = (geometry_queries, lattice_queries, join_queries, route_queries, small_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

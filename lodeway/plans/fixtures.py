@@ -64,6 +64,22 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("road_id", F.transform("p", lambda x: x["loc"]).alias("shape"))
 
 
+def lattice(spark: SparkSession, sf_dir: str, name: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """(id, a, b, c, d): four points on a 5 x 5 lattice, so that many are equal, collinear or parallel; a and b differ, c and d differ"""
+    h = (F.col(key).cast("long") * 7919 + 13) % 390625
+    digit = lambda i: F.floor(h / 5**i) % 5
+    df = table(spark, sf_dir, name).select(F.col(key).cast("long").alias("id"), *(pt(digit(2 * i), digit(2 * i + 1)).alias(c) for i, c in enumerate("abcd")))
+    return df.where((F.col("a") != F.col("b")) & (F.col("c") != F.col("d")))
+
+
+def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(poly_id, region_id, poly): a rectangle with whole corners for each nation, counter-clockwise"""
+    k = F.col("n_nationkey").cast("long")
+    x0, y0 = k * 7 % 20, k * 11 % 20
+    x1, y1 = x0 + 3 + k % 5, y0 + 3 + k * 3 % 6
+    return table(spark, sf_dir, "nation").select(k.alias("poly_id"), F.col("n_regionkey").cast("long").alias("region_id"), F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1)).alias("poly"))
+
+
 def instances(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """(instance_id, node_id, x, y, price, demand, lo, hi, service_time): all customers, one instance a nation.
 
@@ -94,7 +110,14 @@ def _cte() -> dict[str, str]:
     ex, ey = sql_point("event_id", 7919, 104729, 5)
     nx, ny = sql_point("n_nationkey", 7919, 104729, 900)
     corners = ", ".join(f"({i + 1}, {dx}, {dy})" for i, (dx, dy) in enumerate(OCTAGON))
+    digit = ", ".join(f"CAST(h // {5 ** (2 * i + j)} % 5 AS DOUBLE) AS {c}{a}" for i, c in enumerate("abcd") for j, a in enumerate("xy"))
+    lattice = "SELECT * FROM (SELECT id, {0} FROM (SELECT CAST({1} AS BIGINT) AS id, (CAST({1} AS BIGINT) * 7919 + 13) % 390625 AS h FROM {2})) WHERE (ax <> bx OR ay <> by) AND (cx <> dx OR cy <> dy)"
+    digit = digit.replace(" AS by", ' AS "by"')
+    lattice = lattice.replace("<> by", '<> "by"')
     return {
+        "lat": lattice.format(digit, "o_orderkey", "orders"),
+        "lac": lattice.format(digit, "c_custkey", "customer"),
+        "rect": "SELECT k AS poly_id, region_id, CAST(k * 7 % 20 AS DOUBLE) AS x0, CAST(k * 7 % 20 + 3 + k % 5 AS DOUBLE) AS x1, CAST(k * 11 % 20 AS DOUBLE) AS y0, CAST(k * 11 % 20 + 3 + k * 3 % 6 AS DOUBLE) AS y1 FROM (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_regionkey AS BIGINT) AS region_id FROM nation)",
         "cust": f"SELECT c_custkey AS node_id, c_nationkey AS nation_id, {cx} AS x, {cy} AS y FROM customer",
         "dep": f"SELECT s_suppkey AS depot_id, {sx} AS x, {sy} AS y FROM supplier",
         "fix": f"SELECT event_id, user_id, {ex} AS x, {ey} AS y, epoch_us(ts) / 1e6::DOUBLE AS t, ts FROM events",

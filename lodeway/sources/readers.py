@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..errors import KeyNotExistError, SolverNotAvailableError
 from ..functions.predicates import polyline_meets_polygon
 from ..functions.shapes import poly
@@ -20,9 +21,13 @@ GEOJSON = """features array<struct<
 log = logging.getLogger("lodeway")
 
 
-def _features(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each feature; coordinates stay JSON text, as their depth differs by type."""
-    whole = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+def _features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each feature; coordinates stay JSON text, as their depth differs by type.
+
+    lines: each line of the files is a feature collection of its own, so that
+    large files are split over tasks.
+    """
+    whole = spark.read.schema(GEOJSON).option("multiLine", not lines).json(path)
     return whole.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
@@ -30,13 +35,13 @@ def _points(coordinates):
     return F.transform(coordinates, lambda p: F.struct(p[1].alias("x"), p[0].alias("y")))
 
 
-def read_roads(spark: SparkSession, path: str, boundary: list | None = None, mercator: bool = False, default_speed: float = 30.0) -> DataFrame:
+def read_roads(spark: SparkSession, path: str, boundary: list | None = None, mercator: bool = False, default_speed: float = 30.0, lines: bool = False) -> DataFrame:
     """(road_id, shape, name, maxspeed, oneway, class) of the lines with a highway class; points are (lat, lon).
 
     maxspeed takes the leading number and defaults to 30, oneway to false.
     boundary keeps roads that meet that (lat, lon) polygon.
     """
-    f = _features(spark, path).where("kind = 'LineString' and highway is not null")
+    f = _features(spark, path, lines).where("kind = 'LineString' and highway is not null")
     shape = _points(F.from_json("coordinates", "array<array<double>>"))
     df = f.select(
         shape.alias("shape"),
@@ -49,7 +54,17 @@ def read_roads(spark: SparkSession, path: str, boundary: list | None = None, mer
         df = df.where(polyline_meets_polygon(F.col("shape"), poly(boundary)))
     if mercator:
         df = df.withColumn("shape", F.transform("shape", geographic_to_mercator))
-    return df.withColumn("road_id", F.row_number().over(Window.orderBy(F.hash("shape"), "name")) - 1)
+    return _numbered(df, "road_id", "shape", "name", "class", "maxspeed", "oneway")
+
+
+def _numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Consecutive ids in the order of all given columns: ranges are sorted apart, then start at the sum of those before."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, local = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part).agg(F.count("*").alias("_n"))  # one row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = placed.withColumn("_part", part).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return out.withColumn(key, F.col("_before") + local).drop("_part", "_before", "_at")
 
 
 def read_buildings(spark: SparkSession, path: str, mercator: bool = False) -> DataFrame:
@@ -60,7 +75,7 @@ def read_buildings(spark: SparkSession, path: str, mercator: bool = False) -> Da
     df = f.select(open_.alias("shape"), F.when(F.col("building") == "yes", F.lit("building")).otherwise(F.col("building")).alias("type"))
     if mercator:
         df = df.withColumn("shape", F.transform("shape", geographic_to_mercator))
-    return df.withColumn("building_id", F.row_number().over(Window.orderBy(F.hash("shape"))) - 1)
+    return _numbered(df, "building_id", "shape", "type")
 
 
 def read_windows_instance(spark: SparkSession, path: str) -> DataFrame:
@@ -106,6 +121,19 @@ def region_code(regions: DataFrame, province: str, city: str | None = None, dist
     return int(found)
 
 
+def region_codes(asks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Column adcode for rows (province, city[, district]) by joins level by level; NULL where there is none."""
+    c = F.col("adcode")
+    level = lambda keep, name, code: regions.where(keep).groupBy(F.col("name").alias(name), *([F.floor(c / 10000).alias("_p")] if name != "province" else []), *([F.floor(c / 100).alias("_c")] if name == "district" else [])).agg(F.min(c).alias(code))
+    out = asks.join(level(c % 10000 == 0, "province", "_province"), "province", "left").withColumn("_p", F.floor(F.col("_province") / 10000))
+    out = out.join(level((c % 100 == 0) & (c % 10000 != 0), "city", "_city"), ["city", "_p"], "left")
+    found = F.when(F.col("city").isNull(), F.col("_province")).otherwise(F.col("_city"))
+    if "district" in asks.columns:
+        out = out.withColumn("_c", F.floor(F.col("_city") / 100)).join(level(c % 100 != 0, "district", "_district"), ["district", "_p", "_c"], "left")
+        found = F.when(F.col("district").isNull(), found).otherwise(F.col("_district"))
+    return out.withColumn("adcode", found).select(*asks.columns, "adcode")
+
+
 def region_polygons(boundaries: DataFrame, codes: list[int]) -> DataFrame:
     """(adcode, part, poly) of regions from an offline boundary table (adcode, geometry as GeoJSON text); points are (lat, lon)."""
     g = boundaries.where(F.col("adcode").isin(codes)).withColumn("kind", F.get_json_object("geometry", "$.type")).withColumn("c", F.get_json_object("geometry", "$.coordinates"))
