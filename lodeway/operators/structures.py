@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut
 from ..errors import KeyExistError, OutOfRangeError
-from ..functions.shapes import lit_
+from ..functions.shapes import distance, lit_
 
 # --- rings and routes: an array column that starts at its head ---
 
@@ -66,6 +66,15 @@ def route_costs(routes: DataFrame, tau: DataFrame, key: str = "route_id", seq: s
     return legs.join(ahead, ["src", "dst"]).join(back, ["src", "dst"]).groupBy(key).agg(F.sum("dist").alias("dist"), F.sum("rev").alias("rev_dist"))
 
 
+def route_lengths(routes: DataFrame, nodes: DataFrame, key: str = "route_id", seq: str = "seq", node: str = "node_id", loc: str = "loc") -> DataFrame:
+    """(route, dist, rev_dist) of closed routes from the places of their nodes; only the legs meet the nodes, no pairs of nodes."""
+    legs = routes.select(key, F.col(seq), F.posexplode(seq).alias("pos", "_a"))
+    legs = legs.select(key, "_a", F.element_at(seq, (F.col("pos") + 1) % F.size(seq) + 1).alias("_b"))
+    end = lambda name: nodes.select(F.col(node).alias(name), F.col(loc).alias(f"{name}_at"))
+    met = legs.join(end("_a"), "_a").join(end("_b"), "_b").withColumn("d", distance(F.col("_a_at"), F.col("_b_at")))
+    return met.groupBy(key).agg(F.sum("d").alias("dist"), F.sum("d").alias("rev_dist"))
+
+
 def cheapest_insertions(routes: DataFrame, nodes: DataFrame, tau: DataFrame, key: str = "route_id", seq: str = "seq", node: str = "node_id") -> DataFrame:
     """(route, node, after, extra): best place of each node in each route of its instance; ties by position."""
     legs = routes.select(key, F.col(seq), F.posexplode(seq).alias("pos", "src"))

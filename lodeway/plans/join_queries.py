@@ -241,8 +241,7 @@ SELECT road_id, round(sum(d), 5) AS dist, round(sum(d), 5) AS rev_dist FROM n JO
 def closed_route_costs(spark, sf_dir):
     r = fx.road_points(spark, sf_dir).groupBy(F.col("road_id").alias("route_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "l_suppkey"))).alias("p"))
     r = r.select("route_id", F.transform("p", lambda x: x["l_suppkey"]).alias("seq"))
-    tau = pairs.distance_table(fx.depots(spark, sf_dir).select(F.col("depot_id").alias("node_id"), "loc"))
-    out = structures.route_costs(r, tau)
+    out = structures.route_lengths(r, fx.depots(spark, sf_dir), node="depot_id")
     return out.select(F.col("route_id").alias("road_id"), F.round("dist", 5).alias("dist"), F.round("rev_dist", 5).alias("rev_dist"))
 
 

@@ -16,9 +16,20 @@ from ..operators.aggregates import figure_size
 from ..operators.trajectories import snap_at
 
 LIMIT = 20_000
-#: Colours of road and building classes.
-ROAD_COLOURS = {"motorway": "red", "motorway_link": "red", "truck": "orange", "primary": "orange", "secondary": "orange", "tertiary": "orange", "residential": "green"}
-BUILDING_COLOURS = {"building": "yellow", "commercial": "yellow", "residential": "green", "house": "green", "industrial": "orange"}
+#: From wide to narrow roads, and of kinds of building; a link road has the colour of its road.
+ROADS = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service", "footway")
+BUILDINGS = ("house", "apartments", "retail", "office", "warehouse", "school", "hospital", "church")
+
+
+def road_colour(kind: str | None) -> str:
+    """From dark blue to light as roads get narrower; gray where the class is not known."""
+    name = (kind or "").removesuffix("_link")
+    return f"hsl(215, 60%, {25 + 6 * ROADS.index(name)}%)" if name in ROADS else "gray"
+
+
+def building_colour(kind: str | None) -> str:
+    """A hue of its own for each known kind; light gray for others."""
+    return f"hsl({360 * BUILDINGS.index(kind) // len(BUILDINGS)}, 35%, 70%)" if kind in BUILDINGS else "lightgray"
 
 
 def _take(df: DataFrame, limit: int) -> list:
@@ -59,12 +70,12 @@ class Drawing:
 
     def roads(self, df: DataFrame, shape: str = "shape") -> Drawing:
         for r in _take(df.select(F.col(shape).alias("s"), "class"), self.limit):
-            self.items.append(("line", [self._at(p) for p in r["s"]], ROAD_COLOURS.get(r["class"], "gray"), 1.0, None))
+            self.items.append(("line", [self._at(p) for p in r["s"]], road_colour(r["class"]), 1.0, None))
         return self
 
     def buildings(self, df: DataFrame, shape: str = "shape") -> Drawing:
         for r in _take(df.select(F.col(shape).alias("s"), "type"), self.limit):
-            self.items.append(("area", [self._at(p) for p in r["s"]], BUILDING_COLOURS.get(r["type"], "gray"), 1.0, None))
+            self.items.append(("area", [self._at(p) for p in r["s"]], building_colour(r["type"]), 1.0, None))
         return self
 
     def svg(self, side: float = 600.0) -> str:

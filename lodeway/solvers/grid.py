@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -87,5 +86,3 @@ def with_paths(pairs: DataFrame, column: int, row: int, barriers: list[tuple[int
 def grid_distance(df: DataFrame, column: int, row: int, barriers: list[tuple[int, int]], src: str = "src_loc", dst: str = "dst_loc", path: bool = False) -> DataFrame:
     return with_paths(df.withColumn("src_loc", F.col(src)).withColumn("dst_loc", F.col(dst)), column, row, barriers, path)
 
-
-__all__ = ["a_star", "distances_from", "grid_distance", "pd", "with_paths"]

@@ -89,8 +89,41 @@ def shortest(p, q, rings: list[Ring], graph: dict[tuple, list[tuple]] | None = N
     return None
 
 
+def ways_from(p, ends: list, rings: list[Ring], graph: dict[tuple, list[tuple]]) -> dict[tuple, tuple[float, list[tuple]] | None]:
+    """Length and points of the shortest way from p to each of the ends, by one search over the corners."""
+    if any(_strictly_inside(r, p) for r in rings):
+        return dict.fromkeys(ends)
+    heap, best, came = [(0.0, p)], {p: 0.0}, {}
+    while heap:
+        d, at = heapq.heappop(heap)
+        if d > best[at]:
+            continue
+        for v in [v for v in graph if visible(at, v, rings)] if at == p else graph[at]:
+            e = d + math.dist(at, v)
+            if e < best.get(v, math.inf):
+                best[v], came[v] = e, at
+                heapq.heappush(heap, (e, v))
+    out = {}
+    for q in ends:
+        if any(_strictly_inside(r, q) for r in rings):
+            out[q] = None
+        elif visible(p, q, rings):
+            out[q] = math.dist(p, q), [p, q]
+        else:
+            near = [(best[v] + math.dist(v, q), v) for v in best if v != p and visible(v, q, rings)]
+            if not near:
+                out[q] = None
+                continue
+            total, at = min(near)
+            way = [q, at]
+            while way[-1] in came:
+                way.append(came[way[-1]])
+            out[q] = total, way[::-1]
+    return out
+
+
 def with_paths(pairs: DataFrame, polygons: list[Ring], path: bool) -> DataFrame:
-    """Column dist (NULL where an end lies inside) and path for src_loc and dst_loc around constant polygons."""
+    """Column dist (NULL where an end lies inside) and path for src_loc and dst_loc around constant polygons; one search for each distinct source of a batch."""
     rings = [[(float(x), float(y)) for x, y in r] for r in polygons]
     graph = visibility_graph(rings)
     schema = StructType.fromJson(pairs.schema.jsonValue()).add("dist", "double")
@@ -99,7 +132,12 @@ def with_paths(pairs: DataFrame, polygons: list[Ring], path: bool) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            found = [shortest((a["x"], a["y"]), (b["x"], b["y"]), rings, graph) for a, b in zip(pdf["src_loc"], pdf["dst_loc"], strict=True)]
+            src, dst = ([(p["x"], p["y"]) for p in pdf[c]] for c in ("src_loc", "dst_loc"))
+            ends: dict[tuple, dict] = {}
+            for p, q in zip(src, dst, strict=True):
+                ends.setdefault(p, {})[q] = None
+            ways = {p: ways_from(p, list(qs), rings, graph) for p, qs in ends.items()}
+            found = [ways[p][q] for p, q in zip(src, dst, strict=True)]
             pdf = pdf.assign(dist=[f[0] if f else None for f in found])
             if path:
                 pdf["path"] = [[{"x": x, "y": y} for x, y in f[1]] if f else None for f in found]
