@@ -219,7 +219,7 @@ def test_hamming_blocks_find_all_within_radius():
 
     rng = np.random.default_rng(3)
     index = decontamination.Index.build([(i, " ".join(f"w{rng.integers(1000)}" for _ in range(30))) for i in range(40)], 5, 19)
-    known = np.array([x[4] for x in index.items], np.uint64)
+    known = index.prints
     prints = []
     for i in range(300):
         flips = rng.choice(64, rng.integers(0, 24), replace=False)
@@ -230,6 +230,23 @@ def test_hamming_blocks_find_all_within_radius():
     assert set(zip(win.tolist(), item.tolist(), strict=True)) == want and dist.max() <= 19
 
 
+def test_fingerprints_in_pieces(monkeypatch):
+    import numpy as np
+
+    gram = np.random.default_rng(1).integers(0, 2**63, 900).astype(np.uint64)
+    starts = np.array([0, 3, 4, 200, 201, 333, 600, 880])
+    whole = decontamination.fingerprints(gram, starts, 20)
+    monkeypatch.setattr(decontamination, "PIECE", 50)
+    assert (decontamination.fingerprints(gram, starts, 20) == whole).all()
+
+
+def test_decontaminate_knows_texts_that_share_an_id(spark, texts):
+    item = " ".join(texts[132].split()[:40])
+    d = spark.createDataFrame([(1, "clean words " * 30, 1), (1, item, 2), (2, item, 3), (None, item, 4), (None, "other words " * 9, 5)], "doc_id long, text string, k long")
+    kept = decontamination.decontaminate(d, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["k"] for r in kept.collect()) == [1, 5]
+
+
 # --- 6 and 8 repeats ---
 
 
