@@ -153,6 +153,70 @@ def test_language_held_out(spark, small):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in language_id.language_id(docs).collect())
 
 
+def plain_languages(rows, bits=16):
+    """Multinomial naive Bayes over the same n-grams, without numpy and Spark: doc_id -> (language, score)."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = h ^ (h >> 30)
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    def buckets(text):
+        symbols, border = [], False
+        for ch in text:
+            if ch.isalpha():
+                symbols.append(mix(ord(ch.lower()[0]) + 1))
+                border = False
+            elif not border:
+                symbols.append(mix(1))
+                border = True
+        for n in (1, 2, 3):
+            for i in range(len(symbols) - n + 1):
+                h = n
+                for x in symbols[i : i + n]:
+                    h = (h * 0xD6E8FEB86659FD93 + x) & mask
+                yield mix(h) >> (64 - bits)
+
+    counts, texts = defaultdict(Counter), Counter()
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 3 == 1):
+            counts[lang].update(buckets(text))
+            texts[lang] += 1
+    names = sorted(texts)
+    total = {x: sum(counts[x].values()) + 0.5 * (1 << bits) for x in names}
+    prior = sum(texts.values()) + 0.5 * len(names)
+    out = {}
+    for i, text, _ in rows:
+        own = Counter(buckets(text or ""))
+        if not any(map(str.isalpha, text or "")):
+            out[i] = ("und", 0.0)
+            continue
+        z = [math.log((texts[x] + 0.5) / prior) + sum(n * math.log((counts[x][b] + 0.5) / total[x]) for b, n in own.items()) for x in names]
+        scale = 16 / max(16, sum(own.values()))
+        e = [math.exp((v - max(z)) * scale) for v in z]
+        out[i] = (names[z.index(max(z))], max(e) / sum(e))
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(10_000, "", "xx"), (10_001, None, "yy"), (10_002, "ß ǅ 日本", None), (10_003, "a", "zz"), (10_004, "...", None)]
+    got = by_id(language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    for i, (lang, score) in plain_languages(rows).items():
+        assert got[i]["lang_pred"] == lang and math.isclose(got[i]["score"], score, rel_tol=1e-3, abs_tol=1e-6), i
+
+
+def test_more_languages_than_are_held_at_a_time(spark):
+    rows = [(i, chr(97 + i % 26) * 5 + " " + chr(97 + i % 26) * 3, f"l{i % 26:02}") for i in range(260)]
+    names, logp, prior = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1))
+    assert names == [f"l{i:02}" for i in range(26)] and logp.shape == (1 << 16, 26) and abs(prior - prior[0]).max() < 1e-9
+    with pytest.raises(ValueError):
+        language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=25)
+
+
 def test_language_does_not_see_labels(spark, table):
     a = by_id(language_id.language_id(table))
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
