@@ -8,9 +8,9 @@ or sorts them.  Of equal segments one goes on.
 
 No block grows with a common passage.  A task that meets a key often spreads
 its further runs over all partitions by a salt and leaves a marker under the
-key.  Keys with more than `hot` runs in different texts are hot: where more
-than `hot` different segments of a hot key are left, these are cut again by a
-longer k-gram, at last by whole windows, of which a key has one.
+key.  The segments of keys so marked, or with more than `hot` runs, go apart:
+where more than `hot` different ones of a key are left, these are cut again by
+a longer k-gram, at last by whole windows, of which a key has one.
 
 The kernels answer with the windows that stay; all other windows of the
 repeated runs are repeats.
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .keys import cut, key_type, keyed
+from .keys import cut, key_type, keyed, release
 
 SHARD_BYTES = 2 << 20
-CROWD = 64  # runs of a key in one task from which on they are spread, besides four times the mean
+CROWD = 256  # runs of a key in one task from which on they are spread, besides four times the mean
 COUNTERS = 1 << 21
 REACH_BITS = 16
 
@@ -246,17 +246,17 @@ def marked(docs: DataFrame, doc_id: str, text: str, unit: Unit, kernel) -> DataF
     def stays(segments: DataFrame) -> DataFrame:
         return segments.sortWithinPartitions("m").mapInArrow(kernel.emit(unit), f"k {key}, p int")
 
-    warm = parts.select("k", F.explode(F.filter("parts", lambda p: p.warm)).alias("p")).select("k", "p")
-    hot = cut(warm.groupBy(F.col("p.m").alias("m")).agg(F.count("*").alias("n")).where(F.col("n") > unit.hot).select("m"))
-    if hot.isEmpty():
-        cool, extra = parts, None
-    else:
-        taken = cut(warm.withColumn("m", F.col("p.m")).join(hot, "m").groupBy("k").agg(F.collect_list("p").alias("parts")))
-        gone = taken.select("k", F.transform("parts", lambda p: p.m).alias("gone"))
-        cool = parts.join(gone, "k", "left").select("k", F.when(F.col("gone").isNull(), F.col("parts")).otherwise(F.filter("parts", lambda p: ~F.array_contains("gone", p.m))).alias("parts"))
-        extra = stays(_cooled(kernel.distinct(sent(taken)), unit, kernel.distinct, schema).repartition("m"))
+    # what counted the runs is done with
+    del runs, met
+    release(docs)
+    pick = lambda warm: parts.select("k", F.filter("parts", lambda p: p.warm == F.lit(warm)).alias("parts"))
+    extra = None
+    if not parts.where(F.exists("parts", lambda p: p.warm)).isEmpty():
+        extra = _cooled(kernel.distinct(sent(pick(True))), unit, kernel.distinct, schema)
+        release(docs)
+        extra = stays(extra.repartition("m"))
     # a cool key has at most `hot` rows, so equal segments may meet in its own partition
-    stay = stays(kernel.distinct(sent(cool).repartition("m")))
+    stay = stays(kernel.distinct(sent(pick(False)).repartition("m")))
     stay = (stay if extra is None else stay.unionByName(extra)).groupBy("k").agg(F.collect_list("p").alias("stay"))
     whole = copies.select("k", kernel.whole(F.col("first")).alias("whole")).where("whole")
     shown = parts.select("k", F.transform("parts", lambda p: F.struct(p.s.alias("s"), p.more.alias("more"))).alias("parts"))
