@@ -318,47 +318,74 @@ class _Blossoms:
 
 
 def two_opt(d: np.ndarray, tour: Tour, rounds: int = 10_000) -> Tour:
-    """Reverse the stretch with the greatest gain until none is left; exact for asymmetric matrices too."""
+    """Turn stretches round while that gains; exact for asymmetric matrices too.
+
+    Each round weighs all pairs of edges and turns the best stretch, then the
+    next best ones that have no node in common with those turned so far.
+    """
     t = np.asarray(tour)
     n = len(t)
     if n < 4:
         return list(map(int, t))
+    i, j = np.triu_indices(n, 2)
+    even = bool((d == d.T).all())
     for _ in range(rounds):
         nxt = np.roll(t, -1)
-        ahead = np.append(0.0, np.cumsum(d[t[:-1], t[1:]]))
-        back = np.append(0.0, np.cumsum(d[t[1:], t[:-1]]))
-        i, j = np.triu_indices(n, 2)
+        edge = d[t, nxt]
         # edges (i, i+1) and (j, j+1); positions i+1..j are turned round
-        gain = d[t[i], t[i + 1]] + d[t[j], nxt[j]] - d[t[i], t[j]] - d[t[i + 1], nxt[j]] + (ahead[j] - ahead[i + 1]) - (back[j] - back[i + 1])
-        best = int(gain.argmax())
-        if gain[best] <= 1e-9:
+        gain = edge[i] + edge[j] - d[t[i], t[j]] - d[nxt[i], nxt[j]]
+        if not even:
+            ahead, back = np.append(0.0, np.cumsum(d[t[:-1], t[1:]])), np.append(0.0, np.cumsum(d[t[1:], t[:-1]]))
+            gain += (ahead[j] - ahead[i + 1]) - (back[j] - back[i + 1])
+        good = np.flatnonzero(gain > 1e-9)
+        if not len(good):
             break
-        a, b = int(i[best]) + 1, int(j[best]) + 1
-        t[a:b] = t[a:b][::-1].copy()
+        free = np.ones(n + 1, bool)
+        for m in good[np.argsort(-gain[good], kind="stable")]:
+            a, b = int(i[m]), int(j[m]) + 1
+            if free[a : b + 1].all():
+                free[a : b + 1] = False
+                t[a + 1 : b] = t[a + 1 : b][::-1].copy()
     return list(map(int, t))
 
 
 def or_opt(d: np.ndarray, tour: Tour, longest: int = 3) -> Tour:
-    """Move stretches of up to `longest` nodes to where they cost least."""
+    """Move stretches of up to `longest` nodes, the depot not among them, to where they cost least, while that gains.
+
+    Each round weighs all stretches against all edges and makes the best moves
+    that touch different nodes.
+    """
     t = list(tour)
-    improved = True
-    while improved:
-        improved = False
-        for size in range(1, longest + 1):
-            for i in range(1, len(t) - size + 1):
-                part = t[i : i + size]
-                rest = t[:i] + t[i + size :]
-                a, b = t[i - 1], t[(i + size) % len(t)]
-                saved = d[a, part[0]] + d[part[-1], b] - d[a, b]
-                r = np.asarray(rest)
-                extra = d[r, part[0]] + d[part[-1], np.roll(r, -1)] - d[r, np.roll(r, -1)]
-                k = int(extra.argmin())
-                if saved - extra[k] > 1e-9:
-                    t = rest[: k + 1] + part + rest[k + 1 :]
-                    improved = True
-                    break
-            if improved:
-                break
+    n = len(t)
+    while n > 3:
+        r = np.asarray(t)
+        nxt = np.roll(r, -1)
+        edge = d[r, nxt]
+        moves = []
+        for size in range(1, min(longest, n - 2) + 1):
+            at = np.arange(1, n - size + 1)
+            first, last, after = r[at], r[at + size - 1], r[(at + size) % n]
+            saved = d[r[at - 1], first] + d[last, after] - d[r[at - 1], after]
+            extra = d[r[None], first[:, None]] + d[last[:, None], nxt[None]] - edge[None]
+            gain = saved[:, None] - extra
+            k = np.arange(n)[None]
+            gain[(k >= at[:, None] - 1) & (k < at[:, None] + size)] = 0
+            best = gain.argmax(axis=1)
+            value = gain[np.arange(len(at)), best]
+            moves += [(float(-v), size, int(x), int(y)) for v, x, y in zip(value, at, best, strict=True) if v > 1e-9]
+        if not moves:
+            break
+        touched: set[int] = set()
+        for _, size, x, y in sorted(moves):
+            part = [int(v) for v in r[x : x + size]]
+            own = {int(r[x - 1]), *part, int(r[(x + size) % n]), int(r[y]), int(nxt[y])}
+            if own & touched:
+                continue
+            touched |= own
+            for v in part:
+                t.remove(v)
+            here = t.index(int(r[y])) + 1
+            t[here:here] = part
     return t
 
 
