@@ -30,23 +30,28 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the standard policy; each row is judged by itself, null and empty texts fail."""
     ledger = quality_rules.quality_ledger(docs, carry=tuple(docs.columns))
     return quality_rules.judge(ledger, quality_rules.POLICIES["standard"]).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the least id; of rows alike in id and text one; rows without words stay, one for each id."""
     return jaccard_join.near_dedup(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no benchmark item; null and empty texts hold none."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it; rows without words are in no copy, a null source is a source."""
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its size, checksum, shard and slot; null ids come first, a null text has size 1."""
     out = sharding.shard_by_bytes(docs, N_SHARDS, carry=tuple(docs.columns))
     return out.select("row.*", "size", "text_crc32", "shard", "slot")
 
