@@ -15,6 +15,8 @@ from ..errors import SolverNotAvailableError, UnsupportedInputError
 from ..solvers import grid, obstacles, routing, touring, tsp
 
 ROUTE = "instance_id long, method string, ofv double, dist double, seq array<long>"
+#: With a lower bound of the objective, the gap to it and whether the solution is known to be the best.
+BOUNDED = ROUTE + ", lower_bound double, gap double, solution string"
 EARTH = 6378137.0
 
 
@@ -42,6 +44,14 @@ def matrix(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray:
     raise UnsupportedInputError(f"unknown edges {edges}")
 
 
+def _proof(value: float, lower: float | None) -> dict:
+    """Columns of BOUNDED for a value and its lower bound (None: no bound is known)."""
+    if lower is None:
+        return {"lower_bound": None, "gap": None, "solution": "Feasible"}
+    gap = max(0.0, value - lower) / max(abs(value), 1e-12)
+    return {"lower_bound": min(lower, value), "gap": gap, "solution": "Optimal" if gap <= 1e-9 else "Feasible"}
+
+
 def _depot(pdf: pd.DataFrame, depot) -> int:
     ids = pdf["node_id"].tolist()
     return 0 if depot is None else ids.index(depot)
@@ -51,20 +61,26 @@ def solve_tsp(nodes: DataFrame, depot=None, edges: str = "Euclidean", algo: str
     """One closed tour for each instance (node_id order is the tie-break; without a depot the lowest id).
 
     ofv is the length plus service times: `service_time` a node besides the
-    depot, or the sum of a column service_time where there is one.
+    depot, or the sum of a column service_time where there is one.  An exact run
+    that stops at its node limit gives its best tour with lower_bound and gap.
     """
     has_service = "service_time" in nodes.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
         d = matrix(pdf, edges, **o)
-        tour = tsp.solve(d, pdf[["x", "y"]].to_numpy(float), _depot(pdf, depot), algo, cons, impv, meta, seed, k)
+        lower = None
+        if algo == "Exact":
+            tour, lower = tsp.exact(d, _depot(pdf, depot))
+        else:
+            tour = tsp.solve(d, pdf[["x", "y"]].to_numpy(float), _depot(pdf, depot), algo, cons, impv, meta, seed, k)
         length = tsp.cost(d, tour)
         extra = float(pdf["service_time"].sum()) if has_service else (len(pdf) - 1) * service_time
         name = algo if algo == "Exact" else f"{algo}:{meta or cons}"
-        return pd.DataFrame({"instance_id": [pdf["instance_id"].iloc[0]], "method": [name], "ofv": [length + extra], "dist": [length], "seq": [pdf["node_id"].to_numpy()[[*tour, tour[0]]].tolist()]})
+        row = {"instance_id": pdf["instance_id"].iloc[0], "method": name, "ofv": length + extra, "dist": length, "seq": pdf["node_id"].to_numpy()[[*tour, tour[0]]].tolist()}
+        return pd.DataFrame([row | _proof(length + extra, None if lower is None else lower + extra)])
 
-    return nodes.groupBy("instance_id").applyInPandas(run, ROUTE)
+    return nodes.groupBy("instance_id").applyInPandas(run, BOUNDED)
 
 
 def solve_multistart(nodes: DataFrame, seeds: int, meta: str = "SA", **options) -> DataFrame:
@@ -96,7 +112,7 @@ def solve_tsptw(nodes: DataFrame, depot=None, edges: str = "Euclidean", speed: f
     """Tours with time windows (columns lo, hi, service_time); NULL seq where none is feasible.
 
     With allow_violation the most valuable set of nodes (column value, else 1
-    each) that can be served in time is visited.
+    each) that can be served in time is visited; `unvisited` lists the others.
     """
     has_value = "value" in nodes.columns
 
@@ -113,9 +129,10 @@ def solve_tsptw(nodes: DataFrame, depot=None, edges: str = "Euclidean", speed: f
         row = {"instance_id": pdf["instance_id"].iloc[0], "method": "violation" if allow_violation else "hard", "ofv": None, "dist": None, "seq": None}
         if found is not None:
             row |= {"ofv": found[0], "dist": tsp.cost(d, found[1]), "seq": ids[[*found[1], found[1][0]]].tolist()}
+        row["unvisited"] = ids[[i for i in range(len(ids)) if found is None or i not in found[1]]].tolist()
         return pd.DataFrame([row])
 
-    return nodes.groupBy("instance_id").applyInPandas(run, ROUTE)
+    return nodes.groupBy("instance_id").applyInPandas(run, ROUTE + ", unvisited array<long>")
 
 
 def solve_op(nodes: DataFrame, budget: float, start=None, end=None, edges: str = "Euclidean") -> DataFrame:
@@ -138,17 +155,23 @@ def solve_top(*_args, **_options) -> DataFrame:
 
 
 def solve_vrptw(nodes: DataFrame, vehicles: int, capacity: float, depot=None, edges: str = "Euclidean", speed: float = 1.0) -> DataFrame:
-    """Routes with windows (lo, hi, service_time) and demand: one row for each route; none where infeasible."""
+    """Routes with windows (lo, hi, service_time) and demand: one row for each route; none where infeasible.
+
+    Up to routing.PARTITION_LIMIT customers the least total length; beyond, routes
+    by insertion and moves with lower_bound and gap of the total, and none where
+    the insertion finds no place for a customer.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
         d = matrix(pdf, edges)
-        found = routing.vrptw(d, pdf["demand"].to_numpy(float), pdf[["lo", "hi"]].to_numpy(float), pdf["service_time"].to_numpy(float), capacity, vehicles, _depot(pdf, depot), speed)
+        solver = routing.vrptw if len(pdf) <= routing.PARTITION_LIMIT + 1 else routing.vrptw_bounded
+        found = solver(d, pdf["demand"].to_numpy(float), pdf[["lo", "hi"]].to_numpy(float), pdf["service_time"].to_numpy(float), capacity, vehicles, _depot(pdf, depot), speed)
         ids = pdf["node_id"].to_numpy()
-        rows = [] if found is None else [{"instance_id": pdf["instance_id"].iloc[0], "method": f"route:{i}", "ofv": found[0], "dist": tsp.cost(d, r), "seq": ids[[*r, r[0]]].tolist()} for i, r in enumerate(found[1])]
-        return pd.DataFrame(rows, columns=["instance_id", "method", "ofv", "dist", "seq"])
+        rows = [] if found is None else [{"instance_id": pdf["instance_id"].iloc[0], "method": f"route:{i}", "ofv": found[0], "dist": tsp.cost(d, r), "seq": ids[[*r, r[0]]].tolist()} | _proof(found[0], found[2] if len(found) > 2 else found[0]) for i, r in enumerate(found[1])]
+        return pd.DataFrame(rows, columns=["instance_id", "method", "ofv", "dist", "seq", "lower_bound", "gap", "solution"])
 
-    return nodes.groupBy("instance_id").applyInPandas(run, ROUTE)
+    return nodes.groupBy("instance_id").applyInPandas(run, BOUNDED)
 
 
 def solve_mtsp(nodes: DataFrame, vehicles: int, depot=None, edges: str = "Euclidean", cons: str = "Insertion", improve: bool = True, seed: int = 0) -> DataFrame:

@@ -11,7 +11,8 @@ import numpy as np
 from ..errors import OutOfRangeError
 from . import tsp
 
-SUBSET_LIMIT = 16
+SUBSET_LIMIT = 20
+PARTITION_LIMIT = 12
 
 
 def _check(n: int) -> None:
@@ -19,102 +20,172 @@ def _check(n: int) -> None:
         raise OutOfRangeError(f"exact search takes at most {SUBSET_LIMIT} nodes besides the depot")
 
 
-def tsptw(d: np.ndarray, windows: np.ndarray, service: np.ndarray, depot: int = 0, start: float = 0.0, speed: float = 1.0) -> tuple[float, list[int]] | None:
-    """Earliest return with every hard window kept: (time, order from the depot), or None.
+def _table(d: np.ndarray, rest: list[int], depot: int, lo: np.ndarray, hi: np.ndarray, service: np.ndarray, leave: float, speed: float) -> np.ndarray:
+    """Earliest departure from each last node of each subset of rest, infinite where its windows can't be kept.
 
     For one subset and last node an earlier departure is never worse, so one
-    value for each is enough.
+    value for each is enough.  Subsets are met by size, all of one size at once.
     """
-    rest = [i for i in range(len(d)) if i != depot]
     m = len(rest)
-    _check(m)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    leave0 = max(start, windows[depot, 0]) + service[depot]
-    layer: dict[tuple[int, int], float] = {}
+    step = d[np.ix_(rest, rest)] / speed
+    out = np.full((1 << m, m), np.inf)
     for j in range(m):
-        at = max(leave0 + d[depot, rest[j]] / speed, windows[rest[j], 0])
-        if at <= windows[rest[j], 1] + 1e-9:
-            layer[1 << j, j] = at + service[rest[j]]
-            best[1 << j, j] = (layer[1 << j, j], -1)
-    for _ in range(m - 1):
-        following: dict[tuple[int, int], float] = {}
-        for (mask, i), t in sorted(layer.items()):
-            for j in range(m):
-                if not mask >> j & 1:
-                    at = max(t + d[rest[i], rest[j]] / speed, windows[rest[j], 0])
-                    if at <= windows[rest[j], 1] + 1e-9:
-                        key, value = (mask | 1 << j, j), at + service[rest[j]]
-                        if value < following.get(key, math.inf):
-                            following[key] = value
-                            best[key] = (value, i)
-        layer = following
-    full = (1 << m) - 1
-    ends = [(t + d[rest[i], depot] / speed, i) for (mask, i), t in layer.items() if mask == full] if m else [(leave0, -1)]
-    ends = [e for e in ends if e[0] <= windows[depot, 1] + 1e-9]
-    if not ends:
+        at = max(leave + d[depot, rest[j]] / speed, lo[j])
+        if at <= hi[j] + 1e-9:
+            out[1 << j, j] = at + service[j]
+    masks = np.arange(1 << m)
+    size = np.bitwise_count(masks)
+    for c in range(1, m):
+        layer = masks[size == c]
+        for j in range(m):
+            held = layer[(layer >> j) & 1 == 0]
+            at = np.maximum((out[held] + step[:, j]).min(axis=1), lo[j])
+            fits = at <= hi[j] + 1e-9
+            out[held[fits] | 1 << j, j] = at[fits] + service[j]
+    return out
+
+
+def _order(table: np.ndarray, step: np.ndarray, mask: int, last: int) -> list[int]:
+    """Places in rest in the order of the best way through a subset to its last node."""
+    out = [last]
+    while mask := mask ^ 1 << last:
+        last = int((table[mask] + step[:, last]).argmin())
+        out.append(last)
+    return out[::-1]
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sum of the values of each subset."""
+    out = np.zeros(1)
+    for v in values:
+        out = np.concatenate((out, out + v))
+    return out
+
+
+def tsptw(d: np.ndarray, windows: np.ndarray, service: np.ndarray, depot: int = 0, start: float = 0.0, speed: float = 1.0) -> tuple[float, list[int]] | None:
+    """Earliest return with every hard window kept: (time, order from the depot), or None."""
+    rest = [i for i in range(len(d)) if i != depot]
+    _check(len(rest))
+    leave = max(start, windows[depot, 0]) + service[depot]
+    if not rest:
+        return (float(leave), [depot]) if leave <= windows[depot, 1] + 1e-9 else None
+    table = _table(d, rest, depot, windows[rest, 0], windows[rest, 1], service[rest], leave, speed)
+    back = table[-1] + d[rest, depot] / speed
+    last = int(back.argmin())
+    if not back[last] <= windows[depot, 1] + 1e-9:
         return None
-    total, last = min(ends)
-    order, mask = [], full
-    while last >= 0:
-        order.append(rest[last])
-        mask, last = mask ^ (1 << last), best[mask, last][1]
-    return float(total), [depot, *order[::-1]]
+    order = _order(table, d[np.ix_(rest, rest)] / speed, len(table) - 1, last)
+    return float(back[last]), [depot, *(rest[i] for i in order)]
+
+
+def _best_subset(gained: np.ndarray, total: np.ndarray, most: float) -> int:
+    """Subset of the greatest gain whose total keeps the limit, the least total on ties."""
+    fits = np.flatnonzero(total <= most + 1e-9)
+    top = fits[gained[fits] >= gained[fits].max() - 1e-9]
+    return int(top[total[top].argmin()])
 
 
 def tsptw_violation(d: np.ndarray, windows: np.ndarray, service: np.ndarray, value: np.ndarray, depot: int = 0, start: float = 0.0, speed: float = 1.0) -> tuple[float, float, list[int]]:
     """Most visited value with windows kept, then earliest return: (value, time, order)."""
     rest = [i for i in range(len(d)) if i != depot]
-    m = len(rest)
-    _check(m)
-    leave0 = max(start, windows[depot, 0]) + service[depot]
-    state: dict[tuple[int, int], tuple[float, list[int]]] = {(0, -1): (leave0, [])}
-    top = (0.0, leave0, [depot])
-    layer = dict(state)
-    while layer:
-        following: dict[tuple[int, int], tuple[float, list[int]]] = {}
-        for (mask, i), (t, order) in sorted(layer.items()):
-            at = rest[i] if i >= 0 else depot
-            back = t + d[at, depot] / speed
-            gained = sum(value[x] for x in order)
-            if back <= windows[depot, 1] + 1e-9 and (gained > top[0] + 1e-9 or gained > top[0] - 1e-9 and back < top[1] - 1e-9):
-                top = (float(gained), float(back), [depot, *order])
-            for j in range(m):
-                if not mask >> j & 1:
-                    arrive = max(t + d[at, rest[j]] / speed, windows[rest[j], 0])
-                    if arrive <= windows[rest[j], 1] + 1e-9:
-                        key = (mask | 1 << j, j)
-                        leave = arrive + service[rest[j]]
-                        if key not in following or leave < following[key][0]:
-                            following[key] = (leave, [*order, rest[j]])
-        layer = following
-    return top
+    _check(len(rest))
+    leave = max(start, windows[depot, 0]) + service[depot]
+    if not rest:
+        return 0.0, float(leave), [depot]
+    table = _table(d, rest, depot, windows[rest, 0], windows[rest, 1], service[rest], leave, speed)
+    ends = table + d[rest, depot] / speed
+    back = ends.min(axis=1)
+    back[0] = leave
+    gained = _sums(value[rest])
+    best = _best_subset(gained, back, max(windows[depot, 1], leave))
+    order = _order(table, d[np.ix_(rest, rest)] / speed, best, int(ends[best].argmin())) if best else []
+    return float(gained[best]), float(back[best]), [depot, *(rest[i] for i in order)]
 
 
 def orienteering(d: np.ndarray, price: np.ndarray, budget: float, start: int, end: int) -> tuple[float, float, list[int]] | None:
     """Most collected price on a way from start to end within the budget: (price, length, way), or None."""
     rest = [i for i in range(len(d)) if i not in (start, end)]
-    m = len(rest)
-    _check(m)
+    _check(len(rest))
     if d[start, end] > budget + 1e-9:
         return None
     base = price[start] + (price[end] if end != start else 0.0)
-    top = (float(base), float(d[start, end]), [start, end])
-    layer = {(1 << j, j): (d[start, rest[j]], (rest[j],)) for j in range(m) if d[start, rest[j]] + d[rest[j], end] <= budget + 1e-9}
-    while layer:
-        following: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (mask, i), (length, way) in sorted(layer.items()):
-            gained, total = base + sum(price[x] for x in way), length + d[rest[i], end]
-            if gained > top[0] + 1e-9 or gained > top[0] - 1e-9 and total < top[1] - 1e-9:
-                top = (float(gained), float(total), [start, *way, end])
-            for j in range(m):
-                if not mask >> j & 1:
-                    more = length + d[rest[i], rest[j]]
-                    if more + d[rest[j], end] <= budget + 1e-9:
-                        key = (mask | 1 << j, j)
-                        if key not in following or more < following[key][0]:
-                            following[key] = (more, (*way, rest[j]))
-        layer = following
-    return top
+    if not rest:
+        return float(base), float(d[start, end]), [start, end]
+    none = np.zeros(len(rest))
+    table = _table(d, rest, start, none, none + np.inf, none, 0.0, 1.0)
+    ends = table + d[rest, end]
+    total = ends.min(axis=1)
+    total[0] = d[start, end]
+    gained = base + _sums(price[rest])
+    best = _best_subset(gained, total, budget)
+    order = _order(table, d[np.ix_(rest, rest)], best, int(ends[best].argmin())) if best else []
+    return float(gained[best]), float(total[best]), [start, *(rest[i] for i in order), end]
+
+
+def _late(d: np.ndarray, route: list[int], windows: np.ndarray, service: np.ndarray, depot: int, speed: float) -> bool:
+    """Whether a route from the depot and back misses a window."""
+    t, at = windows[depot, 0] + service[depot], depot
+    for j in route:
+        t = max(t + d[at, j] / speed, windows[j, 0])
+        if t > windows[j, 1] + 1e-9:
+            return True
+        t, at = t + service[j], j
+    return t + d[at, depot] / speed > windows[depot, 1] + 1e-9
+
+
+def vrptw_bounded(d: np.ndarray, demand: np.ndarray, windows: np.ndarray, service: np.ndarray, capacity: float, vehicles: int, depot: int = 0, speed: float = 1.0) -> tuple[float, list[list[int]], float] | None:
+    """Routes of any number of customers by cheapest insertion and moves of one customer: (length, routes, lower bound), or None.
+
+    The bound adds the least way in and out of each customer, halved.  Customers
+    are met by the end of their windows, hardest first.
+    """
+    rest = sorted((i for i in range(len(d)) if i != depot), key=lambda i: (windows[i, 1], i))
+    routes: list[list[int]] = []
+    length = lambda r: sum(d[a, b] for a, b in zip([depot, *r], [*r, depot], strict=True))
+
+    def places(j: int, skip: tuple[int, int] | None = None):
+        for x, r in enumerate(routes):
+            if sum(demand[i] for i in r) + demand[j] > capacity + 1e-9:
+                continue
+            for p in range(len(r) + 1):
+                if (x, p) != skip:
+                    a, b = r[p - 1] if p else depot, r[p] if p < len(r) else depot
+                    yield d[a, j] + d[j, b] - d[a, b], x, p
+        if len(routes) < vehicles:
+            yield d[depot, j] + d[j, depot], len(routes), 0
+
+    def put(j: int, below: float = np.inf) -> bool:
+        for extra, x, p in sorted(places(j)):
+            if extra >= below - 1e-9:
+                return False
+            new = [*routes[x][:p], j, *routes[x][p:]] if x < len(routes) else [j]
+            if demand[j] <= capacity + 1e-9 and not _late(d, new, windows, service, depot, speed):
+                routes[x : x + 1] = [new]
+                return True
+        return False
+
+    if not all(put(j) for j in rest):
+        return None
+    moved = True
+    while moved:
+        moved = False
+        for j in rest:
+            x = next(x for x, r in enumerate(routes) if j in r)
+            held = routes[x]
+            less = [i for i in held if i != j]
+            if _late(d, less, windows, service, depot, speed):
+                continue
+            saved = length(held) - length(less)
+            routes[x : x + 1] = [less] if less else []
+            if put(j, saved):
+                moved = True
+            elif less:
+                routes[x] = held
+            else:
+                routes.insert(x, held)
+    off = np.where(np.eye(len(d), dtype=bool), np.inf, d)
+    lower = float((off[:, rest].min(axis=0) + off[rest].min(axis=1)).sum() / 2 + min(off[depot].min(), off[:, depot].min())) if rest else 0.0
+    return float(sum(map(length, routes))), [[depot, *r] for r in routes], lower
 
 
 def vrptw(d: np.ndarray, demand: np.ndarray, windows: np.ndarray, service: np.ndarray, capacity: float, vehicles: int, depot: int = 0, speed: float = 1.0) -> tuple[float, list[list[int]]] | None:
@@ -125,7 +196,8 @@ def vrptw(d: np.ndarray, demand: np.ndarray, windows: np.ndarray, service: np.nd
     """
     rest = [i for i in range(len(d)) if i != depot]
     m = len(rest)
-    _check(m)
+    if m > PARTITION_LIMIT:
+        raise OutOfRangeError(f"the exact partition takes at most {PARTITION_LIMIT} customers")
     leave0 = windows[depot, 0] + service[depot]
     best_route: dict[int, tuple[float, tuple]] = {}
     layer: dict[tuple[int, int], list[tuple[float, float, tuple]]] = {}

@@ -483,12 +483,60 @@ def held_karp(d: np.ndarray, depot: int = 0) -> Tour:
     return [depot, *tour[::-1]]
 
 
-def branch_and_bound(d: np.ndarray, depot: int = 0, nodes: int = 2_000_000) -> Tour:
-    """Optimal tour by depth-first search; the bound is a spanning tree of the open nodes, with its links."""
+def ascent(w: np.ndarray, depot: int, upper: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Node prices and the lower bound they give: least spanning trees with two links to the depot, by subgradients."""
+    n = len(w)
+    rest = np.array([i for i in range(n) if i != depot])
+    price, best, kept, pace, stale = np.zeros(n), -np.inf, np.zeros(n), 2.0, 0
+    for _ in range(steps):
+        v = w + price[:, None] + price[None]
+        degree = np.zeros(n, int)
+        near, link = v[rest[0], rest].copy(), np.zeros(len(rest), int)
+        seen = np.zeros(len(rest), bool)
+        seen[0], total = True, 0.0
+        for _ in range(len(rest) - 1):
+            j = int(np.where(seen, np.inf, near).argmin())
+            total += near[j]
+            degree[[rest[j], rest[link[j]]]] += 1
+            seen[j] = True
+            closer = v[rest[j], rest] < near
+            near, link = np.where(closer, v[rest[j], rest], near), np.where(closer, j, link)
+        two = rest[np.argsort(v[depot, rest], kind="stable")[:2]]
+        total += v[depot, two].sum()
+        degree[two] += 1
+        degree[depot] = 2
+        bound = total - 2 * price.sum()
+        if bound > best + 1e-9:
+            best, kept, stale = bound, price.copy(), 0
+        else:
+            stale += 1
+        if stale == 15:
+            pace, stale = pace / 2, 0
+        off = degree - 2
+        if not off.any() or upper - best <= 1e-9 or pace < 1e-4:
+            break
+        price = price + pace * (upper - bound) / (off @ off) * off
+    return kept, float(best)
+
+
+def branch_and_bound(d: np.ndarray, depot: int = 0, nodes: int = 200_000) -> tuple[Tour, float]:
+    """Best tour found by depth-first search, and a lower bound of all tours, its own length where the search ended.
+
+    The bound of a path is a spanning tree of the open nodes, with its links, under
+    the node prices of `ascent`.  After so many nodes the search stops with the
+    best tour so far and the bound of the whole.
+    """
     n = len(d)
-    w = np.minimum(d, d.T)
     best = or_opt(d, two_opt(d, insertion(d, depot)))
     limit = cost(d, best)
+    if n < 4:
+        return best, limit
+    w = np.minimum(d, d.T)
+    price, lower = ascent(w, depot, limit)
+    # priced lengths: every tour gets longer by the same amount
+    more = 2 * price.sum()
+    d, w = d + price[:, None] + price[None], w + price[:, None] + price[None]
+    limit += more
     count = 0
 
     def tree(left: list[int]) -> float:
@@ -507,7 +555,7 @@ def branch_and_bound(d: np.ndarray, depot: int = 0, nodes: int = 2_000_000) -> T
         nonlocal best, limit, count
         count += 1
         if count > nodes:
-            raise SolverNotAvailableError("node limit reached before optimality")
+            return
         if not left:
             total = length + d[path[-1], depot]
             if total < limit - 1e-9:
@@ -519,12 +567,16 @@ def branch_and_bound(d: np.ndarray, depot: int = 0, nodes: int = 2_000_000) -> T
             search([*path, j], length + d[path[-1], j], [x for x in left if x != j])
 
     search([depot], 0.0, [i for i in range(n) if i != depot])
-    return best
+    length = limit - more
+    return best, length if count <= nodes else min(lower, length)
 
 
-def exact(d: np.ndarray, depot: int = 0) -> Tour:
-    """Every integer formulation has this one optimum: subset tables up to 13 nodes, else branch and bound."""
-    return held_karp(d, depot) if len(d) <= 13 else branch_and_bound(d, depot)
+def exact(d: np.ndarray, depot: int = 0) -> tuple[Tour, float]:
+    """Every integer formulation has this one optimum: subset tables up to 13 nodes, else branch and bound; with its lower bound."""
+    if len(d) > 13:
+        return branch_and_bound(d, depot)
+    tour = held_karp(d, depot)
+    return tour, cost(d, tour)
 
 
 def construct(name: str, d: np.ndarray, xy: np.ndarray | None = None, depot: int = 0, seed: int = 0, k: int = 1, initial: Tour | None = None) -> Tour:
@@ -552,7 +604,7 @@ def population(d: np.ndarray, size: int, depot: int = 0, seed: int = 0) -> list[
 def solve(d: np.ndarray, xy: np.ndarray | None = None, depot: int = 0, algo: str = "Heuristic", cons: str = "Insertion", impv: str | None = "2Opt", meta: str | None = None, seed: int = 0, k: int = 1, initial: Tour | None = None) -> Tour:
     """Tour from the depot by the named method."""
     if algo == "Exact":
-        return exact(d, depot)
+        return exact(d, depot)[0]
     if algo == "Heuristic":
         t = construct(cons, d, xy, depot, seed, k, initial)
         t = two_opt(d, t) if impv in ("2Opt", "2Opt+OrOpt") else t

@@ -27,7 +27,7 @@ def test_tours(seed):
     xy, d = instance(seed, 8)
     best = brute(d)
     assert math.isclose(tsp.cost(d, tsp.held_karp(d)), best)
-    assert math.isclose(tsp.cost(d, tsp.branch_and_bound(d)), best)
+    assert math.isclose(tsp.cost(d, tsp.branch_and_bound(d)[0]), best)
     for name in ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighbor", "Sweep", "Christofides", "Random"):
         t = tsp.construct(name, d, xy)
         assert sorted(t) == list(range(8)) and t[0] == 0
@@ -66,7 +66,7 @@ def test_asymmetric_two_opt():
 def test_square_tour():
     xy = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)
     d = np.linalg.norm(xy[:, None] - xy[None], axis=2)
-    assert tsp.cost(d, tsp.exact(d)) == 40
+    assert tsp.cost(d, tsp.exact(d)[0]) == 40
 
 
 def test_names():
@@ -258,3 +258,55 @@ def test_overlay_areas(boxes):
     assert math.isclose(size(overlay.intersection(rings)), len(set.intersection(*cells)), abs_tol=1e-6)
     if not any(math.isclose(size(overlay.union(rings)), len(set.union(*cells)), abs_tol=1e-6) for _ in (0,)):
         assert size(overlay.union(rings)) >= len(set.union(*cells))  # outer rings count holes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_tour_of_thirty_nodes(seed):
+    """The bound of a search that ended is its tour; a stopped one gives both."""
+    _, d = instance(seed, 30)
+    tour, lower = tsp.branch_and_bound(d, 0, 30_000)
+    length = tsp.cost(d, tour)
+    assert sorted(tour) == list(range(30)) and 0.97 * length <= lower <= length + 1e-9
+    assert length <= tsp.cost(d, tsp.or_opt(d, tsp.two_opt(d, tsp.nearest_neighbour(d)))) + 1e-9
+    stopped, low = tsp.branch_and_bound(d, 0, 5)
+    assert low <= length + 1e-9 <= tsp.cost(d, stopped) + 2e-9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_node_prices_bound_from_below(seed):
+    _, d = instance(seed, 9)
+    best = tsp.cost(d, tsp.held_karp(d))
+    price, lower = tsp.ascent(d, 0, best)
+    assert 0.95 * best <= lower <= best + 1e-9 and len(price) == 9
+    assert math.isclose(tsp.cost(d, tsp.branch_and_bound(d)[0]), best)
+
+
+def test_orienteering_of_twenty_nodes():
+    _, d = instance(1, 20)
+    price = np.random.default_rng(1).integers(1, 99, 20).astype(float)
+    found = routing.orienteering(d, price, 200, 4, 2)
+    assert found[1] <= 200 + 1e-9 and found[2][0] == 4 and found[2][-1] == 2 and len(set(found[2])) == len(found[2])
+    assert math.isclose(found[0], price[found[2]].sum()) and math.isclose(found[1], sum(d[a, b] for a, b in zip(found[2], found[2][1:], strict=False)))
+
+
+def test_time_windows_without_other_nodes():
+    d, w = np.zeros((1, 1)), np.array([[0.0, 10.0]])
+    assert routing.tsptw(d, w, np.ones(1)) == (1.0, [0])
+    assert routing.tsptw_violation(d, w, np.ones(1), np.ones(1)) == (0.0, 1.0, [0])
+
+
+def test_vehicle_routes_of_thirty_customers():
+    _, d = instance(3, 31)
+    rng = np.random.default_rng(3)
+    lo = rng.uniform(0, 300, 31)
+    w = np.stack([lo, lo + 200], axis=1)
+    w[0] = (0, 1e4)
+    demand, service = rng.integers(1, 9, 31).astype(float), np.ones(31)
+    total, tours, lower = routing.vrptw_bounded(d, demand, w, service, 40, 30)
+    assert sorted(i for t in tours for i in t[1:]) == list(range(1, 31)) and all(t[0] == 0 for t in tours)
+    assert all(sum(demand[t]) - demand[0] <= 40 and not routing._late(d, t[1:], w, service, 0, 1.0) for t in tours)
+    assert math.isclose(total, sum(tsp.cost(d, t) for t in tours)) and 0 < lower <= total
+    small = instance(5, 7)[1]
+    exact = routing.vrptw(small, demand[:7], w[:7], service[:7], 12, 6)
+    near = routing.vrptw_bounded(small, demand[:7], w[:7], service[:7], 12, 6)
+    assert near[2] <= exact[0] + 1e-9 <= near[0] + 2e-9
