@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..errors import EmptyError
 from ..functions.shapes import POLY
 from ..solvers import overlay
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Column `out`: sum of `value` over all rows before, in that order.
+
+    Ranges of rows are written once and summed apart; each starts at the total of
+    the ranges before it, of which there is one row each.
+    """
+    at = F.col("_at")
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright(at, 33))
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
+    own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.join(F.broadcast(totals), "_part")
+    return rows.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(own), F.lit(0.0))).drop("_at", "_part", "_before")
+
+
 def points_of(df: DataFrame, *, point: str | None = None, arc: str | None = None, ring: str | None = None, rings: str | None = None) -> DataFrame:
     """Rows (x, y) of one shape column."""
     if point:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MissingParameterError, SolverNotAvailableError, UnsupportedInputError
@@ -14,6 +14,7 @@ from ..functions.distances import at_bearing, at_bearing_geographic, at_mileage,
 from ..functions.predicates import point_in_polygon
 from ..functions.shapes import POLY, POLY_TYPE, poly, pt, unit
 from ..solvers import overlay
+from .aggregates import running_sum
 
 
 def _need(options: dict, *names: str) -> list:
@@ -98,20 +99,25 @@ def locations(spark: SparkSession, n: int, distr: str = "UniformSquareXY", seed:
 
 
 def on_roads(df: DataFrame, roads: DataFrame, seed: int = 0, key: str = "road_id", shape: str = "shape") -> DataFrame:
-    """Points on roads (already clipped and filtered), a road by its share of length.
+    """Points on roads (already clipped and filtered), a road by its share of length."""
+    sized = roads.select(F.col(key).alias("road_id"), F.col(shape).alias("shape"), length(F.col(shape)).alias("len")).where("len > 0")
+    out = _by_share(df, sized, "len", "road_id", unit(seed, "node_id", F.lit("road")))
+    return out.select("node_id", "road_id", at_mileage(F.col("shape"), F.col("_s") - F.col("_lo")).alias("loc"))
+
 
-    Cumulative lengths make each road an interval; a draw joins the interval it
-    falls in through buckets of equal length.
+def _by_share(draws: DataFrame, items: DataFrame, weight: str, key: str, u: Column) -> DataFrame:
+    """Each draw with the item in whose interval it falls, `_lo` where that begins and `_s` where the draw lies.
+
+    Running sums make each item an interval; draws and intervals meet in about as
+    many buckets of equal width as there are items, so a bucket holds few.
     """
-    sized = roads.select(F.col(key).alias("road_id"), F.col(shape).alias("shape"), length(F.col(shape)).alias("len")).where("len > 0")
-    w = Window.orderBy("road_id").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("lo", F.coalesce(F.sum("len").over(w), F.lit(0.0))).withColumn("hi", F.col("lo") + F.col("len"))
-    total = sized.agg(F.max("hi")).first()[0] or 0.0
-    width = max(total / 1024, 1e-9)
-    buckets = sized.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"), F.floor(F.col("hi") / width).cast("long"))))
-    draws = df.withColumn("_s", unit(seed, "node_id", F.lit("road")) * total).withColumn("_b", F.floor(F.col("_s") / width).cast("long"))
-    out = draws.join(buckets, "_b").where((F.col("lo") <= F.col("_s")) & (F.col("_s") < F.col("hi")))
-    return out.select("node_id", "road_id", at_mileage(F.col("shape"), F.col("_s") - F.col("lo")).alias("loc"))
+    cum = running_sum(items.withColumn("_w", F.col(weight).cast("double")), [key], "_w", "_lo").withColumn("_hi", F.col("_lo") + F.col("_w"))
+    total, n = cum.agg(F.max("_hi"), F.count("*")).first()
+    width = max((total or 0.0) / max(n, 16), 1e-9)
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    cum = cum.withColumn("_b", F.explode(F.sequence(bucket("_lo"), bucket("_hi"))))
+    asked = draws.withColumn("_s", u * float(total or 0.0)).withColumn("_b", bucket("_s"))
+    return asked.join(cum, "_b").where((F.col("_lo") <= F.col("_s")) & (F.col("_s") < F.col("_hi")))
 
 
 def nodes(spark: SparkSession, n: int, distr: str = "UniformSquareXY", seed: int = 0, existing: DataFrame | None = None, **o) -> DataFrame:
@@ -212,10 +218,6 @@ def polygons(spark: SparkSession, n: int, seed: int = 0, shape: str = "RndConvex
 
 
 def weighted_pick(items: DataFrame, draws: DataFrame, weight: str, key: str, seed: int = 0, draw: str = "draw") -> DataFrame:
-    """(draw, key): one item for each draw by weight, through cumulative shares (a small item table)."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = items.select(F.col(key), F.col(weight).cast("double").alias("_w"), F.sum(F.col(weight).cast("double")).over(w).alias("_hi"))
-    total = cum.agg(F.max("_hi")).first()[0]
-    table = cum.agg(F.array_sort(F.collect_list(F.struct("_hi", F.col(key).alias("k")))).alias("all"))
-    out = draws.withColumn("_u", unit(seed, draw) * float(total)).crossJoin(F.broadcast(table))
-    return out.select(draw, F.filter("all", lambda s: s["_hi"] > F.col("_u"))[0]["k"].alias(key))
+    """(draw, key): one item for each draw by weight."""
+    out = _by_share(draws, items.select(key, weight), weight, key, unit(seed, draw))
+    return out.select(draw, key)

@@ -41,6 +41,18 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, loc: str = "loc",
     return p.join(q, ["_cx", "_cy"]).where(point_in_polygon(F.col(loc), F.col(ring), interior)).drop("_cx", "_cy")
 
 
+def segments_near_polygons(rows: DataFrame, polygons: DataFrame, segment: str = "s", ring: str = "poly", cell: float = 10.0) -> DataFrame:
+    """Pairs of segments and polygons whose bounding box they meet: equi-join on grid cells, then the exact test; each pair once."""
+    s = F.col(segment)
+    own = {"_sx0": F.least(s.a.x, s.b.x), "_sx1": F.greatest(s.a.x, s.b.x), "_sy0": F.least(s.a.y, s.b.y), "_sy1": F.greatest(s.a.y, s.b.y)}
+    a = _cells(rows.withColumns(own), F.col("_sx0"), F.col("_sx1"), F.col("_sy0"), F.col("_sy1"), cell)
+    q = polygons.withColumn("_box", box_struct(ring))
+    q = _cells(q, F.col("_box.x_min"), F.col("_box.x_max"), F.col("_box.y_min"), F.col("_box.y_max"), cell)
+    once = (F.col("_cx") == F.floor(F.greatest("_sx0", "_box.x_min") / cell)) & (F.col("_cy") == F.floor(F.greatest("_sy0", "_box.y_min") / cell))
+    met = a.join(q, ["_cx", "_cy"]).where(once & box_meets_segment(s, F.col("_box")))
+    return met.drop("_cx", "_cy", "_box", *own)
+
+
 def polygon_overlaps(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_ring: str = "poly", right_ring: str = "poly", cell: float = 10.0) -> DataFrame:
     """(left key, right key) of filled polygons that meet: cells, boxes, then the exact test."""
     a = left.select(F.col(left_key).alias("_l"), F.col(left_ring).alias("_p"))

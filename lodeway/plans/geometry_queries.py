@@ -10,6 +10,7 @@ from ..functions import predicates as pr
 from ..functions import sequences as sq
 from ..functions import vectors as vec
 from ..functions.shapes import line, pt
+from ..operators import spatial
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -175,9 +176,7 @@ def polygon_pairs(spark, sf_dir):
 @query()
 def segment_polygon_parts(spark, sf_dir):
     ring = F.col("poly")
-    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
-    box = F.struct(F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
-    near = fx.moves(spark, sf_dir).join(F.broadcast(fx.polygons(spark, sf_dir).withColumn("box", box)), pr.box_meets_segment(F.col("s"), F.col("box")))
+    near = spatial.segments_near_polygons(fx.moves(spark, sf_dir).select("event_id", "s"), fx.polygons(spark, sf_dir))
     out = near.select("event_id", "poly_id", F.posexplode(ix.with_polygon("seg", F.col("s"), ring)).alias("part", "r"), F.size(ix.seg_minus_polygon(F.col("s"), ring)).alias("n_outside"))
     return out.select("event_id", "poly_id", "part", "r.type", "r.interior", F.round(dist.euclidean(F.col("r.points")[0], F.element_at("r.points", -1)), 4).alias("way"), "n_outside")
 

@@ -30,6 +30,8 @@ QUERIES["tsptw_hard"] = lambda spark, sf_dir: _rounded(routes.solve_tsptw(fx.ins
 QUERIES["tsptw_violation"] = lambda spark, sf_dir: _rounded(routes.solve_tsptw(fx.instances(spark, sf_dir, 7).withColumn("hi", F.when(F.row_number().over(_first()) == 1, 1e6).otherwise(F.col("hi"))), allow_violation=True))
 QUERIES["orienteering"] = lambda spark, sf_dir: _rounded(routes.solve_op(fx.instances(spark, sf_dir, 10), 200.0))
 QUERIES["vrptw"] = lambda spark, sf_dir: _rounded(routes.solve_vrptw(fx.instances(spark, sf_dir, 7).withColumns({"lo": F.lit(0.0), "hi": F.col("hi") + 600.0}), 4, 15.0))
+QUERIES["vrptw_thirty"] = lambda spark, sf_dir: routes.solve_vrptw(fx.instances(spark, sf_dir, 31).withColumns({"lo": F.lit(0.0), "hi": F.col("hi") + 600.0}), 30, 40.0).select("instance_id", "method", F.round("ofv", 6).alias("ofv"), F.round("lower_bound", 6).alias("lower_bound"), "solution")
+QUERIES["tsp_exact_bounded"] = lambda spark, sf_dir: routes.solve_tsp(fx.instances(spark, sf_dir, 18), algo="Exact").select("instance_id", F.round("ofv", 6).alias("ofv"), F.round("lower_bound", 6).alias("lower_bound"), F.round("gap", 9).alias("gap"), "solution")
 QUERIES["mtsp_min_longest"] = lambda spark, sf_dir: _rounded(routes.solve_mtsp(fx.instances(spark, sf_dir), 3))
 QUERIES["cetsp_circles"] = lambda spark, sf_dir: _rounded(routes.solve_cetsp(fx.instances(spark, sf_dir, 6).withColumn("radius", F.lit(5.0)), (0.0, 0.0), (100.0, 100.0)))
 QUERIES["cetsp_exact"] = lambda spark, sf_dir: _rounded(routes.solve_cetsp(fx.instances(spark, sf_dir, 5).withColumn("radius", F.lit(5.0)), (0.0, 0.0), (100.0, 100.0), algo="Exact"))
