@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MissingParameterError, SolverNotAvailableError, UnsupportedInputError
-from ..functions.distances import at_bearing, at_bearing_geographic, at_mileage, distance, length
-from ..functions.predicates import point_in_polygon
+from ..errors import EmptyError, MissingParameterError, SolverNotAvailableError, UnsupportedInputError
+from ..functions.distances import at_bearing, at_bearing_geographic, at_mileage, distance, length, vincenty_direct
 from ..functions.shapes import POLY, POLY_TYPE, poly, pt, unit
 from ..solvers import overlay
 from .aggregates import running_sum
+from .spatial import clip_roads
 
 
 def _need(options: dict, *names: str) -> list:
@@ -41,8 +41,12 @@ def triangle(i: Column, seed: int, a: Column, b: Column, c: Column) -> Column:
 
 
 def _in_polygons(df: DataFrame, seed: int, rings: list) -> DataFrame:
-    """Uniform over the area of polygons: a triangle by its share of area, then a point in it."""
-    parts = [t for r in rings for t in overlay.triangles([tuple(map(float, p)) for p in r])]
+    """Uniform over the area of polygons."""
+    return _in_triangles(df, seed, [t for r in rings for t in overlay.triangles([tuple(map(float, p)) for p in r])])
+
+
+def _in_triangles(df: DataFrame, seed: int, parts: list) -> DataFrame:
+    """Uniform over the area of triangles that don't overlap: one by its share of area, then a point in it."""
     sizes = np.cumsum([abs(overlay.signed_area(t)) for t in parts])
     edges = (sizes / sizes[-1]).tolist()
     pick = F.lit(len(parts) - 1)
@@ -54,14 +58,12 @@ def _in_polygons(df: DataFrame, seed: int, rings: list) -> DataFrame:
     return out.withColumn("loc", triangle(F.col("node_id"), seed, F.col("_t")[0], F.col("_t")[1], F.col("_t")[2])).drop("_u", "_t")
 
 
-def _rejected(df: DataFrame, seed: int, make, keep, tries: int = 64) -> DataFrame:
-    """First of `tries` draws that passes, row by row; NULL where none does."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: make(F.concat_ws("/", F.col("node_id"), k)))
-    return df.withColumn("loc", F.filter(draws, keep)[0])
-
-
 def locations(spark: SparkSession, n: int, distr: str = "UniformSquareXY", seed: int = 0, roads: DataFrame | None = None, **o) -> DataFrame:
-    """(node_id, loc) of n random locations."""
+    """(node_id, loc) of n random locations.
+
+    On roads (columns road_id, shape, class), options: classes that count, and
+    for the kinds in a polygon or circle the roads are clipped to it first.
+    """
     df = spark.range(n).withColumnRenamed("id", "node_id")
     i = F.col("node_id")
     if distr == "UniformSquareXY":
@@ -73,15 +75,11 @@ def locations(spark: SparkSession, n: int, distr: str = "UniformSquareXY", seed:
     if distr == "UniformPolyXY":
         return _in_polygons(df, seed, o["polys"] if "polys" in o else _need(o, "poly"))
     if distr == "UniformAvoidPolyXY":
-        rings = [poly(r) for r in (o["polys"] if "polys" in o else _need(o, "poly"))]
-
-        def keep(p: Column) -> Column:
-            out = F.lit(True)
-            for r in rings:
-                out = out & ~point_in_polygon(p, r)
-            return out
-
-        return _rejected(df, seed, lambda k: square(k, seed, o.get("x_range", (0, 100)), o.get("y_range", (0, 100))), keep)
+        rings = [[tuple(map(float, p)) for p in r] for r in (o["polys"] if "polys" in o else _need(o, "poly"))]
+        free = overlay.free_triangles((*map(float, o.get("x_range", (0, 100))), *map(float, o.get("y_range", (0, 100)))), rings)
+        if not free:
+            raise EmptyError("the polygons leave no room")
+        return _in_triangles(df, seed, free)
     if distr == "UniformCircleXY":
         center, radius = _need(o, "center", "radius")
         return df.withColumn("loc", disk(i, seed, center, radius))
@@ -92,6 +90,19 @@ def locations(spark: SparkSession, n: int, distr: str = "UniformSquareXY", seed:
     if distr in ("RoadNetworkPolyLatLon", "RoadNetworkCircleLatLon", "RoadNetwork"):
         if roads is None:
             raise MissingParameterError("missing roads")
+        if "classes" in o:
+            roads = roads.where(F.col("class").isin(list(o["classes"])))
+        area = None
+        if distr == "RoadNetworkPolyLatLon":
+            area = o["polys"] if "polys" in o else _need(o, "poly")
+        elif distr == "RoadNetworkCircleLatLon":
+            center, radius = _need(o, "center", "radius")
+            deg = np.arange(60) * 6.0
+            area = [list(zip(*(v.tolist() for v in vincenty_direct(np.full(60, float(center[0])), np.full(60, float(center[1])), deg, np.full(60, float(radius)))), strict=True))]
+        if area is not None:
+            rings = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in r]) for i, r in enumerate(area)], f"poly_id long, poly {POLY}")
+            part = F.struct("road_id", "poly_id", "part").alias("road_id")
+            roads = clip_roads(roads.select("road_id", "shape"), rings, cell=o.get("cell", 1.0)).select(part, "shape")
         return on_roads(df, roads, seed)
     if distr == "UniformPolyLatLon":
         raise SolverNotAvailableError("uniform points in a geographic polygon are not available")

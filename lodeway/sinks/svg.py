@@ -6,6 +6,7 @@ refuse more.  Frames stay a DataFrame.
 
 from __future__ import annotations
 
+import math
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -103,6 +104,38 @@ class Drawing:
             f.write(self.svg(side))
 
 
+class Drawing3D(Drawing):
+    """Layers of shapes in space, seen from above at an angle (degrees around z, then of the view's height)."""
+
+    def __init__(self, turn: float = 30.0, height: float = 30.0, limit: int = LIMIT):
+        super().__init__(False, limit)
+        self.turn, self.height = math.radians(turn), math.radians(height)
+
+    def _at(self, p) -> tuple[float, float]:
+        x, y, z = p["x"], p["y"], p["z"]
+        right = x * math.cos(self.turn) + y * math.sin(self.turn)
+        away = y * math.cos(self.turn) - x * math.sin(self.turn)
+        return super()._at({"x": right, "y": away * math.sin(self.height) + z * math.cos(self.height)})
+
+    def polyhedra(self, df: DataFrame, faces: str = "faces", colour: str = "gray") -> Drawing3D:
+        """A column of faces, each an array of points."""
+        return self.polygons(df.select(F.explode(faces).alias("poly")), "poly", colour)
+
+    def cones(self, df: DataFrame, center: str = "center", height: str = "max_height", tan_alpha: float = 1.0, colour: str = "steelblue", sides: int = 24) -> Drawing3D:
+        """Cones that stand on their tip at a place of the ground: the rim and every sixth line from the tip to it."""
+        c, h = F.col(center), F.col(height)
+        rim = lambda i: F.struct((c["x"] + h * tan_alpha * F.cos(i * (2 * math.pi / sides))).alias("x"), (c["y"] + h * tan_alpha * F.sin(i * (2 * math.pi / sides))).alias("y"), h.cast("double").alias("z"))
+        tip = F.struct(c["x"].alias("x"), c["y"].alias("y"), F.lit(0.0).alias("z"))
+        self.polygons(df.select(F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), rim).alias("poly")), "poly", colour)
+        lines = F.explode(F.transform(F.sequence(F.lit(0), F.lit(sides - 1), F.lit(6)), lambda i: F.array(tip, rim(i))))
+        return self.polylines(df.select(lines.alias("seq")), "seq", colour)
+
+
+def region_map(boundaries: DataFrame, ring: str = "poly", label: str | None = None, colour: str = "gainsboro") -> Drawing:
+    """A map of regions from a table of (lat, lon) rings, as `readers.region_polygons` gives them, east to the right."""
+    return Drawing(swap=True).polygons(boundaries, ring, colour, label)
+
+
 def gantt_rows(df: DataFrame, entity: str = "entity_id", lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Bars of a Gantt chart: a lane for each entity; a bar that ends before it begins is an error."""
     bad = df.where(F.col(lo) > F.col(hi)).limit(1).count()

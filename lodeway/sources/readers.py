@@ -19,6 +19,9 @@ GEOJSON = """features array<struct<
   properties: struct<highway:string,name:string,maxspeed:string,oneway:string,building:string>,
   geometry: struct<type:string,coordinates:string>>>"""
 log = logging.getLogger("lodeway")
+#: The code of the whole country, and county codes whose city code isn't their first four digits.
+COUNTRY = 100000
+DIRECT = {419001: 410800}
 
 
 def _features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -98,11 +101,15 @@ def region_names(codes: DataFrame, regions: DataFrame, code: str = "adcode") ->
     """province, city and district of six-digit codes, by two joins on the truncated code.
 
     regions(adcode, name) is given by the user.  A code that ends in 0000 is a
-    province, one in 00 a city.
+    province, one in 00 a city.  The code of the whole country has no names, and
+    codes of DIRECT are filed under the city given there.
     """
     r = lambda n: regions.select(F.col("adcode").alias(f"_{n}"), F.col("name").alias(n))
     c = F.col(code)
-    df = codes.withColumns({"_province": F.floor(c / 10000) * 10000, "_city": F.when(c % 10000 != 0, F.floor(c / 100) * 100), "_district": F.when(c % 100 != 0, c)})
+    city = F.floor(c / 100) * 100
+    for one, under in DIRECT.items():
+        city = F.when(c == one, F.lit(under)).otherwise(city)
+    df = codes.withColumns({"_province": F.when(c != COUNTRY, F.floor(c / 10000) * 10000), "_city": F.when(c % 10000 != 0, city), "_district": F.when(c % 100 != 0, c)})
     for n in ("province", "city", "district"):
         df = df.join(r(n), f"_{n}", "left")
     return df.drop("_province", "_city", "_district")

@@ -74,3 +74,15 @@ def test_geofence_and_sessions(spark, tmp_path):
     assert [(r["event"], r["poly_id"], r["t"]) for r in got] == [("enter", 7, 0.0), ("leave", 7, 10.0)]
     e = s.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t") * F.when(F.col("t") > 5, 1000).otherwise(1)))
     assert trips.run_to_table(trips.trips(e, "ts", "object_id", "10 minutes"), "sessions", "complete").count() >= 2
+
+
+def test_drawing_in_space(spark):
+    rows = spark.createDataFrame([(1, (0.0, 0.0, 0.0), (0.0, 0.0), 5.0), (2, (1.0, 2.0, 3.0), (10.0, 0.0), 4.0)], "id long, loc struct<x:double,y:double,z:double>, center struct<x:double,y:double>, max_height double")
+    solid = rows.selectExpr("array(array(loc, struct(loc.x + 1 AS x, loc.y AS y, loc.z AS z), struct(loc.x AS x, loc.y + 1 AS y, loc.z + 1 AS z))) AS faces", "array(loc, struct(0D AS x, 0D AS y, 9D AS z)) AS seq")
+    d = svg.Drawing3D().points(rows, label="id").cones(rows).polyhedra(solid).polylines(solid)
+    text = d.svg()
+    assert text.count("<circle") == 2 and text.count("<polygon") == 4 and text.count("<polyline") == 2 * 4 + 2
+    # what stands higher is drawn higher
+    assert d._at({"x": 0.0, "y": 0.0, "z": 1.0})[1] > d._at({"x": 0.0, "y": 0.0, "z": 0.0})[1]
+    rings = spark.createDataFrame([("a", [(30.0, 110.0), (30.0, 111.0), (31.0, 111.0)])], "name string, poly array<struct<x:double,y:double>>")
+    assert svg.region_map(rings, label="name").svg().count("<text") == 1

@@ -310,3 +310,14 @@ def test_vehicle_routes_of_thirty_customers():
     exact = routing.vrptw(small, demand[:7], w[:7], service[:7], 12, 6)
     near = routing.vrptw_bounded(small, demand[:7], w[:7], service[:7], 12, 6)
     assert near[2] <= exact[0] + 1e-9 <= near[0] + 2e-9
+
+
+def test_free_triangles_cover_the_rest():
+    rings = [[(20.0, 20.0), (60.0, 20.0), (60.0, 60.0), (40.0, 30.0), (20.0, 60.0)], [(50.0, 10.0), (90.0, 50.0), (50.0, 90.0)], [(-10.0, 40.0), (30.0, 40.0), (30.0, 45.0), (-10.0, 45.0)]]
+    parts = overlay.free_triangles((0.0, 100.0, 0.0, 100.0), rings)
+    rng = np.random.default_rng(2)
+    points = rng.uniform(0, 100, (4000, 2))
+    for x, y in points:
+        free = not any(overlay.contains(r, x, y) for r in rings)
+        assert sum(overlay.contains(t, x, y) for t in parts) == free
+    assert overlay.free_triangles((0.0, 1.0, 0.0, 1.0), [[(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)]]) == []

@@ -80,3 +80,27 @@ def test_generators_keep_their_shapes(spark):
         assert all(len(r["neighbor"]) >= 2 for r in generators.neighbourhoods(base, shape, **o).collect())
     assert generators.nodes(spark, 2, seed=5, existing=base).count() == 4
     assert generators.locations(spark, 3, "UniformCubeXYZ", 1).first()["loc"]["z"] >= 0
+
+
+def test_region_codes_of_country_and_direct_counties(spark):
+    from lodeway.sources import readers
+
+    names = spark.createDataFrame([(410000, "P"), (410800, "C"), (410802, "D"), (419001, "J"), (100000, "all")], "adcode long, name string")
+    codes = spark.createDataFrame([(100000,), (419001,), (410802,), (410800,), (410000,)], "adcode long")
+    got = {r["adcode"]: (r["province"], r["city"], r["district"]) for r in readers.region_names(codes, names).collect()}
+    assert got == {100000: (None, None, None), 419001: ("P", "C", "J"), 410802: ("P", "C", "D"), 410800: ("P", "C", None), 410000: ("P", None, None)}
+
+
+def test_locations_on_clipped_roads(spark):
+    from lodeway.operators import generators
+
+    roads = spark.createDataFrame([(1, [(30.0, 110.0), (30.0, 112.0)], "primary"), (2, [(29.5, 110.5), (30.5, 110.5)], "residential"), (3, [(35.0, 110.0), (36.0, 110.0)], "primary")], "road_id long, shape array<struct<x:double,y:double>>, class string")
+    box = [(29.9, 110.2), (29.9, 110.8), (30.1, 110.8), (30.1, 110.2)]
+    inside = generators.locations(spark, 200, "RoadNetworkPolyLatLon", 3, roads=roads, poly=box).collect()
+    assert len(inside) == 200 and all(29.9 <= r["loc"]["x"] <= 30.1 and 110.2 <= r["loc"]["y"] <= 110.8 for r in inside)
+    main = generators.locations(spark, 50, "RoadNetworkPolyLatLon", 3, roads=roads, poly=box, classes=["primary"]).collect()
+    assert len(main) == 50 and {r["loc"]["x"] for r in main} == {30.0}
+    near = generators.locations(spark, 100, "RoadNetworkCircleLatLon", 3, roads=roads, center=(30.0, 110.5), radius=5000.0).collect()
+    assert len(near) == 100 and all(abs(r["loc"]["x"] - 30) < 0.05 and abs(r["loc"]["y"] - 110.5) < 0.06 for r in near)
+    free = generators.locations(spark, 500, "UniformAvoidPolyXY", 5, poly=[(1, 1), (99, 1), (99, 99), (1, 99)]).collect()
+    assert all(r["loc"] is not None and not (1 < r["loc"]["x"] < 99 and 1 < r["loc"]["y"] < 99) for r in free)
