@@ -79,3 +79,28 @@ def test_heuristics_solve_whole_nations(spark, tmp_path, name):
     for r in QUERIES[name](spark, str(tmp_path)).collect():
         seen.setdefault(r["instance_id"], set()).update(map(int, r["seq"].split(",")))
     assert seen == {k: set(range(k, 50, 2)) for k in (0, 1)}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_finds_far_and_crowded_rows(spark, k):
+    import math
+    import random
+
+    from lodeway.operators import pairs
+
+    rng = random.Random(k)
+    left = [(i, (rng.gauss(0, 1), rng.gauss(0, 1))) for i in range(150)] + [(900, (5000.0, -3000.0)), (901, (0.0, 0.0))]
+    right = [(i, (rng.gauss(0, 0.2), rng.gauss(0, 0.2))) for i in range(200)] + [(500 + i, (100.0 + i, 50.0)) for i in range(5)] + [(700, (1.0, 0.0)), (701, (1.0, 0.0))]
+    schema = "{} long, loc struct<x:double,y:double>"
+    a, b = spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r"))
+    got = {(r["l"], r["rank"]): (r["r"], r["dist"]) for r in pairs.nearest(a, b, "l", "r", k).collect()}
+    assert len(got) == k * len(left)
+    for i, p in left:
+        best = sorted((math.sqrt((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2), j) for j, q in right)[:k]
+        for rank, (dist, j) in enumerate(best, 1):
+            assert math.isclose(got[i, rank][1], dist, abs_tol=1e-12) and (got[i, rank][0] == j or math.isclose(dist, best[rank - 2][0]) or rank == k)
+    few = pairs.nearest(a, b.limit(2), "l", "r", 3)
+    assert few.count() == 2 * len(left)
+    assert pairs.nearest(a, b.where("false"), "l", "r").collect() == [] == pairs.nearest(a.where("false"), b, "l", "r").collect()
+    plan = pairs.nearest(a, b, "l", "r", k)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
