@@ -12,7 +12,7 @@ from .jaccard_join import jaccard_join
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mixture
-from .quality_rules import POLICIES, judge, quality_ledger
+from .quality_rules import POLICIES, ablations, judge, quality_ledger
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -43,6 +43,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(quality_ledger(_documents(spark, sf_dir)), POLICIES["standard"])
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standard policy removes, alone and with the others; part of operator 4."""
+    return ablations(quality_ledger(_documents(spark, sf_dir)), POLICIES["standard"])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("k")
 
@@ -71,7 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for name, query in globals().items() if name.startswith("op")}
+    return {name: query for name, query in globals().items() if name.startswith("op")} | {"quality_ablations": quality_ablations}
 
 
 def oracle_sql() -> dict[str, str]:

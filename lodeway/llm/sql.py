@@ -29,6 +29,13 @@ b AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
+_RULES = ", ".join(f"('{rule}', {1 << i})" for i, rule in enumerate(RULES))
+
+ABLATIONS = OP4[: OP4.rindex("SELECT *, (fail_bits")] + f"""
+SELECT rule, CAST(count(*) FILTER ((fail_bits & bit) <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (fail_bits = bit) AS BIGINT) AS n_only
+FROM b, (VALUES {_RULES}) AS r(rule, bit) GROUP BY rule
+"""
+
 OP6 = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 win AS (SELECT doc_id, p, sha256(array_to_string(w[p : p + 19], ' ')) AS g
@@ -82,4 +89,4 @@ p AS (SELECT *, CAST(least((2 * upto - size) * 16 // (2 * total), 15) AS INTEGER
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op6_substring_dedup": OP6, "op7_jaccard_join": OP7, "op8_suffix_dedup": OP8, "op9_sharding": OP9}
+ORACLES = {"op4_quality_rules": OP4, "quality_ablations": ABLATIONS, "op6_substring_dedup": OP6, "op7_jaccard_join": OP7, "op8_suffix_dedup": OP8, "op9_sharding": OP9}

@@ -14,7 +14,7 @@ def test_sql_twins(spark, small):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.queries()}
+    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries() and [n for n, _ in corpus_pipeline.STAGES]
 
 
