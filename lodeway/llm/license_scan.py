@@ -252,10 +252,15 @@ def _grams(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})")), F.array_distinct(F.concat("w", F.filter(pair, lambda x: x.isNotNull())))
 
 
-def _shares() -> dict[str, Column]:
-    """By family the greatest share of a template's grams that are in the column grams."""
-    share = lambda g: F.size(F.array_intersect(F.col("grams"), F.array(*map(F.lit, g)))) / F.lit(float(len(g)))
-    return {family: F.greatest(*map(share, confirming(family))) for family in TEMPLATES}
+def _confirming(short: bool) -> Column:
+    """What confirms a family as a constant array of struct(f: family, g: n-grams); short: names in short notices too."""
+    rows = [{"f": f, "g": g} for f in TEMPLATES for g in confirming(f)[: None if short else len(TEMPLATES[f])]]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<f:string,g:array<string>>>")
+
+
+def _share(rows: Column) -> Column:
+    """The greatest share of n-grams of one of the rows that are in the column grams."""
+    return F.array_max(F.transform(rows, lambda t: F.size(F.array_intersect(F.col("grams"), t.g)) / F.size(t.g).cast("double")))
 
 
 def _candidates(docs: DataFrame, doc_id: str, text: str, confirm: float) -> DataFrame:
@@ -278,7 +283,7 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, confirm: float) -> Data
     df = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("h"), F.explode_outer(both).alias("p")).select("doc_id", "h", "p.*")
     w, g = _grams(F.col("text"))
     df = df.withColumn("w", w).withColumn("grams", F.when(F.col("a").isNotNull(), g))
-    df = df.withColumn("near", F.greatest(*_shares().values()))
+    df = df.withColumn("near", F.when(F.col("a").isNotNull(), _share(_confirming(False))))
     items = F.regexp_extract_all("text", F.lit(rf"\n|{PIECE}"), F.lit(0))
     heads = lambda x: F.filter(F.transform(x, lambda _, i: F.slice(x, F.lit(1), i + 1)), lambda y: (F.element_at(y, -1) != "\n") & F.array_contains(y, "\n"))
     heads = F.transform(F.transform(F.array(items), heads)[0], lambda y: F.struct(F.size(y).alias("m"), F.size(F.filter(y, lambda v: v == "\n")).alias("more"), F.array_join(y, " ").alias("text")))
@@ -326,9 +331,7 @@ def license_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     best = F.array_position("e", F.array_max("e")).cast("int")
     df = df.withColumn("best", F.element_at(F.array(*map(F.lit, names)), best)).withColumn("probability", F.array_max("e") / F.col("total"))
 
-    similarity = F.lit(0.0)
-    for family, share in _shares().items():
-        similarity = F.when(F.col("best") == family, share).otherwise(similarity)
+    similarity = F.coalesce(_share(F.filter(_confirming(True), lambda t: t.f == F.col("best"))), F.lit(0.0))
     df = df.withColumn("similarity", F.when(F.col("paragraph").isNotNull(), similarity))
     sure = (F.col("best") != UNKNOWN) & (F.col("probability") >= cut) & (F.col("similarity") >= confirm)
     df = df.withColumn("confirmed", F.coalesce(sure & F.col("paragraph").isNotNull(), F.lit(False)))
