@@ -5,13 +5,16 @@ Late data: rows behind the watermark are dropped; the batch operators keep all.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..checkpoints import folder
 from ..solvers.overlay import contains
 
 STEP = "object_id long, t double, x double, y double, step double"
@@ -26,15 +29,14 @@ def steps(fixes: DataFrame) -> DataFrame:
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f for f in frames if len(f)]).sort_values(["t", "x", "y"], kind="stable")
-        last = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            way = 0.0 if last is None else ((r.x - last[1]) ** 2 + (r.y - last[2]) ** 2) ** 0.5
-            last = (float(r.t), float(r.x), float(r.y))
-            out.append((key[0], *last, way))
-        state.update(last)
-        yield pd.DataFrame(out, columns=["object_id", "t", "x", "y", "step"])
+        held = [f for f in frames if len(f)]
+        t, x, y = (np.concatenate([f[c].to_numpy(float) for f in held]) for c in "txy")
+        order = np.lexsort((y, x, t))
+        t, x, y = t[order], x[order], y[order]
+        last = state.get if state.exists else (t[0], x[0], y[0])
+        way = np.sqrt((x - np.append(last[1], x[:-1])) ** 2 + (y - np.append(last[2], y[:-1])) ** 2)
+        state.update((float(t[-1]), float(x[-1]), float(y[-1])))
+        yield pd.DataFrame({"object_id": key[0], "t": t, "x": x, "y": y, "step": way})
 
     return fixes.groupBy("object_id").applyInPandasWithState(update, STEP, "t double, x double, y double", "append", GroupStateTimeout.NoTimeout)
 
@@ -70,7 +72,19 @@ def geofence(fixes: DataFrame, polygons: dict[int, list[tuple[float, float]]]) -
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end into an in-memory table (tests and small results)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a bounded stream to its end and read what it wrote, also as the view `name`.
+
+    Rows go to files beside the checkpoints, so the driver holds none of them;
+    the modes complete and update keep the result of the last batch.
+    """
+    spark = stream.sparkSession
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{at}/rows"
+    # a stream without rows leaves this one
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    out = out.format("parquet").option("path", path) if mode == "append" else out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()
+    table = spark.read.schema(stream.schema).parquet(path)
+    table.createOrReplaceTempView(name)
+    return table

@@ -86,3 +86,14 @@ def test_drawing_in_space(spark):
     assert d._at({"x": 0.0, "y": 0.0, "z": 1.0})[1] > d._at({"x": 0.0, "y": 0.0, "z": 0.0})[1]
     rings = spark.createDataFrame([("a", [(30.0, 110.0), (30.0, 111.0), (31.0, 111.0)])], "name string, poly array<struct<x:double,y:double>>")
     assert svg.region_map(rings, label="name").svg().count("<text") == 1
+
+
+def test_streams_leave_their_rows_in_files(spark, tmp_path):
+    rows = [(k, float(t), float(t * k), 0.0) for k in (1, 2) for t in (2, 0, 1)]
+    schema = "object_id long, t double, x double, y double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "f"))
+    out = trips.run_to_table(trips.steps(spark.readStream.schema(schema).parquet(str(tmp_path / "f"))), "stepped")
+    assert out.inputFiles() and "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["object_id"], r["t"], r["step"]) for r in spark.table("stepped").collect()) == [(k, t, k * min(t, 1.0)) for k in (1, 2) for t in (0.0, 1.0, 2.0)]
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    assert trips.run_to_table(trips.steps(spark.readStream.schema(schema).parquet(str(tmp_path / "none"))), "nothing").collect() == []
