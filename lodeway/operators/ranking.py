@@ -19,11 +19,15 @@ def by_distance(nodes: DataFrame, ref, key: str = "node_id", loc: str = "loc", g
     return out.withColumn("seq", F.row_number().over(_windowed(out, group or [], "dist", key)))
 
 
-def by_bearing(nodes: DataFrame, ref, key: str = "node_id", loc: str = "loc", clockwise: bool = True, start: float = 0.0, group: list[str] | None = None) -> DataFrame:
-    """Columns deg and seq: nodes around ref by bearing from `start`; ties by distance, then key; nodes at ref last."""
+def by_bearing(nodes: DataFrame, ref, key: str = "node_id", loc: str = "loc", clockwise: bool = True, start: float = 0.0, group: list[str] | None = None, at_ref: float | None = None) -> DataFrame:
+    """Columns deg and seq: nodes around ref by bearing from `start`; ties by distance, then key.
+
+    Nodes at ref have no bearing and come last, or count as at the bearing `at_ref`.
+    """
     dist = euclidean(F.col(loc), ref)
-    turn = F.pmod((heading(ref, F.col(loc)) - F.lit(start)) * (1 if clockwise else -1) + 360.0, F.lit(360.0))
-    out = nodes.withColumns({"_d": dist, "deg": F.when(dist > 0, turn)})
+    # nothing is added to what is in [0, 360) already: that would round bearings apart to ties
+    turn = F.pmod((heading(ref, F.col(loc)) - F.lit(start)) * (1 if clockwise else -1), F.lit(360.0))
+    out = nodes.withColumns({"_d": dist, "deg": F.when(dist > 0, turn).otherwise(F.lit(at_ref).cast("double"))})
     return out.withColumn("seq", F.row_number().over(_windowed(out, group or [], F.col("deg").isNull(), "deg", "_d", key))).drop("_d")
 
 

@@ -104,3 +104,24 @@ def test_nearest_finds_far_and_crowded_rows(spark, k):
     assert pairs.nearest(a, b.where("false"), "l", "r").collect() == [] == pairs.nearest(a.where("false"), b, "l", "r").collect()
     plan = pairs.nearest(a, b, "l", "r", k)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bearings_are_not_rounded_to_ties(spark):
+    from lodeway.functions.shapes import pt
+    from lodeway.operators import ranking
+
+    rows = [(1, (1e-15, 5.0)), (2, (0.0, 9.0)), (3, (0.0, 0.0)), (4, (-5.0, 0.0))]
+    nodes = spark.createDataFrame(rows, "node_id long, loc struct<x:double,y:double>")
+    order = lambda **o: [r["node_id"] for r in ranking.by_bearing(nodes, pt(0.0, 0.0), **o).orderBy("seq").collect()]
+    assert order() == [2, 1, 4, 3]
+    assert order(at_ref=0.0) == [3, 2, 1, 4]
+
+
+def test_bearings_at_the_centre_as_in_sql(spark, tmp_path):
+    keys = [k for k in range(3640, 2 * 10007 * 9973, 10007) if k * 104729 % 9973 == 5000][:1]
+    spark.createDataFrame([(k, 1) for k in [*keys, 5, 6]], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    import duckdb
+
+    duckdb.sql(f"create or replace view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    mine = sorted(tuple(r) for r in QUERIES["nodes_by_bearing"](spark, str(tmp_path)).collect())
+    assert mine == sorted(duckdb.sql(ORACLES["nodes_by_bearing"]).fetchall())
