@@ -18,6 +18,18 @@ ROUTE = "instance_id long, method string, ofv double, dist double, seq array<lon
 #: With a lower bound of the objective, the gap to it and whether the solution is known to be the best.
 BOUNDED = ROUTE + ", lower_bound double, gap double, solution string"
 EARTH = 6378137.0
+#: Constructions that need a row of the matrix at a time only, not the matrix.
+BY_ROWS = ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighbor", "Sweep", "Random")
+
+
+def lazy(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray | tsp.Lazy:
+    """The cells of `matrix` without the matrix, where places alone give them."""
+    xy = pdf[["x", "y"]].to_numpy(float)
+    if edges == "Euclidean":
+        return tsp.Lazy(xy, lambda x, y, u, v: np.sqrt((x - u) ** 2 + (y - v) ** 2))
+    if edges == "Manhattan":
+        return tsp.Lazy(xy, lambda x, y, u, v: np.abs(x - u) + np.abs(y - v))
+    return matrix(pdf, edges, **o)
 
 
 def matrix(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray:
@@ -68,7 +80,8 @@ def solve_tsp(nodes: DataFrame, depot=None, edges: str = "Euclidean", algo: str
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-        d = matrix(pdf, edges, **o)
+        rows_do = algo == "Heuristic" and cons in BY_ROWS and impv not in ("2Opt", "2Opt+OrOpt")
+        d = (lazy if rows_do else matrix)(pdf, edges, **o)
         lower = None
         if algo == "Exact":
             tour, lower = tsp.exact(d, _depot(pdf, depot))

@@ -321,3 +321,30 @@ def test_free_triangles_cover_the_rest():
         free = not any(overlay.contains(r, x, y) for r in rings)
         assert sum(overlay.contains(t, x, y) for t in parts) == free
     assert overlay.free_triangles((0.0, 1.0, 0.0, 1.0), [[(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0)]]) == []
+
+
+def test_constructions_by_rows_equal_the_full_matrix():
+    import pandas as pd
+
+    from lodeway.operators import routes
+
+    rng = np.random.default_rng(5)
+    for n, side in ((1, 9), (2, 9), (60, 7), (200, 1000)):
+        pdf = pd.DataFrame(rng.integers(0, side, (n, 2)).astype(float), columns=["x", "y"])
+        for edges in ("Euclidean", "Manhattan"):
+            d, rows = routes.matrix(pdf, edges), routes.lazy(pdf, edges)
+            assert isinstance(rows, tsp.Lazy) and len(rows) == n
+            for name in routes.BY_ROWS:
+                tour = tsp.construct(name, d, pdf.to_numpy(), n - 1, 3)
+                assert tour == tsp.construct(name, rows, pdf.to_numpy(), n - 1, 3) and sorted(tour) == list(range(n))
+                assert tsp.cost(rows, tour) == tsp.cost(d, tour)
+
+
+def test_constructions_hold_no_matrix(monkeypatch):
+    import pandas as pd
+
+    from lodeway.operators import routes
+
+    monkeypatch.setattr(routes, "matrix", None)
+    rows = routes.lazy(pd.DataFrame({"x": np.arange(30_000.0), "y": 0.0}))
+    assert tsp.nearest_neighbour(rows) == list(range(30_000))
