@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,67 @@ def largest_removals(routes: DataFrame, tau: DataFrame, key: str = "route_id", s
     return best.select(key, F.col("x.node").alias("node"), (-F.col("x.neg")).alias("saved"))
 
 
+def _legs(routes: DataFrame, nodes: DataFrame, steps: tuple[int, ...], key: str, seq: str, node: str, loc: str) -> DataFrame:
+    """(key, pos, _n0, _p0, _n1, _p1, ...): each place of a closed route with the nodes so many steps on and their locations."""
+    n = F.size(seq)
+    out = routes.select(key, F.col(seq), F.posexplode(seq).alias("pos", "_at"))
+    out = out.select(key, "pos", *(F.element_at(seq, (F.col("pos") + n + by) % n + 1).alias(f"_n{i}") for i, by in enumerate(steps)))
+    for i in range(len(steps)):
+        out = out.join(nodes.select(F.col(node).alias(f"_n{i}"), F.col(loc).alias(f"_p{i}")), f"_n{i}")
+    return out
+
+
+def largest_removals_by_place(routes: DataFrame, nodes: DataFrame, key: str = "route_id", seq: str = "seq", node: str = "node_id", loc: str = "loc") -> DataFrame:
+    """largest_removals from the places of the nodes (Euclidean); only the legs meet the nodes, no pairs of nodes."""
+    met = _legs(routes, nodes, (-1, 0, 1), key, seq, node, loc)
+    a, b, c = (F.col(f"_p{i}") for i in range(3))
+    best = met.groupBy(key).agg(F.min(F.struct((distance(a, c) - distance(a, b) - distance(b, c)).alias("neg"), "pos", F.col("_n1").alias("node"))).alias("x"))
+    return best.select(key, F.col("x.node").alias("node"), (-F.col("x.neg")).alias("saved"))
+
+
+#: Legs and nodes of one block of cheapest_insertions_by_place.
+LEGS, NODES = 8192, 4096
+
+
+def cheapest_insertions_by_place(routes: DataFrame, nodes: DataFrame, places: DataFrame, key: str = "route_id", seq: str = "seq", node: str = "node_id", loc: str = "loc") -> DataFrame:
+    """cheapest_insertions from the places of the nodes (Euclidean): (route, node, after, extra); ties by position.
+
+    Every node is weighed against every leg of its route, but no pair becomes a
+    row: blocks of legs meet blocks of nodes as arrays, and each block gives the
+    best leg of each of its nodes.
+    """
+    legs = _legs(routes, places, (0, 1), key, seq, node, loc).withColumn("_leg", F.floor(F.col("pos") / LEGS))
+    packed = legs.groupBy(key, "_leg").agg(*(F.collect_list(c).alias(n) for n, c in (("pos", F.col("pos")), ("src", F.col("_n0")), ("ax", F.col("_p0.x")), ("ay", F.col("_p0.y")), ("bx", F.col("_p1.x")), ("by", F.col("_p1.y")))))
+    asked = nodes.select(key, node).join(places.select(node, F.col(loc).alias("_at")), node)
+    size = asked.groupBy(key).agg(F.count("*").alias("_many"))
+    # deal nodes by hash: no order and no task for all nodes of a route is needed
+    asked = asked.join(size, key).withColumn("_deal", F.pmod(F.xxhash64(node), F.ceil(F.col("_many") / NODES)))
+    dealt = asked.groupBy(key, "_deal").agg(*(F.collect_list(c).alias(n) for n, c in (("n", F.col(node)), ("x", F.col("_at.x")), ("y", F.col("_at.y")))))
+    kind = dict(routes.dtypes)[key], dict(places.dtypes)[node]
+    schema = f"k {kind[0]}, n {kind[1]}, extra double, pos int, src {kind[1]}"
+
+    def best(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                # legs in the order of the route, so that the first of equal ones is the first on it
+                order = np.argsort(r.pos, kind="stable")
+                pos, src, ax, ay, bx, by = (np.asarray(v)[order] for v in (r.pos, r.src, r.ax, r.ay, r.bx, r.by))
+                own = np.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+                at, value = np.empty(len(r.n), int), np.empty(len(r.n))
+                for i, (x, y) in enumerate(zip(r.x, r.y, strict=True)):
+                    px, py, qx, qy = x - ax, y - ay, bx - x, by - y
+                    extra = np.sqrt(px * px + py * py) + np.sqrt(qx * qx + qy * qy) - own
+                    at[i] = extra.argmin()
+                    value[i] = extra[at[i]]
+                yield pd.DataFrame({"k": r.k, "n": r.n, "extra": value, "pos": pos[at], "src": src[at]})
+
+    # as many tasks as there are blocks, up to a few for each core, whatever size the blocks seem to have
+    met = dealt.join(packed, key).withColumnRenamed(key, "k").repartition(4 * max(8, routes.sparkSession.sparkContext.defaultParallelism))
+    found = met.drop("_deal", "_leg").mapInPandas(best, schema)
+    one = found.groupBy("k", "n").agg(F.min(F.struct("extra", "pos", "src")).alias("b"))
+    return one.select(F.col("k").alias(key), F.col("n").alias(node), F.col("b.src").alias("after"), F.col("b.extra").alias("extra"))
+
+
 # --- trees: (id, parent) rows ---
 
 

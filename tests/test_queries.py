@@ -125,3 +125,27 @@ def test_bearings_at_the_centre_as_in_sql(spark, tmp_path):
     duckdb.sql(f"create or replace view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
     mine = sorted(tuple(r) for r in QUERIES["nodes_by_bearing"](spark, str(tmp_path)).collect())
     assert mine == sorted(duckdb.sql(ORACLES["nodes_by_bearing"]).fetchall())
+
+
+def test_route_changes_by_place_equal_those_by_table(spark):
+    from pyspark.sql import functions as F
+
+    from lodeway.functions.shapes import pt
+    from lodeway.operators import pairs
+
+    c = spark.range(60).select(F.col("id").alias("node_id"), (F.col("id") % 2).alias("g"), pt(F.col("id") * 7 % 11, F.col("id") * 5 % 13).alias("loc"))
+    r = c.where("node_id < 40").groupBy(F.col("g").alias("route_id")).agg(F.array_sort(F.collect_list("node_id")).alias("seq"))
+    rest = c.where("node_id >= 40").select(F.col("g").alias("route_id"), "node_id")
+    tau = pairs.distance_table(c, "Euclidean", group="g").select("src", "dst", "dist")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    removed, inserted = structures.largest_removals_by_place(r, c), structures.cheapest_insertions_by_place(r, rest, c)
+    assert rows(removed) == rows(structures.largest_removals(r, tau))
+    assert rows(inserted) == rows(structures.cheapest_insertions(r, rest, tau)) and inserted.count() == 20
+
+
+@pytest.mark.parametrize("name", ["removal_savings", "insertion_costs"])
+def test_route_changes_form_no_pairs_of_nodes(spark, small, name, monkeypatch):
+    from lodeway.operators import pairs
+
+    monkeypatch.setattr(pairs, "distance_table", None)
+    assert QUERIES[name](spark, small).count() > 0
