@@ -149,3 +149,16 @@ def test_route_changes_form_no_pairs_of_nodes(spark, small, name, monkeypatch):
 
     monkeypatch.setattr(pairs, "distance_table", None)
     assert QUERIES[name](spark, small).count() > 0
+
+
+def test_grid_distances_come_from_one_small_table(spark):
+    from lodeway.functions.shapes import pt
+    from lodeway.operators import pairs
+    from pyspark.sql import functions as F
+
+    walls = [(1, 0), (1, 1), (3, 3), (2, 3), (3, 2)]
+    c = spark.range(30).select(F.col("id").alias("node_id"), pt(F.col("id") % 6 - 1, F.floor(F.col("id") / 6)).alias("loc"))
+    got = pairs.distance_table(c, "Grid", column=4, row=4, barriers=walls)
+    assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = pairs.distance_table(c, "Grid", column=4, row=4, barriers=walls, path=True).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("dist is null").count() > 0
