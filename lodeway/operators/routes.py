@@ -56,6 +56,11 @@ def matrix(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray:
     raise UnsupportedInputError(f"unknown edges {edges}")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Instances dealt over all shuffle partitions: their rows are few bytes but much work, so small partitions must not be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instance_id")
+
+
 def _proof(value: float, lower: float | None) -> dict:
     """Columns of BOUNDED for a value and its lower bound (None: no bound is known)."""
     if lower is None:
@@ -224,7 +229,7 @@ def solve_cetsp(nodes: DataFrame, start: tuple[float, float], end: tuple[float,
             total, order, _ = touring.close_enough(tuple(s), tuple(e), xy, rings=[[tuple(map(float, p)) for p in r] for r in rings], algo=algo, seed=seed)
         return pd.DataFrame({"instance_id": [pdf["instance_id"].iloc[0]], "method": [f"{neighbor}:{algo}"], "ofv": [total], "dist": [total], "seq": [pdf["node_id"].to_numpy()[order].tolist()]})
 
-    return nodes.groupBy("instance_id").applyInPandas(run, ROUTE)
+    return _spread(nodes).groupBy("instance_id").applyInPandas(run, ROUTE)
 
 
 PATH = "instance_id long, dist double, path array<struct<x:double,y:double>>"
@@ -254,7 +259,7 @@ def cone_path(cones: DataFrame, start: tuple[float, float, float], end: tuple[fl
         total, way = touring.touch_cones(np.asarray(start, float), np.asarray(end, float), [{"center": (r.x, r.y), "max_height": r.max_height} for r in pdf.itertuples()], slope)
         return pd.DataFrame({"instance_id": [pdf["instance_id"].iloc[0]], "dist": [total], "path": [[{"x": float(x), "y": float(y), "z": float(z)} for x, y, z in way]]})
 
-    return cones.groupBy("instance_id").applyInPandas(run, "instance_id long, dist double, path array<struct<x:double,y:double,z:double>>")
+    return _spread(cones).groupBy("instance_id").applyInPandas(run, "instance_id long, dist double, path array<struct<x:double,y:double,z:double>>")
 
 
 def chase_path(targets: DataFrame, start: tuple[float, float], end: tuple[float, float], speed: float) -> DataFrame:

@@ -348,3 +348,17 @@ def test_constructions_hold_no_matrix(monkeypatch):
     monkeypatch.setattr(routes, "matrix", None)
     rows = routes.lazy(pd.DataFrame({"x": np.arange(30_000.0), "y": 0.0}))
     assert tsp.nearest_neighbour(rows) == list(range(30_000))
+
+
+def test_touching_is_done_on_plain_numbers(monkeypatch):
+    # arrays of two or three cost twenty times as much; a full search of six disks called them about two million times
+    calls = []
+    norm = np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda *a, **k: calls.append(1) or norm(*a, **k))
+    c = np.random.default_rng(1).random((6, 2)) * 100
+    total, order, way = touring.close_enough((0, 0), (100, 100), c, np.full(6, 5.0))
+    assert sorted(order) == list(range(6)) and len(way) == 8
+    touring.touch_cones(np.zeros(3), np.array([100.0, 0, 0]), [{"center": tuple(p), "max_height": 10.0} for p in c], 0.5)
+    assert len(calls) < 100
+    for i, p in zip(order, way[1:-1], strict=True):
+        assert norm(p - c[i]) <= 5 + 1e-9
