@@ -153,10 +153,12 @@ def _with_rectangles(kind: str, low: str, high: str, more: str = "") -> None:
     def run(spark, sf_dir):
         six = lambda p: pt(p.x * 6, p.y * 6)
         rows = fx.lattice(spark, sf_dir, "customer", "c_custkey").select("id", line(six(F.col("a")), six(F.col("b"))).alias("s"))
-        met = rows.crossJoin(F.broadcast(fx.rectangles(spark, sf_dir))).withColumn("parts", ix.with_polygon(kind, F.col("s"), F.col("poly"))).where("size(parts) > 0")
+        # equal shapes are worked on once
+        met = spatial.shapes_near_polygons(kind, rows.select("s").distinct(), fx.rectangles(spark, sf_dir)).withColumn("parts", F.explode(F.array(ix.with_polygon(kind, F.col("s"), F.col("poly"))))).where("size(parts) > 0")
         part = F.col("parts")[0]
         extra = [F.round(F.aggregate(ix.seg_minus_polygon(F.col("s"), F.col("poly")), F.lit(0.0), lambda acc, x: acc + dist.euclidean(x.a, x.b)), 4).alias("outside"), pr.box_meets_segment(F.col("s"), spatial.box_struct("poly")).alias("box")] if kind == "seg" else []
-        return met.select("id", "poly_id", part["type"].alias("type"), F.round(F.when(part["type"] == "Point", F.lit(0.0)).otherwise(dist.euclidean(part["points"][0], part["points"][1])), 4).alias("way"), part["interior"].alias("interior"), *extra)
+        found = met.select("s", "poly_id", part["type"].alias("type"), F.round(F.when(part["type"] == "Point", F.lit(0.0)).otherwise(dist.euclidean(part["points"][0], part["points"][1])), 4).alias("way"), part["interior"].alias("interior"), *extra)
+        return rows.join(found, "s").drop("s")
 
     QUERIES[f"{kind}_rectangle_parts"] = run
     ORACLES[f"{kind}_rectangle_parts"] = _CLIP.format(low=low, high=high, more=more).replace("round(greatest(t1 - t0, 0) * len, 4) AS way", "round(CASE WHEN (t1 - t0) * len <= 0.01 THEN 0 ELSE (t1 - t0) * len END, 4) AS way")

@@ -162,3 +162,19 @@ def test_grid_distances_come_from_one_small_table(spark):
     assert "MapInPandas" not in got._jdf.queryExecution().executedPlan().toString()
     want = pairs.distance_table(c, "Grid", column=4, row=4, barriers=walls, path=True).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("dist is null").count() > 0
+
+
+@pytest.mark.parametrize("kind", ["seg", "ray", "line"])
+def test_shapes_are_kept_only_near_polygons(spark, kind):
+    from pyspark.sql import functions as F
+
+    from lodeway.functions import intersections as ix
+    from lodeway.functions.shapes import line, poly, pt
+    from lodeway.operators import spatial
+
+    k = F.col("id")
+    rows = spark.range(400).select("id", line(pt(k % 7 * 3 - 4, F.floor(k / 7) % 6 * 3 - 4), pt(k * 5 % 11 - 3, k * 3 % 13 - 5)).alias("s")).where("s.a <> s.b")
+    shapes = spark.range(2).select(k.alias("p"), F.when(k == 0, poly([(0, 0), (4, 0), (4, 3), (0, 3)])).otherwise(poly([(6, 5), (9, 8), (5, 9)])).alias("poly"))
+    met = lambda df: {(r["id"], r["p"]) for r in df.where(F.size(ix.with_polygon(kind, F.col("s"), F.col("poly"))) > 0).collect()}
+    near = spatial.shapes_near_polygons(kind, rows, shapes)
+    assert met(near) == met(rows.crossJoin(shapes)) and near.count() < rows.count() * 2
