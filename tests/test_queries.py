@@ -238,3 +238,22 @@ def test_polygon_events_equal_those_of_the_segments(spark):
     rows = lambda x: sorted((r[0], r[1], round(r[2], 9), r[3]) for r in x)
     assert rows(got.collect()) == rows(want) and {e for *_, e in want} == {"enter", "leave", "touch"}
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("edges", ["Euclidean", "Manhattan", "LatLon"])
+def test_distance_tables_unfold_arrays_of_nodes(spark, monkeypatch, edges):
+    from lodeway.functions.shapes import pt
+    from lodeway.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    monkeypatch.setattr(pairs, "SHARE", 5)
+    k = F.col("id")
+    own = F.when(k == 30, F.lit(None)).otherwise(F.when(k < 20, k % 2).otherwise(F.lit(7)))
+    c = spark.range(31).select(k.alias("node_id"), own.alias("g"), F.when(k != 3, pt(k * 7 % 11, k * 5 % 13)).alias("loc"))
+    for path in (False, True):
+        got = pairs.distance_table(c, edges, group="g", path=path)
+        left, right = pairs._sides(c, "node_id", "loc", "g")
+        want = pairs._measure(left.join(right, "instance_id"), edges, path, None, None, None, None, None, "meter").drop("src_loc", "dst_loc")
+        text = lambda df: sorted(str((r["instance_id"], r["src"], r["dst"], r["dist"], r["path"] if path and 3 not in (r["src"], r["dst"]) else None)) for r in df.collect())
+        assert got.columns == want.columns and text(got) == text(want) and got.count() == 300
+    assert "Generate inline" in pairs.distance_table(c, edges, group="g")._jdf.queryExecution().executedPlan().toString()
