@@ -18,7 +18,7 @@ ROUTE = "instance_id long, method string, ofv double, dist double, seq array<lon
 #: With a lower bound of the objective, the gap to it and whether the solution is known to be the best.
 BOUNDED = ROUTE + ", lower_bound double, gap double, solution string"
 EARTH = 6378137.0
-#: Constructions that need a row of the matrix at a time only, not the matrix.
+#: Constructions that need a row of the matrix at a time only, not the matrix; the improvements look at near nodes.
 BY_ROWS = ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighbor", "Sweep", "Random")
 
 
@@ -56,9 +56,9 @@ def matrix(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray:
     raise UnsupportedInputError(f"unknown edges {edges}")
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame, *more: str) -> DataFrame:
     """Instances dealt over all shuffle partitions: their rows are few bytes but much work, so small partitions must not be put together."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instance_id")
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instance_id", *more)
 
 
 def _proof(value: float, lower: float | None) -> dict:
@@ -85,7 +85,7 @@ def solve_tsp(nodes: DataFrame, depot=None, edges: str = "Euclidean", algo: str
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-        rows_do = algo == "Heuristic" and cons in BY_ROWS and impv not in ("2Opt", "2Opt+OrOpt")
+        rows_do = cons in BY_ROWS if algo == "Heuristic" else meta in ("GA", "GeneticAlgorithm")
         d = (lazy if rows_do else matrix)(pdf, edges, **o)
         lower = None
         if algo == "Exact":
@@ -98,7 +98,7 @@ def solve_tsp(nodes: DataFrame, depot=None, edges: str = "Euclidean", algo: str
         row = {"instance_id": pdf["instance_id"].iloc[0], "method": name, "ofv": length + extra, "dist": length, "seq": pdf["node_id"].to_numpy()[[*tour, tour[0]]].tolist()}
         return pd.DataFrame([row | _proof(length + extra, None if lower is None else lower + extra)])
 
-    return nodes.groupBy("instance_id").applyInPandas(run, BOUNDED)
+    return _spread(nodes).groupBy("instance_id").applyInPandas(run, BOUNDED)
 
 
 def solve_multistart(nodes: DataFrame, seeds: int, meta: str = "SA", **options) -> DataFrame:
@@ -108,12 +108,12 @@ def solve_multistart(nodes: DataFrame, seeds: int, meta: str = "SA", **options)
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int(pdf["seed"].iloc[0])
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-        d = matrix(pdf, options.get("edges", "Euclidean"))
+        d = (lazy if meta in ("GA", "GeneticAlgorithm") else matrix)(pdf, options.get("edges", "Euclidean"))
         tour = tsp.solve(d, pdf[["x", "y"]].to_numpy(float), _depot(pdf, options.get("depot")), "Metaheuristic", options.get("cons", "RandomInsertion"), None, meta, seed)
         length = tsp.cost(d, tour)
         return pd.DataFrame({"instance_id": [pdf["instance_id"].iloc[0]], "method": [f"{meta}:{seed}"], "ofv": [length], "dist": [length], "seq": [pdf["node_id"].to_numpy()[[*tour, tour[0]]].tolist()]})
 
-    each = many.groupBy("instance_id", "seed").applyInPandas(run, ROUTE)
+    each = _spread(many, "seed").groupBy("instance_id", "seed").applyInPandas(run, ROUTE)
     best = each.groupBy("instance_id").agg(F.min(F.struct("ofv", "method", "dist", "seq")).alias("b"))
     return best.select("instance_id", "b.method", "b.ofv", "b.dist", "b.seq")
 
@@ -202,7 +202,7 @@ def solve_mtsp(nodes: DataFrame, vehicles: int, depot=None, edges: str = "Euclid
         ids, most = pdf["node_id"].to_numpy(), max(tsp.cost(d, t) for t in tours)
         return pd.DataFrame([{"instance_id": pdf["instance_id"].iloc[0], "method": f"vehicle:{i}", "ofv": most, "dist": tsp.cost(d, t), "seq": ids[[*t, t[0]]].tolist()} for i, t in enumerate(tours)])
 
-    return nodes.groupBy("instance_id").applyInPandas(run, ROUTE)
+    return _spread(nodes).groupBy("instance_id").applyInPandas(run, ROUTE)
 
 
 def solve_cetsp(nodes: DataFrame, start: tuple[float, float], end: tuple[float, float], neighbor: str = "Circle", algo: str = "Metaheuristic", seed: int = 0) -> DataFrame:

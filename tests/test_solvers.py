@@ -362,3 +362,33 @@ def test_touching_is_done_on_plain_numbers(monkeypatch):
     assert len(calls) < 100
     for i, p in zip(order, way[1:-1], strict=True):
         assert norm(p - c[i]) <= 5 + 1e-9
+
+
+@pytest.mark.parametrize("edges", ["Euclidean", "Manhattan"])
+@pytest.mark.parametrize("n", [2, 3, 5, 9, 60, 200])
+def test_improvements_by_near_nodes_equal_those_by_the_matrix(n, edges):
+    import pandas as pd
+
+    from lodeway.operators import routes
+
+    rng = np.random.default_rng(n)
+    for xy in (rng.uniform(0, 100, (n, 2)), rng.integers(0, 6, (n, 2)).astype(float)):
+        pdf = pd.DataFrame(xy, columns=["x", "y"])
+        d, near = routes.matrix(pdf, edges), routes.lazy(pdf, edges)
+        for t in (tsp.random_tour(d, 0, 3), tsp.insertion(d)):
+            assert tsp.two_opt(near, t) == tsp.two_opt(d, t)
+            assert tsp.or_opt(near, tsp.two_opt(near, t)) == tsp.or_opt(d, tsp.two_opt(d, t))
+        assert tsp.genetic(near, seed=2, generations=20) == tsp.genetic(d, seed=2, generations=20)
+
+
+@pytest.mark.parametrize("options", [{"cons": "Insertion", "impv": "2Opt+OrOpt"}, {"algo": "Metaheuristic", "meta": "GA"}])
+def test_tours_need_no_matrix(monkeypatch, options):
+    import pandas as pd
+
+    from lodeway.operators import routes
+
+    monkeypatch.setattr(routes, "matrix", None)
+    grouped = type("G", (), {"applyInPandas": lambda self, run, schema: run(pd.DataFrame({"instance_id": 1, "node_id": range(20), "x": [i * 7 % 11 for i in range(20)], "y": [i * 5 % 13 for i in range(20)]}))})()
+    monkeypatch.setattr(routes, "_spread", lambda nodes: type("N", (), {"groupBy": lambda self, key: grouped})())
+    out = routes.solve_tsp(type("N", (), {"columns": []})(), **options)
+    assert sorted(out["seq"].iloc[0][:-1]) == list(range(20))
