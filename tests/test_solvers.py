@@ -392,3 +392,16 @@ def test_tours_need_no_matrix(monkeypatch, options):
     monkeypatch.setattr(routes, "_spread", lambda nodes: type("N", (), {"groupBy": lambda self, key: grouped})())
     out = routes.solve_tsp(type("N", (), {"columns": []})(), **options)
     assert sorted(out["seq"].iloc[0][:-1]) == list(range(20))
+
+
+@pytest.mark.parametrize("n", [4, 5, 9, 60])
+@pytest.mark.parametrize("even", [True, False])
+def test_annealing_adds_up_its_moves(n, even, monkeypatch):
+    rng = np.random.default_rng(n)
+    d = rng.uniform(1, 9, (n, n))
+    d = d + d.T if even else d
+    calls, whole = [], tsp.cost
+    monkeypatch.setattr(tsp, "cost", lambda d, t: calls.append(whole(d, t)) or calls[-1])
+    t = tsp.simulated_annealing(d, list(range(n)), 1, start=5.0, end=4.0, cooling=0.9)
+    assert sorted(t) == list(range(n)) and t[0] == 0 and whole(d, t) <= whole(d, list(range(n)))
+    assert len(calls) < 10 and whole(d, t) <= min(calls) + 1e-6
