@@ -197,7 +197,7 @@ def solve_mtsp(nodes: DataFrame, vehicles: int, depot=None, edges: str = "Euclid
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-        d = matrix(pdf, edges)
+        d = lazy(pdf, edges)
         tours = routing.multi_tour(d, pdf[["x", "y"]].to_numpy(float), vehicles, _depot(pdf, depot), cons, improve, seed)
         ids, most = pdf["node_id"].to_numpy(), max(tsp.cost(d, t) for t in tours)
         return pd.DataFrame([{"instance_id": pdf["instance_id"].iloc[0], "method": f"vehicle:{i}", "ofv": most, "dist": tsp.cost(d, t), "seq": ids[[*t, t[0]]].tolist()} for i, t in enumerate(tours)])

@@ -255,28 +255,38 @@ def multi_tour(d: np.ndarray, xy: np.ndarray, vehicles: int, depot: int = 0, con
     Insertion gives each node to the vehicle whose tour then stays shortest.
     """
     rest = [i for i in range(len(d)) if i != depot]
+    part = lambda t: d.part(t) if isinstance(d, tsp.Lazy) else d[np.ix_(t, t)]
     if cons in ("Sweep", "Random"):
         order = tsp.sweep(xy, depot)[1:] if cons == "Sweep" else tsp.random_tour(d, depot, seed)[1:]
         parts = [list(p) for p in np.array_split(order, vehicles)]
         tours = []
         for p in parts:
             ids = [depot, *map(int, p)]
-            tours.append([ids[i] for i in tsp.insertion(d[np.ix_(ids, ids)], 0)])
+            tours.append([ids[i] for i in tsp.insertion(part(ids), 0)])
     else:
-        tours = [[depot] for _ in range(vehicles)]
         order = rest if cons == "Insertion" else list(map(int, np.random.default_rng(seed).permutation(rest)))
+        # tours and the lengths of the edges after their nodes grow in place
+        tours, edges = np.full((vehicles, len(d)), depot), np.zeros((vehicles, len(d)))
+        size, total = [1] * vehicles, [0.0] * vehicles
         for j in order:
             best = None
-            for v, t in enumerate(tours):
-                a = np.asarray(t)
-                extra = d[a, j] + d[j, np.roll(a, -1)] - d[a, np.roll(a, -1)]
+            for v, n in enumerate(size):
+                to, back = d[tours[v, :n], j], d[j, tours[v, :n]]
+                extra = to + np.append(back[1:], back[0]) - edges[v, :n]
                 k = int(extra.argmin())
-                grown = tsp.cost(d, t) + extra[k]
+                grown = total[v] + extra[k]
                 if best is None or grown < best[0] - 1e-12:
-                    best = (grown, v, k)
-            tours[best[1]].insert(best[2] + 1, j)
+                    best = (grown, v, k, to[k], back[(k + 1) % n])
+            _, v, k, to, back = best
+            n = size[v] = size[v] + 1
+            for row, value in ((tours[v], j), (edges[v], back)):
+                row[k + 2 : n] = row[k + 1 : n - 1].copy()
+                row[k + 1] = value
+            edges[v, k] = to
+            total[v] = float(edges[v, :n].sum())
+        tours = [row[:n].tolist() for row, n in zip(tours, size, strict=True)]
     if improve:
-        tours = [[t[i] for i in tsp.two_opt(d[np.ix_(t, t)], list(range(len(t))))] for t in tours]
+        tours = [[t[i] for i in tsp.two_opt(part(t), list(range(len(t))))] for t in tours]
         tours = two_opt_star(d, tours)
     return tours
 
@@ -286,22 +296,34 @@ def two_opt_star(d: np.ndarray, tours: list[list[int]]) -> list[list[int]]:
     better = True
     while better:
         better = False
-        for a, b in combinations(range(len(tours)), 2):
-            worst = max(tsp.cost(d, tours[a]), tsp.cost(d, tours[b]))
-            for i in range(1, len(tours[a]) + 1):
-                for j in range(1, len(tours[b]) + 1):
-                    p, q = tours[a][:i] + tours[b][j:], tours[b][:j] + tours[a][i:]
-                    if max(tsp.cost(d, p), tsp.cost(d, q)) < worst - 1e-9:
-                        tours[a], tours[b] = p, q
-                        better = True
-                        break
-                if better:
-                    break
-            if better:
+        for x, y in combinations(range(len(tours)), 2):
+            found = _shorter_tails(d, np.asarray(tours[x]), np.asarray(tours[y]))
+            if found is not None:
+                i, j = found
+                tours[x], tours[y] = tours[x][:i] + tours[y][j:], tours[y][:j] + tours[x][i:]
+                better = True
                 break
     return tours
 
 
+def _shorter_tails(d, a: np.ndarray, b: np.ndarray, cells: int = 1 << 16) -> tuple[int, int] | None:
+    """The first (i, j) for which a[:i] + b[j:] and b[:j] + a[i:] are both shorter than the longer of a and b, by sums of heads and tails."""
+    heads = [np.append(0.0, np.cumsum(d[t[:-1], t[1:]])) for t in (a, b)]
+    worst = max(tsp.cost(d, a.tolist()), tsp.cost(d, b.tolist()))
+    # ways from each node on to the end and back to the start of the other tour; of none behind the last, 0
+    tails = [np.append(h[-1] - h[1:] + d[t[-1], o[0]], 0.0) for h, t, o in ((heads[0], a, b), (heads[1], b, a))]
+    next_a, next_b = np.append(a[1:], b[0]), np.append(b[1:], a[0])
+    rows = max(1, cells // len(b))
+    for at in range(0, len(a), rows):
+        i = slice(at, at + rows)
+        p = heads[0][i, None] + d[a[i, None], next_b[None]] + tails[1][None]
+        q = heads[1][None] + d[b[None], next_a[i, None]] + tails[0][i, None]
+        good = np.flatnonzero(np.maximum(p, q) < worst - 1e-9)
+        if len(good):
+            return at + int(good[0]) // len(b) + 1, int(good[0]) % len(b) + 1
+    return None
+
+
 def dijkstra(graph: dict, start) -> dict:
     """Distances from start in {node: {node: weight}}."""
     best, heap = {start: 0.0}, [(0.0, start)]

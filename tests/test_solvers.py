@@ -405,3 +405,26 @@ def test_annealing_adds_up_its_moves(n, even, monkeypatch):
     t = tsp.simulated_annealing(d, list(range(n)), 1, start=5.0, end=4.0, cooling=0.9)
     assert sorted(t) == list(range(n)) and t[0] == 0 and whole(d, t) <= whole(d, list(range(n)))
     assert len(calls) < 10 and whole(d, t) <= min(calls) + 1e-6
+
+
+def test_tails_are_exchanged_by_sums_of_ways():
+    rng = np.random.default_rng(8)
+    for n in (3, 4, 7, 12, 30):
+        for d in (rng.uniform(1, 9, (n, n)), routes.lazy(__import__("pandas").DataFrame(rng.uniform(0, 9, (n, 2)), columns=["x", "y"]))):
+            rest = rng.permutation(np.arange(1, n)).tolist()
+            a, b = [0, *rest[: n // 2]], [0, *rest[n // 2 :]]
+            worst, want = max(tsp.cost(d, a), tsp.cost(d, b)), None
+            for i in range(1, len(a) + 1):
+                for j in range(1, len(b) + 1):
+                    if want is None and max(tsp.cost(d, a[:i] + b[j:]), tsp.cost(d, b[:j] + a[i:])) < worst - 1e-9:
+                        want = (i, j)
+            assert routing._shorter_tails(d, np.array(a), np.array(b), cells=20) == want
+
+
+def test_several_vehicles_need_no_matrix():
+    import pandas as pd
+
+    xy = np.random.default_rng(3).uniform(0, 100, (70, 2))
+    pdf = pd.DataFrame(xy, columns=["x", "y"])
+    for cons in ("Insertion", "RandomInsertion", "Sweep", "Random"):
+        assert routing.multi_tour(routes.lazy(pdf), xy, 3, cons=cons, seed=1) == routing.multi_tour(routes.matrix(pdf), xy, 3, cons=cons, seed=1)
