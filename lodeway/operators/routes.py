@@ -19,7 +19,7 @@ ROUTE = "instance_id long, method string, ofv double, dist double, seq array<lon
 BOUNDED = ROUTE + ", lower_bound double, gap double, solution string"
 EARTH = 6378137.0
 #: Constructions that need a row of the matrix at a time only, not the matrix; the improvements look at near nodes.
-BY_ROWS = ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighbor", "Sweep", "Random")
+BY_ROWS = ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighbor", "Sweep", "Christofides", "Random")
 
 
 def lazy(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray | tsp.Lazy:
