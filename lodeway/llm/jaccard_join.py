@@ -122,6 +122,33 @@ def class_id() -> Column:
     return F.xxhash64("n", "a", "b")
 
 
+def _common(batches):
+    """Distinct rows (t, a), met in order, whose t has two a or more; of what came before only the last row is held."""
+    t, a, shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, a = (np.append(x, batch.column(c).to_numpy(zero_copy_only=False)) for x, c in ((t, "t"), (a, "a")))
+        fresh = np.ones(len(t), bool)
+        fresh[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1])
+        t, a = t[fresh], a[fresh]
+        same = np.append(t[1:] == t[:-1], False)
+        both = same | np.append(shared, same[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(a[:-1][both[:-1]])], ["a"])
+        t, a, shared = t[-1:], a[-1:], bool(both[-1])
+    if shared:
+        yield pa.RecordBatch.from_arrays([pa.array(a)], ["a"])
+
+
+def common_tokens(tokens: DataFrame) -> DataFrame:
+    """The a of each distinct row (t, a) whose t has two a or more.
+
+    All rows of a token are in one task, which sorts them and goes through them
+    once: no table of all tokens and no second sort for a join with it.
+    """
+    return tokens.repartition("t").sortWithinPartitions("t", "a").mapInArrow(_common, "a long")
+
+
 def survivors(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Classes (id, n, p, rep) that the first order leaves as candidates; id is a hash of size and fingerprints.
 
@@ -130,10 +157,7 @@ def survivors(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
     token with any other, so it has no link.
     """
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("k").alias("rep"), F.first("p").alias("p"), F.first("m").alias("m"))
-    tokens = docs.select("text").mapInArrow(_sampled_tokens(k, percent), "t long, a long")
-    tokens = tokens.where("t is not null and a is not null").repartition("t")  # the filter of the join, so that both sides read one exchange
-    common = tokens.groupBy("t").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low < high").select("t")
-    held = tokens.join(common, "t").groupBy("t", "a").agg(F.lit(1).alias("one")).groupBy("a").agg(F.count("*").alias("held"))
+    held = common_tokens(docs.select("text").mapInArrow(_sampled_tokens(k, percent), "t long, a long")).groupBy("a").agg(F.count("*").alias("held"))
     return classes.join(held, "a", "left").where(F.col("m") - F.coalesce("held", F.lit(0)) < F.col("p")).select(class_id().alias("id"), "n", "p", "rep")
 
 

@@ -462,6 +462,29 @@ def test_near_dedup_keeps_one_of_each(table, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+def test_common_tokens_are_met_in_order():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted(zip(rng.integers(0, 40, 300).tolist(), rng.integers(0, 9, 300).tolist(), strict=True)) + [(50, 1)] * 5 + [(51, 1), (51, 1), (51, 2)]
+    holders = {}
+    for t, a in rows:
+        holders.setdefault(t, set()).add(a)
+    want = sorted(a for held in holders.values() if len(held) > 1 for a in held)
+    for step in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + step]], pa.int64()) for i in (0, 1)], ["t", "a"]) for at in range(0, len(rows), step)]
+        assert sorted(a for b in jaccard_join._common(iter(batches)) for a in b.column("a").to_pylist()) == want
+    assert [b for b in jaccard_join._common(iter([]))] == []
+
+
+def test_survivors_hold_no_table_of_tokens(spark, table):
+    docs = jaccard_join.keyed(table)
+    sets = docs.mapInArrow(jaccard_join._sets(3, 90), "k long, doc_id long, n long, a long, b long, p long, m long")
+    plan = jaccard_join.survivors(docs, sets, 3, 90)._jdf.queryExecution().sparkPlan().toString()
+    assert not any(("Aggregate" in line and "keys=[t#" in line) or ("Join" in line and "Join [t#" in line) for line in plan.splitlines()), plan
+
+
 # --- 9 shards ---
 
 
