@@ -20,13 +20,14 @@ BOUNDED = ROUTE + ", lower_bound double, gap double, solution string"
 EARTH = 6378137.0
 #: Constructions that need a row of the matrix at a time only, not the matrix; the improvements look at near nodes.
 BY_ROWS = ("Insertion", "RandomInsertion", "NearestNeighbor", "FarthestNeighbor", "Sweep", "Christofides", "Random")
+ANNEALING = (None, "SA", "SimulatedAnnealing")
 
 
 def lazy(pdf: pd.DataFrame, edges: str = "Euclidean", **o) -> np.ndarray | tsp.Lazy:
     """The cells of `matrix` without the matrix, where places alone give them."""
     xy = pdf[["x", "y"]].to_numpy(float)
     if edges == "Euclidean":
-        return tsp.Lazy(xy, lambda x, y, u, v: np.sqrt((x - u) ** 2 + (y - v) ** 2))
+        return tsp.Lazy(xy, lambda x, y, u, v: np.sqrt((x - u) ** 2 + (y - v) ** 2), lambda z: lambda i, j: abs(z[i] - z[j]))
     if edges == "Manhattan":
         return tsp.Lazy(xy, lambda x, y, u, v: np.abs(x - u) + np.abs(y - v))
     return matrix(pdf, edges, **o)
@@ -85,7 +86,7 @@ def solve_tsp(nodes: DataFrame, depot=None, edges: str = "Euclidean", algo: str
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-        rows_do = cons in BY_ROWS if algo == "Heuristic" else meta in ("GA", "GeneticAlgorithm")
+        rows_do = algo != "Exact" and (cons in BY_ROWS if algo == "Heuristic" or meta in ANNEALING else meta in ("GA", "GeneticAlgorithm"))
         d = (lazy if rows_do else matrix)(pdf, edges, **o)
         lower = None
         if algo == "Exact":
@@ -108,8 +109,10 @@ def solve_multistart(nodes: DataFrame, seeds: int, meta: str = "SA", **options)
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int(pdf["seed"].iloc[0])
         pdf = pdf.sort_values("node_id", kind="stable").reset_index(drop=True)
-        d = (lazy if meta in ("GA", "GeneticAlgorithm") else matrix)(pdf, options.get("edges", "Euclidean"))
-        tour = tsp.solve(d, pdf[["x", "y"]].to_numpy(float), _depot(pdf, options.get("depot")), "Metaheuristic", options.get("cons", "RandomInsertion"), None, meta, seed)
+        cons = options.get("cons", "RandomInsertion")
+        rows_do = cons in BY_ROWS if meta in ANNEALING else meta in ("GA", "GeneticAlgorithm")
+        d = (lazy if rows_do else matrix)(pdf, options.get("edges", "Euclidean"))
+        tour = tsp.solve(d, pdf[["x", "y"]].to_numpy(float), _depot(pdf, options.get("depot")), "Metaheuristic", cons, None, meta, seed)
         length = tsp.cost(d, tour)
         return pd.DataFrame({"instance_id": [pdf["instance_id"].iloc[0]], "method": [f"{meta}:{seed}"], "ofv": [length], "dist": [length], "seq": [pdf["node_id"].to_numpy()[[*tour, tour[0]]].tolist()]})
 
